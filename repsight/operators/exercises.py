@@ -54,74 +54,95 @@ def _bits(*flags: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# push-ups
+# feature primitives (stage 1) and rules (stage 2)
 # ---------------------------------------------------------------------------
 
-def pushup_side(pose: Column, side: str, deviation: Column) -> dict[str, Column]:
-    ix = {p: part_index(p, side) for p in K.BODY_PART_INDEX}
-    elbow = point_angle(pose, ix["wrist"], ix["elbow"], ix["shoulder"])
-    body = point_angle(pose, ix["shoulder"], ix["hip"], ix["knee"])
-    wrist, shoulder = landmark(pose, ix["wrist"]), landmark(pose, ix["shoulder"])
-    knee, toes = landmark(pose, ix["knee"]), landmark(pose, ix["toes"])
+# Joints of the computed angles per exercise (the displayed push-up body angle
+# lists the ankle, but the value is computed with the knee).
+COMPUTE_TRIPLES = {
+    "push-ups": {"rep": ("wrist", "elbow", "shoulder"), "aux": ("shoulder", "hip", "knee")},
+    "squats": {"rep": ("ankle", "knee", "hip"), "aux": ("shoulder", "hip", "knee")},
+}
+
+# Rounded coordinates the rules compare: (part, axis, decimals).
+ROUNDED = [
+    ("wrist", "x", 1), ("shoulder", "x", 1), ("knee", "y", 2), ("wrist", "y", 2), ("toes", "y", 2),
+    ("ankle", "x", 1), ("knee", "x", 1), ("toes", "x", 1),
+]
+
+
+def _case_index(exercise: Column, side: str, feat: str, pos: int) -> Column:
+    out = None
+    for ex, triples in COMPUTE_TRIPLES.items():
+        idx = F.lit(part_index(triples[feat][pos], side))
+        out = F.when(exercise == ex, idx) if out is None else out.when(exercise == ex, idx)
+    return out
+
+
+def primitives(pose: Column, side: str, exercise: Column) -> dict[str, Column]:
+    """Stage 1: the two angles (joints chosen per row by exercise) and rounded coordinates."""
+    out = {}
+    for feat in ("rep", "aux"):
+        pts = [F.get(pose, _case_index(exercise, side, feat, k)) for k in range(3)]
+        out[f"{feat}_{side}"] = joint_angle(*[c for p in pts for c in (p["x"], p["y"])])
+    for part, axis, n in ROUNDED:
+        out[f"c_{part}{axis}{n}_{side}"] = np_round(landmark(pose, part_index(part, side))[axis], n)
+    return out
+
+
+def _c(name: str, side: str) -> Column:
+    return F.col(f"{name}_{side}")
+
+
+def pushup_rules(side: str, deviation: Column) -> dict[str, Column]:
+    elbow, body = _c("rep", side), _c("aux", side)
     tol = deviation + F.lit(K.VARIATION)
     body_aligned = _not_nan(body) & (body > F.lit(K.GOAL_BODY_ANGLE) - tol) & (body < F.lit(K.GOAL_BODY_ANGLE) + tol)
-    shoulders_aligned = (np_round(wrist["x"], 1) == np_round(shoulder["x"], 1)) | (
+    shoulders_aligned = (_c("c_wristx1", side) == _c("c_shoulderx1", side)) | (
         _not_nan(elbow) & (elbow <= F.lit(K.ELBOW_THRESHOLD))
     )
-    knees_up = np_round(knee["y"], 2) < F.least(np_round(wrist["y"], 2), np_round(toes["y"], 2))
+    knees_up = _c("c_kneey2", side) < F.least(_c("c_wristy2", side), _c("c_toesy2", side))
     shoulders_aligned = F.coalesce(shoulders_aligned, F.lit(False))
     knees_up = F.coalesce(knees_up, F.lit(False))
     body_aligned = F.coalesce(body_aligned, F.lit(False))
     good = shoulders_aligned & knees_up & body_aligned
     bits = _bits(~shoulders_aligned, ~knees_up, ~body_aligned)
-    return {"rep": elbow, "aux": body, "fu": good, "fd": good, "iu": bits, "idn": bits}
-
-
-def pushup_message(bits: Column) -> Column:
-    text = F.concat_ws(
-        ", ",
-        F.when(bits.bitwiseAND(1) != 0, F.lit(K.PUSHUP_MSG_SHOULDERS)),
-        F.when(bits.bitwiseAND(2) != 0, F.lit(K.PUSHUP_MSG_KNEES)),
-        F.when(bits.bitwiseAND(4) != 0, F.lit(K.PUSHUP_MSG_BODY)),
-    )
-    return F.when(bits == 0, F.lit(K.PUSHUP_GOOD)).otherwise(text)
-
+    return {"fu": good, "fd": good, "iu": bits, "idn": bits}
 
-# ---------------------------------------------------------------------------
-# squats
-# ---------------------------------------------------------------------------
 
-def squat_side(pose: Column, side: str, deviation: Column) -> dict[str, Column]:
-    ix = {p: part_index(p, side) for p in K.BODY_PART_INDEX}
-    knee_a = point_angle(pose, ix["ankle"], ix["knee"], ix["hip"])
-    hips = point_angle(pose, ix["shoulder"], ix["hip"], ix["knee"])
-    ankle, knee = landmark(pose, ix["ankle"]), landmark(pose, ix["knee"])
-    shoulder, toes = landmark(pose, ix["shoulder"]), landmark(pose, ix["toes"])
+def squat_rules(side: str, deviation: Column) -> dict[str, Column]:
+    knee_a, hips = _c("rep", side), _c("aux", side)
     var = F.lit(K.VARIATION)
-    shoulders_over = F.coalesce(np_round(shoulder["x"], 1) - np_round(ankle["x"], 1) < var, F.lit(False))
+    shoulders_over = F.coalesce(_c("c_shoulderx1", side) - _c("c_anklex1", side) < var, F.lit(False))
     # latch up after this frame
-    ktf_up = F.coalesce(np_round(knee["x"], 1) - np_round(ankle["x"], 1) < var, F.lit(False))
+    ktf_up = F.coalesce(_c("c_kneex1", side) - _c("c_anklex1", side) < var, F.lit(False))
     standing = _not_nan(knee_a) & (knee_a > F.lit(K.UP_THRESHOLD))
     hips_up = F.when(standing, F.coalesce(_not_nan(hips) & ((F.lit(180.0) - hips) < deviation), F.lit(False))).otherwise(
         F.lit(True)
     )
     # latch down after this frame
-    ktf_down = F.coalesce(np_round(knee["x"], 1) - np_round(toes["x"], 1) < var, F.lit(False))
+    ktf_down = F.coalesce(_c("c_kneex1", side) - _c("c_toesx1", side) < var, F.lit(False))
     moving = _not_nan(knee_a) & (knee_a < F.lit(K.UP_THRESHOLD)) & (knee_a > F.lit(K.DOWN_THRESHOLD))
     hips_range = _not_nan(hips) & (F.lit(45.0) - deviation < hips) & (hips < F.lit(90.0) + deviation)
     hips_down = F.when(moving, F.lit(True)).otherwise(F.coalesce(hips_range, F.lit(False)))
-    fu = ktf_up & hips_up & shoulders_over
-    fd = ktf_down & hips_down & shoulders_over
     return {
-        "rep": knee_a,
-        "aux": hips,
-        "fu": fu,
-        "fd": fd,
+        "fu": ktf_up & hips_up & shoulders_over,
+        "fd": ktf_down & hips_down & shoulders_over,
         "iu": _bits(~ktf_up, ~hips_up, ~shoulders_over),
         "idn": _bits(~ktf_down, ~hips_down, ~shoulders_over),
     }
 
 
+def pushup_message(bits: Column) -> Column:
+    text = F.concat_ws(
+        ", ",
+        F.when(bits.bitwiseAND(1) != 0, F.lit(K.PUSHUP_MSG_SHOULDERS)),
+        F.when(bits.bitwiseAND(2) != 0, F.lit(K.PUSHUP_MSG_KNEES)),
+        F.when(bits.bitwiseAND(4) != 0, F.lit(K.PUSHUP_MSG_BODY)),
+    )
+    return F.when(bits == 0, F.lit(K.PUSHUP_GOOD)).otherwise(text)
+
+
 def squat_message(bits: Column, down: Column, hips: Column) -> Column:
     hips_txt = py_fixed(hips, 1)
     knees = F.when(down, F.lit(K.SQUAT_MSG_KNEES_DOWN)).otherwise(F.lit(K.SQUAT_MSG_KNEES_UP))
@@ -142,7 +163,7 @@ def squat_message(bits: Column, down: Column, hips: Column) -> Column:
 # registry
 # ---------------------------------------------------------------------------
 
-SIDE_BUILDERS = {"push-ups": pushup_side, "squats": squat_side}
+RULE_BUILDERS = {"push-ups": pushup_rules, "squats": squat_rules}
 
 # Display angles per exercise: (name, which feature, joint parts in order).
 DISPLAY_ANGLES = {
@@ -172,20 +193,27 @@ def side_flag(pose: Column) -> Column:
 def with_features(df: DataFrame, exercise: Column, deviation: Column, pose_col: str = "landmarks") -> DataFrame:
     """Add per-side feature columns (see module doc) and ``left_first``.
 
+    Two projections: stage 1 computes the angles and rounded coordinates once;
+    stage 2 derives the rules from those columns.  Catalyst keeps the stages
+    apart because the angles are expensive and referenced several times.
     ``exercise`` may vary per row (a CASE over the registry); unknown
     exercises produce null features.
     """
     pose = F.col(pose_col)
-    cols = {}
+    stage1 = {"left_first": side_flag(pose), "__dev": deviation}
+    for side in SIDES:
+        stage1.update(primitives(pose, side, exercise))
+    out = df.withColumns(stage1)
+    stage2 = {}
     for side in SIDES:
-        per_ex = {ex: build(pose, side, deviation) for ex, build in SIDE_BUILDERS.items()}
-        for feat in ("rep", "aux", "fu", "fd", "iu", "idn"):
+        per_ex = {ex: build(side, F.col("__dev")) for ex, build in RULE_BUILDERS.items()}
+        for feat in ("fu", "fd", "iu", "idn"):
             expr = None
             for ex, feats in per_ex.items():
-                expr = (F.when(exercise == ex, feats[feat]) if expr is None else expr.when(exercise == ex, feats[feat]))
-            cols[f"{feat}_{side}"] = expr
-    cols["left_first"] = side_flag(pose)
-    return df.withColumns(cols)
+                expr = F.when(exercise == ex, feats[feat]) if expr is None else expr.when(exercise == ex, feats[feat])
+            stage2[f"{feat}_{side}"] = expr
+    out = out.withColumns(stage2)
+    return out.drop("__dev", *[c for c in out.columns if c.startswith("c_")])
 
 
 def pick_side(df: DataFrame, left: str = "left_side") -> DataFrame:

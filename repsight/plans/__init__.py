@@ -1,6 +1,7 @@
 """Registered queries and their SQL oracle."""
 
-from . import frames  # noqa: F401  (registers queries)
+from . import frames, sets  # noqa: F401  (register queries)
+from . import oracle_sets  # noqa: F401  (register oracle SQL)
 from .oracle import ORACLE
 from .registry import QUERIES
 

@@ -142,11 +142,14 @@ def _event_base(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def pushup_poses(spark: SparkSession, base: str) -> DataFrame:
-    """Push-up poses: elbow angle = theta, body angle = 180 - phi."""
-    b = _event_base(spark, base)
+def _side_visibility() -> Column:
+    return F.when(F.col("is_left"), F.lit(0.9)).otherwise(F.lit(0.2))
+
+
+def pushup_pose() -> Column:
+    """Push-up pose from ``theta``/``vi``: elbow angle = theta, body angle = 180 - phi."""
     th = F.col("theta")
-    phi = (F.col("vi") % 4000) / 100 + 0.005
+    phi = (F.col("vi") % 4000) / 100 + 0.0025
     ex, ey = F.lit(0.5), F.lit(0.55)
     sx, sy = ex + 0.2 * _sin(th), ey + 0.2 * _cos(th)
     hx, hy = sx + 0.3, sy
@@ -160,17 +163,14 @@ def pushup_poses(spark: SparkSession, base: str) -> DataFrame:
         "ankle": (kx + 0.1, ky),
         "toes": (F.lit(0.95), F.lit(0.8)),
     }
-    left = F.col("is_left")
-    vis = F.when(left, F.lit(0.9)).otherwise(F.lit(0.2))
-    return b.select("workout_id", "ts", "event_id", "chunk", _pose(points, left, vis).alias("landmarks"))
+    return _pose(points, F.col("is_left"), _side_visibility())
 
 
-def squat_poses(spark: SparkSession, base: str) -> DataFrame:
-    """Squat poses: knee angle = theta, hip angle = psi."""
-    b = _event_base(spark, base)
+def squat_pose() -> Column:
+    """Squat pose from ``theta``/``vi``: knee angle = theta, hip angle = psi."""
     th = F.col("theta")
     vi = F.col("vi")
-    psi = F.when(th > 150, 180 - (vi % 3000) / 100 - 0.005).otherwise(20 + (vi % 10000) / 100 + 0.005)
+    psi = F.when(th > 150, 180 - (vi % 3000) / 100 - 0.0025).otherwise(20 + (vi % 10000) / 100 + 0.0025)
     kx, ky = F.lit(0.5), F.lit(0.7)
     hx, hy = kx + 0.2 * _sin(th), ky + 0.2 * _cos(th)
     sx = hx + 0.2 * (-_sin(th) * _cos(psi) + _cos(th) * _sin(psi))
@@ -182,9 +182,42 @@ def squat_poses(spark: SparkSession, base: str) -> DataFrame:
         "shoulder": (sx, sy),
         "toes": (F.lit(0.6), F.lit(0.92)),
     }
-    left = F.col("is_left")
-    vis = F.when(left, F.lit(0.9)).otherwise(F.lit(0.2))
-    return b.select("workout_id", "ts", "event_id", "chunk", _pose(points, left, vis).alias("landmarks"))
+    return _pose(points, F.col("is_left"), _side_visibility())
+
+
+def pushup_poses(spark: SparkSession, base: str) -> DataFrame:
+    b = _event_base(spark, base)
+    return b.select("workout_id", "ts", "event_id", "chunk", pushup_pose().alias("landmarks"))
+
+
+def squat_poses(spark: SparkSession, base: str) -> DataFrame:
+    b = _event_base(spark, base)
+    return b.select("workout_id", "ts", "event_id", "chunk", squat_pose().alias("landmarks"))
+
+
+def set_exercise() -> Column:
+    """Exercise of a user's set: push-ups when (user_id div 2) is even, else squats."""
+    return F.when((F.floor(F.col("workout_id") / 2) % 2) == 0, F.lit("push-ups")).otherwise(F.lit("squats"))
+
+
+def set_strictness() -> Column:
+    return F.element_at(F.array(F.lit("loose"), F.lit("moderate"), F.lit("strict")), (F.col("workout_id") % 3 + 1).cast("int"))
+
+
+def set_poses(spark: SparkSession, base: str) -> DataFrame:
+    """One set per user with mixed exercises and strictness levels.
+
+    Columns: workout_id, ts, event_id, chunk, exercise, strictness, rep_goal,
+    landmarks.  ``rep_goal = 3 + user_id % 5``; frames are not cut at the goal.
+    """
+    b = _event_base(spark, base).withColumn("exercise", set_exercise())
+    pose = F.when(F.col("exercise") == "push-ups", pushup_pose()).otherwise(squat_pose())
+    return b.select(
+        "workout_id", "ts", "event_id", "chunk", "exercise",
+        set_strictness().alias("strictness"),
+        (F.lit(3) + F.col("workout_id") % 5).cast("int").alias("rep_goal"),
+        pose.alias("landmarks"),
+    )
 
 
 # --------------------------------------------------------------------------
