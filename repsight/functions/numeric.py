@@ -77,6 +77,10 @@ def js_to_fixed0(x) -> Column:
 
 
 def round6(x) -> Column:
-    """Output normalisation used by the oracle comparison: 6 decimals, half up."""
+    """Output normalisation used by the oracle comparison: 6 decimals, half up.
+
+    NaN and infinities pass through (``floor`` would turn them into integers).
+    """
     x = _c(x)
-    return F.floor(x * 1e6 + 0.5) / 1e6
+    finite = ~F.isnan(x) & (F.abs(x) < F.lit(1e12))
+    return F.when(finite, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)

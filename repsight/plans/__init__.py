@@ -1,7 +1,7 @@
 """Registered queries and their SQL oracle."""
 
-from . import frames, sessions, sets  # noqa: F401  (register queries)
-from . import oracle_sessions, oracle_sets  # noqa: F401  (register oracle SQL)
+from . import frames, poses, sessions, sets  # noqa: F401  (register queries)
+from . import oracle_poses, oracle_sessions, oracle_sets  # noqa: F401  (register oracle SQL)
 from .oracle import ORACLE
 from .registry import QUERIES
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..constants import BODY_PART_INDEX, N_LANDMARKS, SIDE_LANDMARKS
 from .tables import read_table
 
+__all__ = ["read_table"]
+
 EVENT_ORDER = ["ts", "event_id"]
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 EMBEDDING_ORDER = ["vec_id"]
