@@ -145,6 +145,12 @@ SKELETON_EDGES = [
 # Client capture: square target size of the letterboxed frame.
 LETTERBOX_TARGET = 256
 
+# Disclaimer closing a feedback block; {} is the generation time.
+FEEDBACK_DISCLAIMER = (
+    "Disclaimer: Analysis generated on {}. This analysis was generated using "
+    "artificial intelligence and can contain errors."
+)
+
 # ---------------------------------------------------------------------------
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------
