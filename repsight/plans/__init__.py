@@ -1,6 +1,6 @@
 """Registered queries and their SQL oracle."""
 
-from . import frames, poses, sessions, sets, text  # noqa: F401  (register queries)
+from . import frames, poses, sessions, sets, streams, text  # noqa: F401  (register queries)
 from . import oracle_poses, oracle_sessions, oracle_sets, oracle_text  # noqa: F401  (register oracle SQL)
 from .oracle import ORACLE
 from .registry import QUERIES

@@ -104,9 +104,11 @@ SELECT workout_id, count(*) AS frames, CAST(max(rep_count) AS BIGINT) AS reps FR
 """
 
 sql("rep_counts", EVENTS_STATE + REP_TOTALS)
-sql("frame_state", EVENTS_STATE + f"""
+FRAME_STATE = EVENTS_STATE + f"""
 SELECT workout_id, frame, {r6('angle')} AS angle, down, rep_count, form AS form_ok FROM lt
-""")
+"""
+sql("frame_state", FRAME_STATE)
+sql("stream_frame_state", FRAME_STATE)
 sql("scale_frame_state", LINEITEM_STATE + """
 SELECT workout_id, frame, down, rep_count, form AS form_ok FROM lt
 """)

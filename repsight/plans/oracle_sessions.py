@@ -74,11 +74,12 @@ sql("settings_asof", BASE + """
 SELECT session_id, seq, type, attempt, epoch, exercise, CAST(goal AS BIGINT) AS goal, strictness, rule_strictness FROM s2
 """)
 
-sql("set_segments", SEG + """
+ORACLE_SET_SEGMENTS = SEG + """
 SELECT session_id, seq, attempt, epoch, series_number, frame, down, reps, done, form_ok, exercise,
        CAST(goal AS BIGINT) AS goal
 FROM seg
-""")
+"""
+sql("set_segments", ORACLE_SET_SEGMENTS)
 
 COMPLETED = """
 SELECT session_id, set_no + 1 AS series_number,
@@ -119,3 +120,5 @@ SELECT session_id, seq, reps, prev_reps, reps > prev_reps AND reps <> goal AND g
 sql("session_frame_angles", SEG + f"""
 SELECT session_id, series_number, frame, {r6("angle")} AS angle, down FROM seg
 """)
+
+sql("stream_sets", ORACLE_SET_SEGMENTS)
