@@ -131,7 +131,7 @@ def issue_frames(trim: DataFrame, good_match: str = "exact") -> DataFrame:
     f = trim.where(is_issue(F.col("form_issues"), good_match)).select(
         "workout_id", "form_issues", "frame", F.shiftright(F.col("frame").cast("bigint"), 16).alias("chunk")
     )
-    pos = number_frames(f, ["workout_id", "form_issues"], ["frame"], "chunk", frame_col="pos")
+    pos = number_frames(f, ["workout_id", "form_issues"], ["frame"], "chunk", frame_col="pos", materialize=True)
     return (
         pos.withColumn("run", F.col("frame") - F.col("pos"))
         .groupBy("workout_id", "form_issues", "run")

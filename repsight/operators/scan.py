@@ -75,14 +75,16 @@ def prefix_scan(
     order: Sequence[str],
     chunk: str,
     scans: Sequence[Scan],
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """Add the prefix-scan columns ``scans`` to ``df``.
 
     ``order`` must be a total order within ``keys``; ``chunk`` must be
-    non-decreasing in ``order`` within ``keys``.  With ``materialize`` the
-    local result is checkpointed before it is read twice (summary and join);
-    without it, the summary is a plain partial aggregate of the input.
+    non-decreasing in ``order`` within ``keys``.  With ``materialize`` (the
+    default) the local result is checkpointed before it is read twice
+    (summary and join), so chained scans keep a linear plan; without it the
+    summary is a plain partial aggregate of the input, which suits an input
+    that is a cheap source scan.
     """
     keys = list(keys)
     part = keys + [chunk]
@@ -167,13 +169,16 @@ def number_frames(
     frame_col: str = "frame",
     lags: dict[str, tuple[str, object]] | None = None,
     firsts: dict[str, str] | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Dense 0-based frame number within ``keys`` plus lagged and first values.
 
     ``lags``: output name -> (input column, default for the first frame); the
     value of the previous frame in order.  ``firsts``: output name -> input
     column; the value at the first frame of the key.  One exchange on
-    ``(keys, chunk)``; the per-chunk summary is a partial aggregate of the input.
+    ``(keys, chunk)``.  The per-chunk summary is a partial aggregate of the
+    input, or, with ``materialize`` (for derived inputs), of the checkpointed
+    local result.
     """
     lags = lags or {}
     firsts = firsts or {}
@@ -191,7 +196,11 @@ def number_frames(
         aggs.append(F.max_by(F.col(src), ostruct).alias(f"__last_{name}"))
     for name, src in firsts.items():
         aggs.append(F.min_by(F.col(src), ostruct).alias(f"__first_{name}"))
-    summary = df.groupBy(*part).agg(*aggs)
+    if materialize:
+        local = checkpoint(local)
+        summary = local.groupBy(*part).agg(*aggs)
+    else:
+        summary = df.groupBy(*part).agg(*aggs)
 
     cw = Window.partitionBy(*keys).orderBy(chunk)
     before = cw.rowsBetween(Window.unboundedPreceding, -1)

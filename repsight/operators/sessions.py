@@ -62,6 +62,11 @@ def settings_asof(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
             Scan("goal", goal_val, "last", default=K.INITIAL_GOAL),
             Scan("strictness", F.lower(control_value("strictness", K.CONTROL_DEFAULTS["strictness"])), "last",
                  default=K.INITIAL_STRICTNESS),
+            # an unknown exercise ends the session (its later messages are not processed)
+            Scan("terminated", F.when(
+                (F.col("type") == "workout")
+                & ~control_value("workout", K.CONTROL_DEFAULTS["workout"]).isin(*K.EXERCISES), 1
+            ).otherwise(0).cast("bigint"), "sum"),
         ],
     )
     # rules keep the strictness that was current when the exercise object was made
@@ -95,15 +100,13 @@ def segment(
     series_number, frame, form_ok``.
     """
     form_down = form_down or form_up
-    s = settings_asof(messages, chunk)
-    pose_flag = has_pose if has_pose is not None else F.lit(True)
-    frames = s.where((F.col("type") == "frame") & (F.col("attempt") > 0)).withColumn("has_pose", pose_flag)
+    frames = active_frames(settings_asof(messages, chunk), has_pose)
 
     latch_keys = ["session_id", "attempt", "epoch"]
     posed = frames.where("has_pose")
     posed = number_frames(
         posed, latch_keys, ORDER, chunk, frame_col="__lf",
-        lags={"lag_fu": (form_up, False), "lag_fd": (form_down, False)},
+        lags={"lag_fu": (form_up, False), "lag_fd": (form_down, False)}, materialize=True,
     ).drop("__lf")
     posed = hysteresis_latch(
         posed, latch_keys, ORDER, chunk, angle, "lag_fu", "lag_fd", K.DOWN_THRESHOLD, K.UP_THRESHOLD
@@ -111,10 +114,28 @@ def segment(
     unposed = frames.where(~F.col("has_pose")).withColumns(
         {"down": F.lit(None).cast("boolean"), "rep_inc": F.lit(False)}
     )
-    allf = posed.unionByName(unposed)
+    kept = close_sets(posed.unionByName(unposed), chunk)
+    form_ok = F.when(F.col("down"), F.col(form_down)).otherwise(F.col(form_up))
+    return kept.withColumn("form_ok", F.when(F.col("has_pose"), form_ok))
+
+
+def active_frames(settings: DataFrame, has_pose: Column | None = None) -> DataFrame:
+    """Frames after a ``start`` of a live session, with a pose flag."""
+    pose_flag = has_pose if has_pose is not None else F.lit(True)
+    return settings.where(
+        (F.col("type") == "frame") & (F.col("attempt") > 0) & (F.col("terminated") == 0)
+    ).withColumn("has_pose", pose_flag)
 
+
+def close_sets(frames: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """From active frames with ``rep_inc`` to kept frames with set numbers.
+
+    reps (running per attempt), done, keep (nothing done earlier in the
+    attempt), set_no (completions among earlier kept rows of the session),
+    series_number and frame (running count of kept pose frames of the set).
+    """
     att = ["session_id", "attempt"]
-    allf = prefix_scan(allf, att, ORDER, chunk, [Scan("reps", F.col("rep_inc").cast("bigint"), "sum")])
+    allf = prefix_scan(frames, att, ORDER, chunk, [Scan("reps", F.col("rep_inc").cast("bigint"), "sum")])
     allf = allf.withColumn("done", (F.col("goal") > 0) & (F.col("reps") >= F.col("goal")))
     allf = prefix_scan(
         allf, att, ORDER, chunk, [Scan("done_before", F.col("done").cast("bigint"), "sum", inclusive=False)]
@@ -128,9 +149,7 @@ def segment(
         kept, ["session_id", "set_no"], ORDER, chunk,
         [Scan("pose_count", F.col("has_pose").cast("bigint"), "sum")],
     )
-    kept = kept.withColumn("frame", F.when(F.col("has_pose"), F.col("pose_count") - 1)).drop("pose_count")
-    form_ok = F.when(F.col("down"), F.col(form_down)).otherwise(F.col(form_up))
-    return kept.withColumn("form_ok", F.when(F.col("has_pose"), form_ok))
+    return kept.withColumn("frame", F.when(F.col("has_pose"), F.col("pose_count") - 1)).drop("pose_count")
 
 
 def completed_sets(segments: DataFrame) -> DataFrame:
@@ -171,7 +190,7 @@ def status_messages(settings: DataFrame, segments: DataFrame) -> DataFrame:
     ``reps`` messages whose value is not an integer produce no message (the
     reference skips them); missing values default to 1.
     """
-    ctl = settings.where(F.col("type").isin("workout", "reps"))
+    ctl = settings.where(F.col("type").isin("workout", "reps") & (F.col("terminated") == 0))
     rv = F.trim(F.coalesce(F.col("value"), F.lit(K.CONTROL_DEFAULTS["reps"]))).try_cast("int")
     sel_tpl = K.STATUS_SELECTED.split("{}")
     tgt_tpl = K.STATUS_TARGET.split("{}")

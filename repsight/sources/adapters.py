@@ -296,3 +296,52 @@ def session_messages(spark: SparkSession, base: str) -> DataFrame:
         F.when(is_frame, F.col("event_type") != "error").alias("form"),
     )
 
+
+
+# --------------------------------------------------------------------------
+# Adapter F: native frame and control tables of pose sessions, from events
+# --------------------------------------------------------------------------
+
+def native_sessions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, controls) in the native schemas.
+
+    Controls as adapter E, plus ``strictness`` = strict for signup with
+    k % 4 = 2 and moderate for k % 4 = 3.  Frames: view, click and error
+    events, each with a 33-point push-up pose (facing side by user parity).
+    """
+    from ..operators.scan import number_frames
+
+    ev = read_table(spark, base, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    ev = ev.select(
+        F.col("user_id").alias("session_id"), "ts", "event_id", "event_type", event_k().alias("k"),
+        event_theta().alias("theta"), F.round(F.col("value") * 100).cast("bigint").alias("vi"),
+        ((F.col("user_id") % 2) == 0).alias("is_left"), events_chunk(),
+    )
+    numbered = number_frames(ev, ["session_id"], EVENT_ORDER, "chunk", frame_col="n0")
+    seq = (F.col("n0") + 1) * 10
+    et, k = F.col("event_type"), F.col("k")
+    ctl_t = "array<struct<seq:bigint,type:string,value:string>>"
+    msgs = F.when(
+        (et == "signup") & (k % 4 == 0),
+        F.array(
+            F.struct(seq.alias("seq"), F.lit("start").alias("type"), F.lit(None).cast("string").alias("value")),
+            F.struct((seq + 1).alias("seq"), F.lit("workout").alias("type"), F.lit("push-ups").alias("value")),
+        ),
+    ).when(
+        (et == "signup") & (k % 4 == 1),
+        F.array(F.struct(seq.alias("seq"), F.lit("workout").alias("type"), F.lit("squats").alias("value"))),
+    ).when(
+        (et == "signup") & (k % 4 == 2),
+        F.array(F.struct(seq.alias("seq"), F.lit("strictness").alias("type"), F.lit("strict").alias("value"))),
+    ).when(
+        (et == "signup") & (k % 4 == 3),
+        F.array(F.struct(seq.alias("seq"), F.lit("strictness").alias("type"), F.lit("moderate").alias("value"))),
+    ).when(
+        et == "purchase",
+        F.array(F.struct(seq.alias("seq"), F.lit("reps").alias("type"), (k % 3).cast("string").alias("value"))),
+    ).otherwise(F.array().cast(ctl_t))
+    controls = numbered.select("session_id", "ts", F.inline(msgs))
+    frames = numbered.where(et.isin("view", "click", "error")).select(
+        "session_id", seq.alias("seq"), "ts", pushup_pose().alias("landmarks")
+    )
+    return frames, controls
