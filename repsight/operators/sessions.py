@@ -130,26 +130,57 @@ def active_frames(settings: DataFrame, has_pose: Column | None = None) -> DataFr
 def close_sets(frames: DataFrame, chunk: str = "chunk") -> DataFrame:
     """From active frames with ``rep_inc`` to kept frames with set numbers.
 
-    reps (running per attempt), done, keep (nothing done earlier in the
-    attempt), set_no (completions among earlier kept rows of the session),
-    series_number and frame (running count of kept pose frames of the set).
+    One frame-level scan per (session, attempt) gives the running repetitions
+    and pose-frame count; everything else works on the small per-attempt
+    table:
+
+    * an attempt keeps its rows up to its first ``done`` row (its completion);
+    * a completion precedes every later attempt, so a row's ``set_no`` is the
+      number of completed earlier attempts of the session;
+    * a set spans the attempts since the previous completion, so a frame's
+      number is the kept pose frames of earlier attempts of its set plus its
+      running count in the attempt.
+
+    The per-attempt prefix sums are chunked scans over attempts.
     """
     att = ["session_id", "attempt"]
-    allf = prefix_scan(frames, att, ORDER, chunk, [Scan("reps", F.col("rep_inc").cast("bigint"), "sum")])
-    allf = allf.withColumn("done", (F.col("goal") > 0) & (F.col("reps") >= F.col("goal")))
-    allf = prefix_scan(
-        allf, att, ORDER, chunk, [Scan("done_before", F.col("done").cast("bigint"), "sum", inclusive=False)]
+    f = prefix_scan(
+        frames, att, ORDER, chunk,
+        [
+            Scan("reps", F.col("rep_inc").cast("bigint"), "sum"),
+            Scan("pose_count", F.col("has_pose").cast("bigint"), "sum"),
+        ],
+    )
+    f = f.withColumn("done", (F.col("goal") > 0) & (F.col("reps") >= F.col("goal")))
+    done_seq = F.when(F.col("done"), F.col("seq"))
+    per_attempt = f.groupBy(*att).agg(
+        F.min(done_seq).alias("done_seq"),
+        F.min_by("pose_count", done_seq).alias("pc_done"),
+        F.max("pose_count").alias("pc_all"),
+    )
+    completed = F.col("done_seq").isNotNull()
+    per_attempt = per_attempt.select(
+        *att, "done_seq", completed.cast("bigint").alias("completed"),
+        F.when(completed, F.col("pc_done")).otherwise(F.col("pc_all")).alias("kept_pc"),
+        F.shiftright(F.col("attempt"), 16).alias("achunk"),
     )
-    kept = allf.where(F.col("done_before") == 0).drop("done_before")
-    kept = prefix_scan(
-        kept, ["session_id"], ORDER, chunk, [Scan("set_no", F.col("done").cast("bigint"), "sum", inclusive=False)]
+    per_attempt = prefix_scan(
+        per_attempt, ["session_id"], ["attempt"], "achunk",
+        [Scan("set_no", F.col("completed"), "sum", inclusive=False)],
     )
-    kept = kept.withColumn("series_number", (F.col("set_no") + 1).cast("bigint"))
-    kept = prefix_scan(
-        kept, ["session_id", "set_no"], ORDER, chunk,
-        [Scan("pose_count", F.col("has_pose").cast("bigint"), "sum")],
+    per_attempt = prefix_scan(
+        per_attempt, ["session_id", "set_no"], ["attempt"], "achunk",
+        [Scan("frame_offset", F.col("kept_pc"), "sum", inclusive=False)],
+    ).select(*att, "done_seq", "set_no", "frame_offset")
+    kept = f.join(per_attempt, att, "inner").where(
+        F.col("done_seq").isNull() | (F.col("seq") <= F.col("done_seq"))
     )
-    return kept.withColumn("frame", F.when(F.col("has_pose"), F.col("pose_count") - 1)).drop("pose_count")
+    return kept.withColumns(
+        {
+            "series_number": (F.col("set_no") + 1).cast("bigint"),
+            "frame": F.when(F.col("has_pose"), F.col("frame_offset") + F.col("pose_count") - 1),
+        }
+    ).drop("done_seq", "frame_offset", "pose_count")
 
 
 def completed_sets(segments: DataFrame) -> DataFrame:

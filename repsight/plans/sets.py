@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round6
 from ..operators import analytics as AN
 from ..operators.reps import pose_frame_state
-from ..operators.scan import number_frames
+from ..operators.scan import checkpoint, number_frames
 from ..operators.tables import analysis_rows, raw_landmark_rows, workout_rows
 from ..sources import adapters as A
 from .registry import query
@@ -21,7 +21,13 @@ def set_state(spark: SparkSession, base: str) -> DataFrame:
 
 
 def set_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    st = set_state(spark, base)
+    """The stored ``workout`` and ``workout_analysis`` tables of the sets.
+
+    The per-frame state is materialised once (as the stored tables are in the
+    analysed application); every analytic reads it instead of recomputing the
+    scans.
+    """
+    st = checkpoint(set_state(spark, base))
     return workout_rows(st), analysis_rows(st)
 
 
