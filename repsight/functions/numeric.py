@@ -84,3 +84,9 @@ def round6(x) -> Column:
     x = _c(x)
     finite = ~F.isnan(x) & (F.abs(x) < F.lit(1e12))
     return F.when(finite, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)
+
+
+def invert_map(m) -> Column:
+    """Swap keys and values of a map column (F13); duplicate values keep the last key."""
+    m = _c(m)
+    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))

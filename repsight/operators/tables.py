@@ -117,3 +117,12 @@ def save_sets(workout: DataFrame, analysis: DataFrame, raw: DataFrame, base_path
     append_table(workout, f"{base_path}/workout", WORKOUT, ("id",))
     append_table(analysis, f"{base_path}/workout_analysis", WORKOUT_ANALYSIS, ("workout_id", "frame"))
     append_table(raw, f"{base_path}/raw_landmarks", RAW_LANDMARKS, ("workout_id", "frame"))
+
+
+def read_sets(spark, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open stored tables (S11): ``workout``, ``workout_analysis``, ``raw_landmarks``."""
+    return (
+        spark.read.schema(WORKOUT).parquet(f"{base_path}/workout"),
+        spark.read.schema(WORKOUT_ANALYSIS).parquet(f"{base_path}/workout_analysis"),
+        spark.read.schema(RAW_LANDMARKS).parquet(f"{base_path}/raw_landmarks"),
+    )

@@ -60,3 +60,17 @@ def pose_session_summary(spark: SparkSession, base: str) -> DataFrame:
         "workout_id", "frame_start", round6("duration").alias("duration"), "total_repetitions",
         round6("average_time_repetitions").alias("average_time_repetitions"),
     )
+
+
+@query("frame_messages")
+def frame_messages(spark: SparkSession, base: str) -> DataFrame:
+    """The JSON response of every processed frame of pose sessions."""
+    from ..operators import exercises as X
+    from ..operators.text import frame_message
+
+    seg, frames = native_segments(spark, base)
+    j = seg.join(frames.select("session_id", "seq", "landmarks"), ["session_id", "seq"], "inner")
+    angles = X.angles_data(F.col("exercise"), F.col("rep"), F.col("aux"), F.col("left_side"))
+    msg = frame_message(F.col("landmarks"), F.col("reps"), F.col("form_ok"), F.col("form_issues"), angles,
+                        F.col("down"), F.col("has_pose"))
+    return j.select("session_id", "seq", msg.alias("message"))

@@ -167,3 +167,53 @@ LEFT JOIN (SELECT workout_id, CAST(max(rep_count) AS BIGINT) AS total_repetition
 LEFT JOIN (SELECT workout_id, sum(CAST(round(duration * 10) AS BIGINT)) AS s, count(duration) AS n FROM spans GROUP BY workout_id) a
   ON a.workout_id = sf.workout_id
 """)
+
+
+def _rnd(x: str, n: int) -> str:
+    s = 10 ** n
+    return f"(sign({x}) * floor(abs({x}) * {s} + 0.5) / {s})"
+
+
+def _landmark_list() -> str:
+    pts = {"elbow": ("ex", "ey"), "wrist": ("wx", "wy"), "shoulder": ("sx", "sy"), "hip": ("hx", "hy"),
+           "knee": ("kx", "ky"), "ankle": ("ax", "ay"), "toes": ("tx", "ty")}
+    items = []
+    for i in range(K.N_LANDMARKS):
+        xs, ys = [], []
+        for part, (lx, ly) in pts.items():
+            li, ri = K.BODY_PART_INDEX[part]
+            if i == li:
+                xs.append(f"WHEN is_left THEN {lx}")
+                ys.append(f"WHEN is_left THEN {ly}")
+            if i == ri:
+                xs.append(f"WHEN NOT is_left THEN {lx}")
+                ys.append(f"WHEN NOT is_left THEN {ly}")
+        cx = f"CASE {' '.join(xs)} ELSE 0.5 END" if xs else "0.5"
+        cy = f"CASE {' '.join(ys)} ELSE 0.5 END" if ys else "0.5"
+        items.append(f"struct_pack(x := {_rnd(cx, 4)}, y := {_rnd(cy, 4)})")
+    return "[" + ", ".join(items) + "]"
+
+
+def _idx(parts) -> str:
+    left = ", ".join(str(part_index(p, "L")) for p in parts)
+    right = ", ".join(str(part_index(p, "R")) for p in parts)
+    return f"CASE WHEN left_side THEN [{left}] ELSE [{right}] END"
+
+
+_DISPLAY = f"""CASE WHEN exercise = 'push-ups' THEN [
+    struct_pack(name := 'elbow', value := {_rnd('rep', 2)}, joint_indices := {_idx(("wrist", "elbow", "shoulder"))}),
+    struct_pack(name := 'body', value := {_rnd('aux', 2)}, joint_indices := {_idx(("shoulder", "hip", "ankle"))})]
+  ELSE [
+    struct_pack(name := 'knee', value := {_rnd('rep', 2)}, joint_indices := {_idx(("ankle", "knee", "hip"))}),
+    struct_pack(name := 'hip', value := {_rnd('aux', 2)}, joint_indices := {_idx(("shoulder", "hip", "knee"))})] END"""
+
+sql("frame_messages", NATIVE + f"""
+SELECT session_id, seq, to_json(struct_pack(
+    landmarks := {_landmark_list()},
+    rep_count := reps,
+    form_ok := form_ok,
+    form_message := form_issues,
+    display_angles := {_DISPLAY},
+    is_down_phase := coalesce(down, false))) AS message
+FROM seg
+""")

@@ -122,3 +122,8 @@ SELECT session_id, series_number, frame, {r6("angle")} AS angle, down FROM seg
 """)
 
 sql("stream_sets", ORACLE_SET_SEGMENTS)
+
+sql("model_clock", SEG + f"""
+SELECT session_id, seq, CAST({K.FRAME_STEP_MS} * row_number() OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS model_clock_ms
+FROM seg
+""")

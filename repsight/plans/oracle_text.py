@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import constants as K
 from ..operators.text import PROMPT_SYSTEM, PROMPT_USER
-from .oracle import r6, sql
+from .oracle import ORACLE, r6, sql
 from .oracle_sessions import COMPLETED, SEG
 from .oracle_sets import ISSUE, REP_SPANS, SET_CTES, _ANGLE_LONG, _stats
 
@@ -164,3 +164,10 @@ SELECT 'workout_analysis -> workout' AS "check", count(*) AS rows FROM wa WHERE
 UNION ALL SELECT 'raw_landmarks -> workout', count(*) FROM wa WHERE workout_id NOT IN (SELECT id FROM wk)
 UNION ALL SELECT 'frames of sets without start frame', count(*) FROM wa WHERE workout_id NOT IN (SELECT workout_id FROM sf)
 """)
+
+sql("stored_set_summary", ORACLE["set_summary"])
+sql("latest_set_summary", SET_CTES + f"""
+SELECT workout_id, workout_name, series_number, rep_goal, strictness_crit, frame_start, {r6('duration')} AS duration,
+       total_repetitions, {r6('average_time_repetitions')} AS average_time_repetitions, issue_summary, worst_reps_summary
+FROM ({SUMMARY}) WHERE workout_id = (SELECT max(id) FROM wk)
+""")

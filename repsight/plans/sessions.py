@@ -67,3 +67,14 @@ def session_frame_angles(spark: SparkSession, base: str) -> DataFrame:
         "session_id", "series_number", F.col("frame").cast("bigint").alias("frame"), round6("angle").alias("angle"),
         "down",
     )
+
+
+@query("model_clock")
+def model_clock(spark: SparkSession, base: str) -> DataFrame:
+    """Model timestamp of each processed frame: 33 ms per processed frame of the session."""
+    from .. import constants as K
+    from ..operators.scan import Scan, prefix_scan
+
+    g = session_segments(spark, base)
+    c = prefix_scan(g, ["session_id"], ["seq"], "chunk", [Scan("processed", None, "count")])
+    return c.select("session_id", "seq", (F.col("processed") * K.FRAME_STEP_MS).cast("bigint").alias("model_clock_ms"))

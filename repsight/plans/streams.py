@@ -41,9 +41,15 @@ def stream_frame_state(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def stage_messages(spark: SparkSession, base: str, parts: int = 3) -> str:
-    """Write the session messages (derived from events by Spark) as ``parts``
-    files in time order into a fresh folder of the shared checkpoint area."""
+def stage_messages(spark: SparkSession, base: str, parts: int = 3, files: int = 4) -> str:
+    """Write the session messages (derived from events by Spark) in ``parts``
+    time slices into a fresh folder of the shared checkpoint area.
+
+    Each slice is written in parallel as ``files`` files hashed by session, so
+    all rows of a session in a slice share one file, and slices are written
+    one after another (later modification times).  Reading ``files`` files per
+    trigger therefore never hands a session's later rows to an earlier batch.
+    """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/staged/messages-{uuid.uuid4().hex}"
     msgs = A.session_messages(spark, base).select("session_id", "seq", "ts", "type", "value", "angle", "form")
@@ -54,7 +60,7 @@ def stage_messages(spark: SparkSession, base: str, parts: int = 3) -> str:
         a = lo + step * i
         b = lo + step * (i + 1)
         cond = (F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < parts - 1 else F.lit(True))
-        msgs.where(cond).coalesce(1).write.mode("append").parquet(path)
+        msgs.where(cond).repartition(files, "session_id").write.mode("append").parquet(path)
         time.sleep(1.1)  # distinct modification times keep the file order
     return path
 
@@ -62,8 +68,9 @@ def stage_messages(spark: SparkSession, base: str, parts: int = 3) -> str:
 @query("stream_sets")
 def stream_sets(spark: SparkSession, base: str) -> DataFrame:
     """Set segmentation computed incrementally over three micro-batches; equals ``set_segments``."""
-    path = stage_messages(spark, base)
+    files = 4
+    path = stage_messages(spark, base, files=files)
     schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     out = run_to_table(spark, session_stream(src), "sets")
     return out

@@ -20,6 +20,11 @@ GENERATED_AT = "2024-02-01 00:00:00"
 def set_summary_frame(spark: SparkSession, base: str) -> DataFrame:
     """One keyed row per set with every scalar and text the prompt needs."""
     w, an = set_tables(spark, base)
+    return summarize_sets(w, an)
+
+
+def summarize_sets(w: DataFrame, an: DataFrame) -> DataFrame:
+    """A14 from the ``workout`` and ``workout_analysis`` tables."""
     params = AN.set_params(w, an)
     trim = AN.trimmed(an, params)
     meta = AN.set_metadata(w, an).select(F.col("id").alias("workout_id"), "duration")
@@ -53,9 +58,7 @@ def worst_rep_text(spark: SparkSession, base: str) -> DataFrame:
     return TX.worst_rep_summary(AN.worst_reps(AN.trimmed(an, AN.set_params(w, an))))
 
 
-@query("set_summary")
-def set_summary(spark: SparkSession, base: str) -> DataFrame:
-    s = set_summary_frame(spark, base)
+def _summary_view(s: DataFrame) -> DataFrame:
     return s.select(
         "workout_id", "workout_name", F.col("series_number").cast("bigint").alias("series_number"),
         F.col("rep_goal").cast("bigint").alias("rep_goal"), "strictness_crit", "frame_start",
@@ -64,6 +67,38 @@ def set_summary(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query("set_summary")
+def set_summary(spark: SparkSession, base: str) -> DataFrame:
+    return _summary_view(set_summary_frame(spark, base))
+
+
+@query("latest_set_summary")
+def latest_set_summary(spark: SparkSession, base: str) -> DataFrame:
+    """The single-set mode: summary of the set with the highest id.
+
+    The latest id is a one-row aggregate, broadcast (size 1) as a semi-join.
+    """
+    w, an = set_tables(spark, base)
+    latest = w.agg(F.max("id").alias("workout_id"))
+    return _summary_view(summarize_sets(w, an).join(F.broadcast(latest), "workout_id", "left_semi"))
+
+
+@query("stored_set_summary")
+def stored_set_summary(spark: SparkSession, base: str) -> DataFrame:
+    """Store the three tables of the sets in the shared folder, read them back
+    and run the analytics pack on the stored tables (S4-S8, S11)."""
+    import uuid
+
+    from ..operators.tables import read_sets, save_sets
+    from ..session import ensure_checkpoint_dir
+
+    w, an = set_tables(spark, base)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/sets-{uuid.uuid4().hex}"
+    save_sets(w, an, raw_table(spark, base), path)
+    w2, an2, _raw = read_sets(spark, path)
+    return _summary_view(summarize_sets(w2, an2))
+
+
 @query("prompt_rows")
 def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
     s = set_summary_frame(spark, base)

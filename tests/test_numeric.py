@@ -60,3 +60,11 @@ def test_py_fixed_nan_and_round6(spark):
     assert r[0]["t"] == "nan" and math.isnan(r[0]["r"])
     assert r[1]["r"] == 1.234567
     assert r[2]["r"] == 1e15
+
+
+def test_invert_map(spark):
+    from repsight.functions.numeric import invert_map
+
+    df = spark.createDataFrame([({11: "shoulder", 13: "elbow"},)], "m map<int,string>")
+    got = df.select(invert_map("m").alias("r")).first()["r"]
+    assert got == {"shoulder": 11, "elbow": 13}
