@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,10 +36,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> str:
+    """Checkpoint folder plus the package shipped to the Python workers."""
+    path = ensure_checkpoint_dir(spark)
+    ship_package(spark, path)
+    return path
+
+
+def ship_package(spark: SparkSession, folder: str) -> None:
+    """Zip this package into ``folder`` and ``addPyFile`` it, once per application.
+
+    Python workers import the package for the pandas functions of the
+    streaming operators; on a cluster they have no access to the driver's
+    source tree.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    local_folder = folder[len("file:"):] if folder.startswith("file:") else folder
+    target = os.path.join(local_folder, f"repsight-{app}.zip") if os.path.isdir(local_folder) else os.path.join(
+        tempfile.mkdtemp(prefix="repsight-pkg-"), "repsight.zip"
+    )
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 

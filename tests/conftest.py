@@ -28,5 +28,8 @@ def spark():
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(ckpt)
+    from repsight.session import prepare
+
+    prepare(s)
     yield s
     s.stop()
