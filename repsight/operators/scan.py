@@ -301,3 +301,43 @@ def hysteresis_latch(
         ).cast("bigint"),
     )
     return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def adaptive_chunk(
+    df: DataFrame,
+    keys: Sequence[str],
+    coarse: Column,
+    fine: Column,
+    max_rows: int = 1 << 20,
+    max_hot: int = 1 << 20,
+    name: str = "chunk",
+) -> DataFrame:
+    """Add an order-preserving ``chunk``: the coarse bucket, refined by ``fine``
+    only inside (key, coarse) groups holding more than ``max_rows`` rows.
+
+    ``coarse`` must be non-decreasing in the scan order within a key and
+    ``fine`` non-decreasing within a coarse bucket, with ``0 <= fine < 2^32``.
+    Normal keys thus get few, full chunks (small summary tables), and a hot
+    key is still split into bounded chunks.  The refined groups number at most
+    rows / ``max_rows``; they are broadcast only below ``max_hot`` (checked
+    with one count), and beyond that every row uses the fine chunk.
+    """
+    keys = list(keys)
+    d = df.withColumn("__coarse", coarse.cast("bigint")).withColumn("__fine", fine.cast("bigint"))
+    hot = (
+        d.groupBy(*keys, "__coarse")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > max_rows)
+        .select(*keys, "__coarse", F.lit(True).alias("__hot"))
+    )
+    n_hot = hot.count()
+    base = F.shiftleft(F.col("__coarse"), 32)
+    if n_hot == 0:
+        out = d.withColumn(name, base)
+    elif n_hot <= max_hot:
+        out = d.join(F.broadcast(hot), keys + ["__coarse"], "left").withColumn(
+            name, base + F.when(F.col("__hot"), F.col("__fine")).otherwise(F.lit(0))
+        )
+    else:
+        out = d.withColumn(name, base + F.col("__fine"))
+    return out.drop("__coarse", "__fine", "__hot")

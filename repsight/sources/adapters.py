@@ -80,17 +80,24 @@ def events_signal(spark: SparkSession, base: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def lineitem_signal(spark: SparkSession, base: str) -> DataFrame:
+    """Chunks: ship month, refined to (day of month, 2^20 order keys) only for
+    (supplier, month) groups above 2^20 rows (``scan.adaptive_chunk``)."""
+    from ..operators.scan import adaptive_chunk
+
     li = read_table(
         spark, base, "lineitem",
         ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"],
     )
-    return li.select(
+    sig = li.select(
         F.col("l_suppkey").alias("workout_id"),
         *LINEITEM_ORDER,
-        lineitem_chunk(),
         ((F.col("l_quantity") - 1) * 180 / 49).alias("angle"),
         (F.col("l_returnflag") != "R").alias("form"),
     )
+    d = F.to_date("l_shipdate")
+    month = (F.year(d) * 12 + F.month(d)).cast("bigint")
+    fine = F.dayofmonth(d).cast("bigint") * F.lit(1 << 24) + F.shiftright(F.col("l_orderkey"), CHUNK_SHIFT)
+    return adaptive_chunk(sig, ["workout_id"], month, fine)
 
 
 # --------------------------------------------------------------------------

@@ -99,3 +99,21 @@ def test_latch_plan_shuffles_big_side_once(spark):
     plan = n._jdf.queryExecution().executedPlan().toString()
     # exchanges: frames on (key, chunk) + the small per-chunk summary paths
     assert "hashpartitioning(key" in plan
+
+
+@pytest.mark.parametrize("max_rows", [1, 5, 10_000])
+def test_adaptive_chunks_keep_results(spark, max_rows):
+    """Refined (hot) and coarse chunks give the same latch as the model."""
+    from repsight.operators.scan import adaptive_chunk
+
+    rows = _random_signal(seed=max_rows)
+    df = spark.createDataFrame(rows, "key long, seq long, angle double, fu boolean, fd boolean")
+    df = adaptive_chunk(df, ["key"], F.shiftright("seq", 6), F.col("seq") % 64, max_rows=max_rows)
+    n = number_frames(df, ["key"], ["seq"], "chunk", lags={"pfu": ("fu", False), "pfd": ("fd", False)})
+    out = hysteresis_latch(n, ["key"], ["seq"], "chunk", "angle", "pfu", "pfd", 90.0, 150.0)
+    got = out.select("key", "seq", "down", "rep_count").toPandas().sort_values(["key", "seq"])
+    pdf = pd.DataFrame(rows, columns=["key", "seq", "angle", "fu", "fd"]).sort_values(["key", "seq"])
+    for key, g in pdf.groupby("key"):
+        d, r, _f = latch_sequence(list(g["angle"]), list(g["fu"]), list(g["fd"]))
+        mine = got[got["key"] == key]
+        assert list(mine["down"]) == d and list(mine["rep_count"]) == r
