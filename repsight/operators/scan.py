@@ -40,6 +40,18 @@ def order_struct(order: Sequence[str]) -> Column:
     return F.struct(*_cols(order))
 
 
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a few large input splits over the cluster before heavy map-side work.
+
+    A no-op when the input already has at least ``defaultParallelism``
+    partitions (the normal case at scale); otherwise one round-robin exchange.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the session's checkpoint folder.
 
@@ -93,6 +105,8 @@ def prefix_scan(
     for s in scans:
         v = F.lit(1).cast("bigint") if s.kind == "count" else s.expr
         tmp = tmp.withColumn(f"__v_{s.name}", v)
+    if not materialize:
+        tmp = tmp.repartition(*_cols(part))  # shared by window and summary
 
     w = Window.partitionBy(*part).orderBy(*_cols(order))
     incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -187,6 +201,10 @@ def number_frames(
     ostruct = order_struct(order)
     w = Window.partitionBy(*part).orderBy(*_cols(order))
 
+    if not materialize:
+        # one exchange on (keys, chunk) read by both the window and the
+        # summary (ReusedExchange): map-side work runs once
+        df = df.repartition(*_cols(part))
     local = df.withColumn("__rn", F.row_number().over(w))
     for name, (src, _default) in lags.items():
         local = local.withColumn(f"__lag_{name}", F.lag(F.col(src), 1).over(w))

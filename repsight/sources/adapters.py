@@ -139,7 +139,9 @@ def _pose(points: dict[str, tuple[Column, Column]], left: Column, vis_left: Colu
 
 
 def _event_base(spark: SparkSession, base: str) -> DataFrame:
-    ev = read_table(spark, base, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    from ..operators.scan import ensure_parallel
+
+    ev = ensure_parallel(read_table(spark, base, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))
     return ev.select(
         F.col("user_id").alias("workout_id"),
         "ts",
@@ -318,7 +320,9 @@ def native_sessions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFram
     """
     from ..operators.scan import number_frames
 
-    ev = read_table(spark, base, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    from ..operators.scan import ensure_parallel
+
+    ev = ensure_parallel(read_table(spark, base, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))
     ev = ev.select(
         F.col("user_id").alias("session_id"), "ts", "event_id", "event_type", event_k().alias("k"),
         event_theta().alias("theta"), F.round(F.col("value") * 100).cast("bigint").alias("vi"),
