@@ -134,7 +134,8 @@ sql("pose_session_sets", NATIVE + SETS + f"""
 SELECT CAST(s.session_id * 1000000 + s.series_number AS BIGINT) AS id, s.exercise AS workout_name,
        epoch_us(st.timestamp_start) AS timestamp_start_us, CAST(s.goal AS BIGINT) AS rep_goal,
        CAST(s.series_number AS BIGINT) AS series_number, s.strictness AS strictness_crit,
-       CASE s.strictness {" ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items())} END AS strictness_definition,
+       CAST(CASE s.strictness {" ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items())} END AS DOUBLE)
+         AS strictness_definition,
        s.left_side, {_interest_text()} AS ldmrks_of_interest
 FROM first_rows s JOIN starts st USING (session_id)
 """)
@@ -208,12 +209,12 @@ _DISPLAY = f"""CASE WHEN exercise = 'push-ups' THEN [
     struct_pack(name := 'hip', value := {_rnd('aux', 2)}, joint_indices := {_idx(("shoulder", "hip", "knee"))})] END"""
 
 sql("frame_messages", NATIVE + f"""
-SELECT session_id, seq, to_json(struct_pack(
+SELECT session_id, seq, CAST(to_json(struct_pack(
     landmarks := {_landmark_list()},
     rep_count := reps,
     form_ok := form_ok,
     form_message := form_issues,
     display_angles := {_DISPLAY},
-    is_down_phase := coalesce(down, false))) AS message
+    is_down_phase := coalesce(down, false))) AS VARCHAR) AS message
 FROM seg
 """)

@@ -59,8 +59,8 @@ for exn, feats, msg in (("push-ups", pushup_features_sql, PUSHUP_MESSAGE), ("squ
         p = f"{'p' if exn == 'push-ups' else 's'}{level[0]}_"
         _ctes.append(pose_state_ctes(feats(EVENT_BASE, p, str(dev)), msg, p))
         _parts.append(
-            f"SELECT '{exn}' AS exercise, '{level}' AS strictness, sum(frames) AS frames, "
-            f"sum(good) AS good_frames, CAST(sum(reps) AS BIGINT) AS reps FROM ("
+            f"SELECT '{exn}' AS exercise, '{level}' AS strictness, CAST(sum(frames) AS BIGINT) AS frames, "
+            f"CAST(sum(good) AS BIGINT) AS good_frames, CAST(sum(reps) AS BIGINT) AS reps FROM ("
             f"SELECT workout_id, count(*) AS frames, count(*) FILTER (WHERE form_ok) AS good, max(rep_count) AS reps "
             f"FROM {p}st GROUP BY workout_id)"
         )

@@ -15,7 +15,8 @@ from .oracle import (
     squat_features_sql,
 )
 
-DEV_CASE = "CASE strictness " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items()) + " END"
+DEV_CASE = ("CAST(CASE strictness " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items())
+            + " END AS DOUBLE)")
 
 SETS_BASE = f"""
 SELECT *, {DEV_CASE} AS dev FROM (

@@ -47,9 +47,19 @@ def test_every_query_has_oracle():
     assert not missing, missing
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_query_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, BASE).toPandas()
+    sdf = QUERIES[name](spark, BASE)
+    types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    duck_types = {r[0]: r[1] for r in con.sql(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert types == duck_types
+    got = sdf.toPandas()
     exp = con.sql(ORACLE[name]).df()
     c1, r1 = _rows(got)
     c2, r2 = _rows(exp)
