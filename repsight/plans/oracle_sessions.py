@@ -127,3 +127,7 @@ sql("model_clock", SEG + f"""
 SELECT session_id, seq, CAST({K.FRAME_STEP_MS} * row_number() OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS model_clock_ms
 FROM seg
 """)
+
+sql("stream_stored_sets", SEG + f"""
+SELECT session_id, series_number, reps, exercise_at_end, frames, last_seq FROM ({COMPLETED})
+""")

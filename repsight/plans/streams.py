@@ -74,3 +74,20 @@ def stream_sets(spark: SparkSession, base: str) -> DataFrame:
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     out = run_to_table(spark, session_stream(src), "sets")
     return out
+
+
+@query("stream_stored_sets")
+def stream_stored_sets(spark: SparkSession, base: str) -> DataFrame:
+    """Completed sets stored by a streaming job through ``foreachBatch``."""
+    from ..streaming.sink import new_store, store_sets, stored_table
+
+    files = 4
+    path = stage_messages(spark, base, files=files)
+    schema = spark.read.parquet(path).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    store = new_store(spark, "sets")
+    store_sets(spark, session_stream(src), store)
+    return stored_table(spark, store, "sets").select(
+        "session_id", "series_number", F.col("reps").cast("bigint").alias("reps"), "exercise_at_end",
+        F.col("frames").cast("bigint").alias("frames"), F.col("last_seq").cast("bigint").alias("last_seq"),
+    )

@@ -117,3 +117,24 @@ def test_adaptive_chunks_keep_results(spark, max_rows):
         d, r, _f = latch_sequence(list(g["angle"]), list(g["fu"]), list(g["fd"]))
         mine = got[got["key"] == key]
         assert list(mine["down"]) == d and list(mine["rep_count"]) == r
+
+
+def test_hot_key_is_split_and_exact(spark):
+    """One key holds ~95% of the rows: it spans many chunks (many tasks), and
+    the latch still equals the sequential model."""
+    rnd = random.Random(17)
+    rows = []
+    for k, length in ((0, 6000), (1, 150), (2, 120)):
+        for i in range(length):
+            rows.append((k, i, rnd.uniform(0, 180), rnd.random() < 0.8, rnd.random() < 0.7))
+    df = spark.createDataFrame(rows, "key long, seq long, angle double, fu boolean, fd boolean")
+    df = df.withColumn("chunk", F.shiftright("seq", 7))
+    assert df.where("key = 0").select("chunk").distinct().count() >= 40
+    n = number_frames(df, ["key"], ["seq"], "chunk", lags={"pfu": ("fu", False), "pfd": ("fd", False)})
+    out = hysteresis_latch(n, ["key"], ["seq"], "chunk", "angle", "pfu", "pfd", 90.0, 150.0)
+    got = out.select("key", "seq", "down", "rep_count").toPandas().sort_values(["key", "seq"])
+    pdf = pd.DataFrame(rows, columns=["key", "seq", "angle", "fu", "fd"])
+    for key, g in pdf.groupby("key"):
+        d, r, _f = latch_sequence(list(g["angle"]), list(g["fu"]), list(g["fd"]))
+        mine = got[got["key"] == key]
+        assert list(mine["down"]) == d and list(mine["rep_count"]) == r

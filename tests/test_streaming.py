@@ -16,3 +16,12 @@ def test_stream_frame_state_equals_batch(spark):
 
 def test_stream_sets_equals_batch(spark):
     assert _rows(QUERIES["stream_sets"](spark, BASE)) == _rows(QUERIES["set_segments"](spark, BASE))
+
+
+def test_stream_stored_sets_equal_batch(spark):
+    from pyspark.sql import functions as F
+
+    batch = QUERIES["completed_sets"](spark, BASE).select(
+        "session_id", "series_number", "reps", "exercise_at_end", "frames", F.col("last_seq").cast("bigint")
+    )
+    assert _rows(QUERIES["stream_stored_sets"](spark, BASE)) == _rows(batch)
