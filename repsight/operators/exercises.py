@@ -190,6 +190,33 @@ def side_flag(pose: Column) -> Column:
     return landmark(pose, li)["visibility"] > landmark(pose, ri)["visibility"]
 
 
+def add_primitives(df: DataFrame, exercise: Column, pose_col: str = "landmarks") -> DataFrame:
+    """Stage 1: ``left_first``, per-side angles ``rep_s``/``aux_s`` and rounded coordinates."""
+    pose = F.col(pose_col)
+    cols = {"left_first": side_flag(pose)}
+    for side in SIDES:
+        cols.update(primitives(pose, side, exercise))
+    return df.withColumns(cols)
+
+
+def add_rules(df: DataFrame, exercise: Column, deviation: Column, suffix: str = "") -> DataFrame:
+    """Stage 2: ``fu``/``fd``/``iu``/``idn`` per side from the stage-1 columns."""
+    out = df.withColumn("__dev", deviation)
+    cols = {}
+    for side in SIDES:
+        per_ex = {ex: build(side, F.col("__dev")) for ex, build in RULE_BUILDERS.items()}
+        for feat in ("fu", "fd", "iu", "idn"):
+            expr = None
+            for ex, feats in per_ex.items():
+                expr = F.when(exercise == ex, feats[feat]) if expr is None else expr.when(exercise == ex, feats[feat])
+            cols[f"{feat}_{side}{suffix}"] = expr
+    return out.withColumns(cols).drop("__dev")
+
+
+def drop_primitives(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("c_")])
+
+
 def with_features(df: DataFrame, exercise: Column, deviation: Column, pose_col: str = "landmarks") -> DataFrame:
     """Add per-side feature columns (see module doc) and ``left_first``.
 
@@ -199,21 +226,7 @@ def with_features(df: DataFrame, exercise: Column, deviation: Column, pose_col:
     ``exercise`` may vary per row (a CASE over the registry); unknown
     exercises produce null features.
     """
-    pose = F.col(pose_col)
-    stage1 = {"left_first": side_flag(pose), "__dev": deviation}
-    for side in SIDES:
-        stage1.update(primitives(pose, side, exercise))
-    out = df.withColumns(stage1)
-    stage2 = {}
-    for side in SIDES:
-        per_ex = {ex: build(side, F.col("__dev")) for ex, build in RULE_BUILDERS.items()}
-        for feat in ("fu", "fd", "iu", "idn"):
-            expr = None
-            for ex, feats in per_ex.items():
-                expr = F.when(exercise == ex, feats[feat]) if expr is None else expr.when(exercise == ex, feats[feat])
-            stage2[f"{feat}_{side}"] = expr
-    out = out.withColumns(stage2)
-    return out.drop("__dev", *[c for c in out.columns if c.startswith("c_")])
+    return drop_primitives(add_rules(add_primitives(df, exercise, pose_col), exercise, deviation))
 
 
 def pick_side(df: DataFrame, left: str = "left_side") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .. import constants as K
 from ..operators.exercises import INTEREST_PARTS, part_index
-from .oracle import K_EXPR, PUSHUP_MESSAGE, SQUAT_MESSAGE, angle, latch_ctes, np_round, r6, sql
+from .oracle import K_EXPR, ORACLE, PUSHUP_MESSAGE, SQUAT_MESSAGE, angle, latch_ctes, np_round, r6, sql
 
 W_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 W_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -218,3 +218,5 @@ SELECT session_id, seq, CAST(to_json(struct_pack(
     is_down_phase := coalesce(down, false))) AS VARCHAR) AS message
 FROM seg
 """)
+
+sql("stream_pose_sessions", ORACLE["pose_session_frames"])

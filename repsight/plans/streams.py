@@ -91,3 +91,40 @@ def stream_stored_sets(spark: SparkSession, base: str) -> DataFrame:
         "session_id", "series_number", F.col("reps").cast("bigint").alias("reps"), "exercise_at_end",
         F.col("frames").cast("bigint").alias("frames"), F.col("last_seq").cast("bigint").alias("last_seq"),
     )
+
+
+def stage_native(spark: SparkSession, base: str, parts: int = 3, files: int = 4) -> str:
+    """Native pose-session messages (frames with landmarks + controls, derived
+    from events) written in time slices, as ``stage_messages`` does."""
+    from ..operators.pose_sessions import native_messages
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/staged/native-{uuid.uuid4().hex}"
+    frames, controls = A.native_sessions(spark, base)
+    msgs = native_messages(frames, controls).select("session_id", "seq", "ts", "type", "value", "landmarks")
+    bounds = msgs.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / parts
+    for i in range(parts):
+        a, b = lo + step * i, lo + step * (i + 1)
+        cond = (F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < parts - 1 else F.lit(True))
+        msgs.where(cond).repartition(files, "session_id").write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return path
+
+
+@query("stream_pose_sessions")
+def stream_pose_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Pose sessions computed incrementally; equals the batch ``pose_session_frames``."""
+    from ..streaming.pose_sessions import pose_session_stream
+
+    files = 4
+    path = stage_native(spark, base, files=files)
+    schema = spark.read.parquet(path).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    out = run_to_table(spark, pose_session_stream(src), "pose_sessions")
+    return out.select(
+        "session_id", "seq", "series_number", F.col("frame").cast("bigint").alias("frame"), "left_side", "down",
+        "reps", "done", "form_ok", "form_issues", "exercise",
+        round6("rep").alias("rep_angle"), round6("aux").alias("aux_angle"),
+    )

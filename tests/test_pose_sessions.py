@@ -63,8 +63,8 @@ def _model(msgs):
     return out
 
 
-def test_side_resolution_matches_model(spark):
-    rnd = random.Random(5)
+def _fixture(seed=5):
+    rnd = random.Random(seed)
     frames, controls, sessions = [], [], {}
     for sid in range(12):
         msgs = []
@@ -87,12 +87,10 @@ def test_side_resolution_matches_model(spark):
                 frames.append((sid, seq, _pose(th_l, th_r, 0.9 if lv else 0.1, 0.5)))
             else:
                 controls.append((sid, seq, typ, value))
-    fdf = spark.createDataFrame(frames, f"session_id long, seq long, landmarks {POSE.simpleString()}").withColumn(
-        "ts", F.lit(None).cast("timestamp_ntz"))
-    cdf = spark.createDataFrame(controls, "session_id long, seq long, type string, value string")
-    seg = PS.pose_segments(PS.native_messages(fdf, cdf, chunk_shift=3))
-    got = {(r["session_id"], r["seq"]): r.asDict() for r in seg.select(
-        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side").collect()}
+    return frames, controls, sessions
+
+
+def _compare(got, sessions):
     n = 0
     for sid, msgs in sessions.items():
         for row in _model(msgs):
@@ -101,3 +99,36 @@ def test_side_resolution_matches_model(spark):
                 assert g[k] == row[k], (sid, row["seq"], k, g[k], row[k])
             n += 1
     assert not got and n > 100
+
+
+def test_side_resolution_matches_model(spark):
+    frames, controls, sessions = _fixture()
+    fdf = spark.createDataFrame(frames, f"session_id long, seq long, landmarks {POSE.simpleString()}").withColumn(
+        "ts", F.lit(None).cast("timestamp_ntz"))
+    cdf = spark.createDataFrame(controls, "session_id long, seq long, type string, value string")
+    seg = PS.pose_segments(PS.native_messages(fdf, cdf, chunk_shift=3))
+    got = {(r["session_id"], r["seq"]): r.asDict() for r in seg.select(
+        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side").collect()}
+    _compare(got, sessions)
+
+
+def test_streaming_side_resolution_matches_model(spark, tmp_path):
+    """The same fixture through the streaming processor in two micro-batches."""
+    import time
+
+    from repsight.streaming.frames import run_to_table
+    from repsight.streaming.pose_sessions import pose_session_stream
+
+    frames, controls, sessions = _fixture()
+    rows = [(sid, seq, "frame", None, lm) for sid, seq, lm in frames] + [
+        (sid, seq, typ, value, None) for sid, seq, typ, value in controls]
+    df = spark.createDataFrame(rows, f"session_id long, seq long, type string, value string, landmarks {POSE.simpleString()}")
+    path = str(tmp_path / "msgs")
+    for cond in ("seq < 90", "seq >= 90"):
+        df.where(cond).repartition(2, "session_id").write.mode("append").parquet(path)
+        time.sleep(1.1)
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = run_to_table(spark, pose_session_stream(src), "test-pose")
+    got = {(r["session_id"], r["seq"]): r.asDict() for r in out.select(
+        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side").collect()}
+    _compare(got, sessions)
