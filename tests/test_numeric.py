@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from repsight.functions.numeric import joint_angle, js_to_fixed0, np_round, py_fixed, py_round, round6, sql_round
 

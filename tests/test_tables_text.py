@@ -1,7 +1,4 @@
-import os
-import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from repsight import constants as K
