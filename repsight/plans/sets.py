@@ -45,8 +45,10 @@ def map_text(m: Column) -> Column:
 
 
 def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp, independent
+    of the session time zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(ts.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def list_text(arr: Column) -> Column:

@@ -41,6 +41,21 @@ def stream_frame_state(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _slices(lo, hi, parts: int):
+    """``parts`` consecutive time slices covering every row (first and last open-ended)."""
+    ts = F.col("ts")
+    edges = [F.lit(lo + (hi - lo) * i / parts).cast("timestamp_ntz") for i in range(1, parts)]
+    out = []
+    for i in range(parts):
+        cond = F.lit(True)
+        if i > 0:
+            cond = cond & (ts >= edges[i - 1])
+        if i < parts - 1:
+            cond = cond & (ts < edges[i])
+        out.append(cond)
+    return out
+
+
 def stage_messages(spark: SparkSession, base: str, parts: int = 3, files: int = 4) -> str:
     """Write the session messages (derived from events by Spark) in ``parts``
     time slices into a fresh folder of the shared checkpoint area.
@@ -55,11 +70,7 @@ def stage_messages(spark: SparkSession, base: str, parts: int = 3, files: int =
     msgs = A.session_messages(spark, base).select("session_id", "seq", "ts", "type", "value", "angle", "form")
     bounds = msgs.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
     lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / parts
-    for i in range(parts):
-        a = lo + step * i
-        b = lo + step * (i + 1)
-        cond = (F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < parts - 1 else F.lit(True))
+    for cond in _slices(lo, hi, parts):
         msgs.where(cond).repartition(files, "session_id").write.mode("append").parquet(path)
         time.sleep(1.1)  # distinct modification times keep the file order
     return path
@@ -104,10 +115,7 @@ def stage_native(spark: SparkSession, base: str, parts: int = 3, files: int = 4)
     msgs = native_messages(frames, controls).select("session_id", "seq", "ts", "type", "value", "landmarks")
     bounds = msgs.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
     lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / parts
-    for i in range(parts):
-        a, b = lo + step * i, lo + step * (i + 1)
-        cond = (F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < parts - 1 else F.lit(True))
+    for cond in _slices(lo, hi, parts):
         msgs.where(cond).repartition(files, "session_id").write.mode("append").parquet(path)
         time.sleep(1.1)
     return path
