@@ -17,6 +17,9 @@ Per side ``s`` (``L``/``R``) the feature step adds:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +60,6 @@ def _bits(*flags: Column) -> Column:
 # feature primitives (stage 1) and rules (stage 2)
 # ---------------------------------------------------------------------------
 
-# Joints of the computed angles per exercise (the displayed push-up body angle
-# lists the ankle, but the value is computed with the knee).
-COMPUTE_TRIPLES = {
-    "push-ups": {"rep": ("wrist", "elbow", "shoulder"), "aux": ("shoulder", "hip", "knee")},
-    "squats": {"rep": ("ankle", "knee", "hip"), "aux": ("shoulder", "hip", "knee")},
-}
-
 # Rounded coordinates the rules compare: (part, axis, decimals).
 ROUNDED = [
     ("wrist", "x", 1), ("shoulder", "x", 1), ("knee", "y", 2), ("wrist", "y", 2), ("toes", "y", 2),
@@ -160,22 +156,65 @@ def squat_message(bits: Column, down: Column, hips: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# registry
+# registry (E1, E2): one spec per exercise
 # ---------------------------------------------------------------------------
 
-RULE_BUILDERS = {"push-ups": pushup_rules, "squats": squat_rules}
+@dataclass(frozen=True)
+class ExerciseSpec:
+    """Everything the engine needs to know about one exercise.
 
-# Display angles per exercise: (name, which feature, joint parts in order).
-DISPLAY_ANGLES = {
-    "push-ups": [("elbow", "rep", ("wrist", "elbow", "shoulder")), ("body", "aux", ("shoulder", "hip", "ankle"))],
-    "squats": [("knee", "rep", ("ankle", "knee", "hip")), ("hip", "aux", ("shoulder", "hip", "knee"))],
-}
+    ``rep``/``aux``: body parts (first, joint, last) of the latch angle and
+    of the second angle; ``rules(side, deviation)``: column builders for
+    ``fu``/``fd``/``iu``/``idn`` over the stage-1 columns; ``message(bits,
+    down, aux)``: the issue text; ``display``: (name, "rep"|"aux", parts) of
+    the stored/displayed angles; ``interest``: landmarks of interest in order;
+    ``tag``: short name used in column names.
+    """
 
-# Landmarks of interest (body part -> index) stored with each set, in order.
-INTEREST_PARTS = {
-    "push-ups": ["shoulder", "elbow", "wrist", "hip", "ankle", "knee", "toes"],
-    "squats": ["shoulder", "wrist", "hip", "ankle", "knee", "toes"],
-}
+    name: str
+    tag: str
+    rep: tuple[str, str, str]
+    aux: tuple[str, str, str]
+    rules: Callable[[str, Column], dict[str, Column]]
+    message: Callable[[Column, Column, Column], Column]
+    display: tuple[tuple[str, str, tuple[str, str, str]], ...]
+    interest: tuple[str, ...]
+
+
+REGISTRY: dict[str, ExerciseSpec] = {}
+
+
+def register(spec: ExerciseSpec) -> ExerciseSpec:
+    """Add an exercise; every operator dispatches over the registry with CASE."""
+    REGISTRY[spec.name] = spec
+    return spec
+
+
+register(ExerciseSpec(
+    name="push-ups", tag="pu",
+    rep=("wrist", "elbow", "shoulder"),
+    # the displayed body angle lists the ankle; its value is computed with the knee
+    aux=("shoulder", "hip", "knee"),
+    rules=lambda side, dev: pushup_rules(side, dev),
+    message=lambda bits, down, aux: pushup_message(bits),
+    display=(("elbow", "rep", ("wrist", "elbow", "shoulder")), ("body", "aux", ("shoulder", "hip", "ankle"))),
+    interest=("shoulder", "elbow", "wrist", "hip", "ankle", "knee", "toes"),
+))
+register(ExerciseSpec(
+    name="squats", tag="sq",
+    rep=("ankle", "knee", "hip"),
+    aux=("shoulder", "hip", "knee"),
+    rules=lambda side, dev: squat_rules(side, dev),
+    message=squat_message,
+    display=(("knee", "rep", ("ankle", "knee", "hip")), ("hip", "aux", ("shoulder", "hip", "knee"))),
+    interest=("shoulder", "wrist", "hip", "ankle", "knee", "toes"),
+))
+
+# Views of the registry used by operators and the SQL oracle.
+COMPUTE_TRIPLES = {n: {"rep": s.rep, "aux": s.aux} for n, s in REGISTRY.items()}
+RULE_BUILDERS = {n: s.rules for n, s in REGISTRY.items()}
+DISPLAY_ANGLES = {n: [tuple(d) for d in s.display] for n, s in REGISTRY.items()}
+INTEREST_PARTS = {n: list(s.interest) for n, s in REGISTRY.items()}
 
 
 def deviation_of(strictness: Column) -> Column:
@@ -241,9 +280,11 @@ def pick_side(df: DataFrame, left: str = "left_side") -> DataFrame:
 
 
 def message(exercise: Column, bits: Column, down: Column, aux: Column) -> Column:
-    return F.when(exercise == "push-ups", pushup_message(bits)).when(
-        exercise == "squats", squat_message(bits, down, aux)
-    )
+    out = None
+    for name, spec in REGISTRY.items():
+        m = spec.message(bits, down, aux)
+        out = F.when(exercise == name, m) if out is None else out.when(exercise == name, m)
+    return out
 
 
 def angles_data(exercise: Column, rep: Column, aux: Column, left: Column) -> Column:

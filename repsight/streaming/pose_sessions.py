@@ -30,7 +30,7 @@ from ..sources.landmarks import pose_is_complete
 from .frames import advance_latch, as_bool
 from .sessions import _as_int, _ffill
 
-EX_TAG = {"push-ups": "pu", "squats": "sq"}
+EX_TAG = {name: spec.tag for name, spec in X.REGISTRY.items()}
 FLAGS = ("fu", "fd", "iu", "idn")
 
 
@@ -40,7 +40,8 @@ def feature_columns(messages: DataFrame) -> DataFrame:
     out = messages.withColumn(
         "has_pose", (F.col("type") == "frame") & pose.isNotNull() & F.coalesce(pose_is_complete(pose), F.lit(False))
     )
-    for ex, tag in EX_TAG.items():
+    tags = list(EX_TAG.items())
+    for i, (ex, tag) in enumerate(tags):
         out = X.add_primitives(out, F.lit(ex))
         for side in X.SIDES:
             out = out.withColumnRenamed(f"rep_{side}", f"rep_{tag}_{side}")
@@ -50,7 +51,7 @@ def feature_columns(messages: DataFrame) -> DataFrame:
             tmp = X.add_rules(tmp, F.lit(ex), F.lit(dev), suffix=f"_{tag}_{level}")
             out = tmp.drop(*[f"rep_{side}" for side in X.SIDES])
         out = X.drop_primitives(out)
-        if tag != "sq":
+        if i < len(tags) - 1:  # side flag and second angle do not depend on the exercise
             out = out.drop("left_first", *[f"aux_{s}" for s in X.SIDES])
     return out.drop("landmarks")
 

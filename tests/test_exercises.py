@@ -76,3 +76,11 @@ def test_unknown_strictness_is_null(spark):
     df = spark.createDataFrame([("LOOSE",), ("extreme",)], "s string")
     got = [r["d"] for r in df.select(X.deviation_of(F.col("s")).alias("d")).collect()]
     assert got == [15.0, None]
+
+
+def test_registry_views_are_consistent():
+    assert set(X.REGISTRY) == set(K.EXERCISES)
+    for name, spec in X.REGISTRY.items():
+        assert X.COMPUTE_TRIPLES[name] == {"rep": spec.rep, "aux": spec.aux}
+        assert [d[0] for d in X.DISPLAY_ANGLES[name]] == [d[0] for d in spec.display]
+        assert all(p in K.BODY_PART_INDEX for p in spec.interest)
