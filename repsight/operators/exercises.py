@@ -268,6 +268,62 @@ def with_features(df: DataFrame, exercise: Column, deviation: Column, pose_col:
     return drop_primitives(add_rules(add_primitives(df, exercise, pose_col), exercise, deviation))
 
 
+FLAGS = ("fu", "fd", "iu", "idn")
+
+
+def rule_variants(df: DataFrame, pose_col: str = "landmarks") -> DataFrame:
+    """Every rule variant as columns, computed from the pose (map side), pose dropped.
+
+    Adds ``left_first``, ``aux_{side}``, ``rep_{tag}_{side}`` and
+    ``{flag}_{side}_{tag}_{level}`` for each exercise, strictness level and
+    side; ``select_variant`` later picks the row's variant from its settings.
+    """
+    out = df
+    specs = list(REGISTRY.values())
+    for i, spec in enumerate(specs):
+        out = add_primitives(out, F.lit(spec.name), pose_col)
+        for side in SIDES:
+            out = out.withColumnRenamed(f"rep_{side}", f"rep_{spec.tag}_{side}")
+        for level, dev in K.STRICTNESS_DEGREES.items():
+            tmp = out.withColumns({f"rep_{side}": F.col(f"rep_{spec.tag}_{side}") for side in SIDES})
+            tmp = add_rules(tmp, F.lit(spec.name), F.lit(dev), suffix=f"_{spec.tag}_{level}")
+            out = tmp.drop(*[f"rep_{side}" for side in SIDES])
+        out = drop_primitives(out)
+        if i < len(specs) - 1:  # side flag and second angle do not depend on the exercise
+            out = out.drop("left_first", *[f"aux_{side}" for side in SIDES])
+    return out.drop(pose_col)
+
+
+def select_variant(exercise: Column, strictness: Column) -> dict[str, Column]:
+    """Per-side ``rep``/``aux``/flags of the row's exercise and strictness level.
+
+    Unknown exercises or levels give nulls.
+    """
+    level = F.lower(strictness)
+    cols: dict[str, Column] = {}
+    for side in SIDES:
+        rep = None
+        for spec in REGISTRY.values():
+            c = F.col(f"rep_{spec.tag}_{side}")
+            rep = F.when(exercise == spec.name, c) if rep is None else rep.when(exercise == spec.name, c)
+        cols[f"rep_{side}"] = rep
+        cols[f"aux_{side}"] = F.col(f"aux_{side}")
+        for flag in FLAGS:
+            expr = None
+            for spec in REGISTRY.values():
+                for lv in K.STRICTNESS_DEGREES:
+                    cond = (exercise == spec.name) & (level == lv)
+                    c = F.col(f"{flag}_{side}_{spec.tag}_{lv}")
+                    expr = F.when(cond, c) if expr is None else expr.when(cond, c)
+            cols[f"{flag}_{side}"] = expr
+    return cols
+
+
+def drop_variants(df: DataFrame) -> DataFrame:
+    tags = [f"_{spec.tag}_" for spec in REGISTRY.values()]
+    return df.drop(*[c for c in df.columns if any(t in c for t in tags)])
+
+
 def pick_side(df: DataFrame, left: str = "left_side") -> DataFrame:
     """Collapse the per-side columns to the side found at the set's first frame."""
     lf = F.col(left)

@@ -118,13 +118,18 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
     strictness, rule_strictness, has_pose, left_side, series_number, frame,
     down, reps, done, form_ok, form_issues, rep (angle), aux (angle).
     """
-    s = settings_asof(messages, chunk)
+    # rule variants are computed map side and the pose is dropped before any
+    # exchange; each frame later picks the variant of its as-of settings
     pose = F.col("landmarks")
-    frames = active_frames(s, pose.isNotNull() & F.coalesce(pose_is_complete(pose), F.lit(False)))
-    known = F.col("exercise").isin(*K.EXERCISES)
-    frames = frames.where(known)
-    feats = X.with_features(frames, F.col("exercise"), X.deviation_of(F.col("rule_strictness")))
-    feats = feats.drop("landmarks")
+    narrow = X.rule_variants(
+        messages.withColumn(
+            "has_pose", (F.col("type") == "frame") & pose.isNotNull() & F.coalesce(pose_is_complete(pose), F.lit(False))
+        )
+    )
+    s = settings_asof(narrow, chunk)
+    frames = active_frames(s, F.col("has_pose"))
+    frames = frames.where(F.col("exercise").isin(*K.EXERCISES))
+    feats = X.drop_variants(frames.withColumns(X.select_variant(F.col("exercise"), F.col("rule_strictness"))))
 
     keys = ["session_id", "attempt", "epoch"]
     posed = feats.where("has_pose")

@@ -40,33 +40,7 @@ def feature_columns(messages: DataFrame) -> DataFrame:
     out = messages.withColumn(
         "has_pose", (F.col("type") == "frame") & pose.isNotNull() & F.coalesce(pose_is_complete(pose), F.lit(False))
     )
-    tags = list(EX_TAG.items())
-    for i, (ex, tag) in enumerate(tags):
-        out = X.add_primitives(out, F.lit(ex))
-        for side in X.SIDES:
-            out = out.withColumnRenamed(f"rep_{side}", f"rep_{tag}_{side}")
-        for level, dev in K.STRICTNESS_DEGREES.items():
-            # rules read rep_s: point it at this exercise's angle
-            tmp = out.withColumns({f"rep_{side}": F.col(f"rep_{tag}_{side}") for side in X.SIDES})
-            tmp = X.add_rules(tmp, F.lit(ex), F.lit(dev), suffix=f"_{tag}_{level}")
-            out = tmp.drop(*[f"rep_{side}" for side in X.SIDES])
-        out = X.drop_primitives(out)
-        if i < len(tags) - 1:  # side flag and second angle do not depend on the exercise
-            out = out.drop("left_first", *[f"aux_{s}" for s in X.SIDES])
-    return out.drop("landmarks")
-
-
-def _feature_fields() -> list[tuple[str, T.DataType]]:
-    fields = [("left_first", T.BooleanType())]
-    for side in X.SIDES:
-        fields.append((f"aux_{side}", T.DoubleType()))
-        for tag in EX_TAG.values():
-            fields.append((f"rep_{tag}_{side}", T.DoubleType()))
-            for level in K.STRICTNESS_DEGREES:
-                for flag in FLAGS:
-                    t = T.BooleanType() if flag in ("fu", "fd") else T.IntegerType()
-                    fields.append((f"{flag}_{side}_{tag}_{level}", t))
-    return fields
+    return X.rule_variants(out)
 
 
 STATE_SCHEMA = T.StructType(
