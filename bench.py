@@ -55,8 +55,9 @@ def main() -> None:
     rate = {}
     if "scale_frame_state" in timings:
         rate["scale_frame_state_rows_per_sec"] = round(lineitem_rows / timings["scale_frame_state"], 1)
-    if "stream_frame_state" in timings:
-        rate["stream_frame_state_rows_per_sec"] = round(events_rows / timings["stream_frame_state"], 1)
+    for name in ("frame_state", "set_summary", "set_segments", "pushup_form", "stream_frame_state"):
+        if name in timings:
+            rate[f"{name}_rows_per_sec"] = round(events_rows / timings[name], 1)
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(
         json.dumps(
