@@ -231,12 +231,13 @@ def number_frames(
     )
     out = local.join(carries, on=part, how="left")
     out = out.withColumn(frame_col, (F.col("__offset") + F.col("__rn") - 1).cast("bigint"))
+    keep = {frame_col, *lags, *firsts}
     for name, (_src, default) in lags.items():
         val = F.coalesce(F.col(f"__lag_{name}"), F.col(f"__prev_{name}"))
         if default is not None:
             val = F.coalesce(val, F.lit(default))
         out = out.withColumn(name, val)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])
 
 
 def hysteresis_latch(

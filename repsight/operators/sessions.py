@@ -275,3 +275,16 @@ def rep_events(segments: DataFrame, chunk: str = "chunk") -> DataFrame:
         "rep_event",
         (F.col("reps") > F.col("prev_reps")) & (F.col("reps") != F.col("goal")) & (F.col("goal") > 0),
     )
+
+
+def emit_changes(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: str) -> DataFrame:
+    """Rows whose ``value`` differs from the previous row's of the same key.
+
+    The previous value comes from a chunked scan (no whole-key window); the
+    first row of a key is always emitted.
+    """
+    prev = number_frames(
+        df.withColumn("__val", F.coalesce(F.col(value), F.lit(""))),
+        keys, order, chunk, frame_col="__pos", lags={"__prev": ("__val", None)}, materialize=True,
+    )
+    return prev.where(F.col("__prev").isNull() | (F.col("__val") != F.col("__prev"))).drop("__pos", "__val", "__prev")

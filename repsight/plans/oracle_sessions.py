@@ -90,7 +90,7 @@ FROM seg GROUP BY session_id, set_no HAVING bool_or(done)
 """
 sql("completed_sets", SEG + COMPLETED)
 
-sql("status_messages", SEG + f"""
+STATUS = f"""
 SELECT session_id, seq, 'ready' AS status, msg AS message FROM (
   SELECT session_id, seq,
          CASE WHEN type = 'workout' THEN 'Selected ' || coalesce(value, 'push-ups') || '. Ready to start!'
@@ -104,6 +104,12 @@ SELECT session_id, seq,
        CASE WHEN done THEN 'Workout complete! You did ' || CAST(reps AS VARCHAR) || ' ' || exercise || '!'
             ELSE 'Current rep count: ' || CAST(reps AS VARCHAR) END
 FROM seg
+"""
+sql("status_messages", SEG + STATUS)
+sql("status_changes", SEG + f"""
+SELECT session_id, seq, status, message FROM (
+  SELECT *, lag(message) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM ({STATUS}))
+WHERE prev IS NULL OR message <> prev
 """)
 
 sql("history_text", SEG + f"""

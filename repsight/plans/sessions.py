@@ -78,3 +78,14 @@ def model_clock(spark: SparkSession, base: str) -> DataFrame:
     g = session_segments(spark, base)
     c = prefix_scan(g, ["session_id"], ["seq"], "chunk", [Scan("processed", None, "count")])
     return c.select("session_id", "seq", (F.col("processed") * K.FRAME_STEP_MS).cast("bigint").alias("model_clock_ms"))
+
+
+@query("status_changes")
+def status_changes(spark: SparkSession, base: str) -> DataFrame:
+    """Frame status messages of each session, emitted only when they change."""
+    msgs = A.session_messages(spark, base)
+    st = S.status_messages(S.settings_asof(msgs), S.segment(msgs)).withColumn(
+        "chunk", F.shiftright(F.col("seq"), 16)
+    )
+    ch = S.emit_changes(st, ["session_id"], ["seq"], "chunk", "message")
+    return ch.select("session_id", "seq", "status", "message")
