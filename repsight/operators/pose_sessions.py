@@ -177,14 +177,16 @@ def set_tables(segments: DataFrame, frames: DataFrame | None = None) -> tuple[Da
     """The three stored tables from ``pose_segments`` (+ native frames for landmarks).
 
     Only completed sets are stored.  ``workout_id = session_id * 1e6 + series``;
-    ``timestamp_start`` is the session's first frame time (the session object's
-    creation time in the analysed loop, so a set's duration includes earlier sets).
+    ``timestamp_start`` is the time of the session's first message (carried by
+    the settings scan): the session object's creation time in the analysed
+    loop, so a set's duration includes earlier sets.
     """
     wid = (F.col("session_id") * SESSION_KEY_SCALE + F.col("series_number")).cast("bigint")
     stored = segments.groupBy("session_id", "series_number").agg(F.max(F.col("done").cast("int")).alias("stored"))
     stored = stored.where("stored = 1").select("session_id", "series_number")
     posed = segments.where("has_pose").join(stored, ["session_id", "series_number"], "left_semi")
-    session_start = segments.groupBy("session_id").agg(F.min("ts").alias("timestamp_start"))
+    start_col = "session_start" if "session_start" in segments.columns else "ts"
+    session_start = segments.groupBy("session_id").agg(F.min(start_col).alias("timestamp_start"))
     first = F.min_by(F.struct("exercise", "goal", "strictness", "left_side"), F.col("seq"))
     w = posed.groupBy("session_id", "series_number").agg(first.alias("s")).join(session_start, "session_id")
     s = F.col("s")

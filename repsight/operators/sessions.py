@@ -62,6 +62,8 @@ def settings_asof(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
             Scan("goal", goal_val, "last", default=K.INITIAL_GOAL),
             Scan("strictness", F.lower(control_value("strictness", K.CONTROL_DEFAULTS["strictness"])), "last",
                  default=K.INITIAL_STRICTNESS),
+            # time of the session's first message (the session object's creation)
+            *([Scan("session_start", F.col("ts"), "first")] if "ts" in messages.columns else []),
             # an unknown exercise ends the session (its later messages are not processed)
             Scan("terminated", F.when(
                 (F.col("type") == "workout")

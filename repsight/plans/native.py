@@ -18,6 +18,11 @@ def native_segments(spark: SparkSession, base: str) -> tuple[DataFrame, DataFram
     return PS.pose_segments(PS.native_messages(frames, controls)), frames
 
 
+def native_tables(spark: SparkSession, base: str):
+    seg, frames = native_segments(spark, base)
+    return PS.set_tables(seg, frames)
+
+
 @query("pose_session_frames")
 def pose_session_frames(spark: SparkSession, base: str) -> DataFrame:
     """Per kept frame of pose sessions: set, frame, latch, form and both angles."""
@@ -32,8 +37,7 @@ def pose_session_frames(spark: SparkSession, base: str) -> DataFrame:
 @query("pose_session_sets")
 def pose_session_sets(spark: SparkSession, base: str) -> DataFrame:
     """The ``workout`` table of completed sets of pose sessions."""
-    seg, _ = native_segments(spark, base)
-    w, _an, _raw = PS.set_tables(seg)
+    w, _an, _raw = native_tables(spark, base)
     return w.select(
         "id", "workout_name", micros("timestamp_start").alias("timestamp_start_us"),
         F.col("rep_goal").cast("bigint").alias("rep_goal"), F.col("series_number").cast("bigint").alias("series_number"),
@@ -45,8 +49,7 @@ def pose_session_sets(spark: SparkSession, base: str) -> DataFrame:
 @query("pose_session_summary")
 def pose_session_summary(spark: SparkSession, base: str) -> DataFrame:
     """Analytics pack on the stored tables of pose sessions: start frame, reps, durations."""
-    seg, _ = native_segments(spark, base)
-    w, an, _raw = PS.set_tables(seg)
+    w, an, _raw = native_tables(spark, base)
     params = AN.set_params(w, an)
     trim = AN.trimmed(an, params)
     meta = AN.set_metadata(w, an).select(F.col("id").alias("workout_id"), "duration")

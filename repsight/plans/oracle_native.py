@@ -127,7 +127,7 @@ SETS = f"""
 first_rows AS (
   SELECT s.* FROM seg s JOIN done_sets d USING (session_id, series_number)
   QUALIFY row_number() OVER (PARTITION BY s.session_id, s.series_number ORDER BY s.seq) = 1),
-starts AS (SELECT session_id, min(ts) AS timestamp_start FROM seg GROUP BY session_id)
+starts AS (SELECT session_id, min(ts) AS timestamp_start FROM msgs GROUP BY session_id)
 """
 
 sql("pose_session_sets", NATIVE + SETS + f"""
