@@ -137,3 +137,11 @@ FROM seg
 sql("stream_stored_sets", SEG + f"""
 SELECT session_id, series_number, reps, exercise_at_end, frames, last_seq FROM ({COMPLETED})
 """)
+
+sql("control_parse", "WITH " + MESSAGES + """
+SELECT session_id, seq,
+       CASE WHEN seq % 7 = 3 THEN NULL ELSE type END AS type,
+       CASE WHEN seq % 7 = 3 THEN NULL ELSE value END AS value,
+       CASE WHEN seq % 7 = 3 THEN 'malformed JSON' END AS reject_reason
+FROM msgs WHERE type <> 'frame'
+""")

@@ -89,3 +89,25 @@ def status_changes(spark: SparkSession, base: str) -> DataFrame:
     )
     ch = S.emit_changes(st, ["session_id"], ["seq"], "chunk", "message")
     return ch.select("session_id", "seq", "status", "message")
+
+
+def control_text(spark: SparkSession, base: str) -> DataFrame:
+    """Control messages of adapter E as JSON text; those with seq % 7 = 3 are truncated."""
+    msgs = A.session_messages(spark, base).where(F.col("type") != "frame")
+    body = F.when(
+        F.col("type") == "reps", F.concat(F.lit('{"type":"reps","value":'), F.col("value"), F.lit("}"))
+    ).otherwise(F.to_json(F.struct("type", "value")))
+    text = F.when((F.col("seq") % 7) == 3, F.expr("substring(body, 1, length(body) - 2)")).otherwise(F.col("body"))
+    return msgs.withColumn("body", body).select("session_id", "seq", text.alias("message"))
+
+
+@query("control_parse")
+def control_parse(spark: SparkSession, base: str) -> DataFrame:
+    """Parsed control messages and rejects (S2): one row per input message."""
+    from ..sources.controls import parse_controls
+
+    ok, rej = parse_controls(control_text(spark, base))
+    return ok.select("session_id", "seq", "type", "value", F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        rej.select("session_id", "seq", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"),
+                   "reject_reason")
+    )

@@ -75,3 +75,15 @@ def test_writers_round_trip(spark, tmp_path):
     assert len(r2.columns) == 3 + 66
     # nested angles round-trip intact
     assert a2.select(F.size("angles_data").alias("n")).distinct().collect()[0]["n"] == 2
+
+
+def test_parse_controls(spark):
+    from repsight.sources.controls import parse_controls
+
+    rows = [(1, '{"type":"reps","value":5}'), (2, '{"type":"start","value":true}'), (3, '{"type":"workout","value":"squats"}'),
+            (4, '{"value":"x"}'), (5, '{"type":"reps","value":'), (6, '{"type":"strictness"}')]
+    df = spark.createDataFrame(rows, "seq long, message string")
+    ok, rej = parse_controls(df)
+    got = {r["seq"]: (r["type"], r["value"]) for r in ok.collect()}
+    assert got == {1: ("reps", "5"), 2: ("start", "true"), 3: ("workout", "squats"), 6: ("strictness", None)}
+    assert {r["seq"]: r["reject_reason"] for r in rej.collect()} == {4: "no type", 5: "malformed JSON"}
