@@ -33,6 +33,7 @@ from .sessions import ORDER, active_frames, close_sets, settings_asof
 
 NEW, LEFT, RIGHT = 0, 1, 2
 SESSION_KEY_SCALE = 1_000_000  # workout id = session_id * scale + series_number
+MAX_BROADCAST_ATTEMPTS = 2_000_000  # rows of (session, attempt, side): ~24 bytes each
 
 
 def native_messages(frames: DataFrame, controls: DataFrame, chunk_shift: int = 16) -> DataFrame:
@@ -134,7 +135,8 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
     keys = ["session_id", "attempt", "epoch"]
     posed = feats.where("has_pose")
     lags = {f"{p}_{sd}": (f"{f}_{sd}", False) for sd in X.SIDES for p, f in (("pfu", "fu"), ("pfd", "fd"))}
-    posed = number_frames(posed, keys, ORDER, chunk, frame_col="__lf", lags=lags, materialize=True).drop("__lf")
+    posed = number_frames(posed, keys, ORDER, chunk, frame_col="__lf", lags=lags, materialize=True,
+                          keep_partitioning=True).drop("__lf")
     posed = _latch_side(posed, keys, chunk, "L")
     posed = _latch_side(posed, keys, chunk, "R")
     unposed = feats.where(~F.col("has_pose")).withColumns(
@@ -145,14 +147,18 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
     allf = prefix_scan(
         allf, ["session_id", "attempt"], ORDER, chunk,
         [Scan("reps_L", F.col("inc_L").cast("bigint"), "sum"), Scan("reps_R", F.col("inc_R").cast("bigint"), "sum")],
+        keep_partitioning=True,
     )
     goal = F.col("goal")
     allf = allf.withColumns(
         {"done_L": (goal > 0) & (F.col("reps_L") >= goal), "done_R": (goal > 0) & (F.col("reps_R") >= goal)}
     )
     starts = s.where((F.col("type") == "start") & (F.col("terminated") == 0)).select("session_id", "attempt")
-    sides = attempt_sides(allf, starts)
-    picked = allf.join(sides, ["session_id", "attempt"], "left").withColumnRenamed("left", "left_side")
+    sides = checkpoint(attempt_sides(allf, starts))
+    # one row per attempt: broadcast when its size is checked small, else a plain join
+    n_att = sides.count()
+    side_tab = F.broadcast(sides) if n_att <= MAX_BROADCAST_ATTEMPTS else sides
+    picked = allf.join(side_tab, ["session_id", "attempt"], "left").withColumnRenamed("left", "left_side")
     lf = F.coalesce(F.col("left_side"), F.lit(False))
     picked = picked.withColumns(
         {

@@ -52,13 +52,25 @@ def ensure_parallel(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the session's checkpoint folder.
 
-    Partitioning and ordering of the plan are kept, so the following window and
-    join need no new exchange.
+    With ``keep_partitioning`` the checkpoint is computed without adaptive
+    execution, so the plan's hash partitioning on (key, chunk) is recorded with
+    the checkpoint and the following summary, window and carry join need no
+    exchange of the big side.  Use it only when every join below the
+    checkpoint is keyed on bounded chunks or broadcast (adaptive skew handling
+    is off while it runs).
     """
-    return df.checkpoint(eager=True)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    prev = conf.get("spark.sql.adaptive.enabled", "true")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", prev)
 
 
 @dataclass(frozen=True)
@@ -88,6 +100,7 @@ def prefix_scan(
     chunk: str,
     scans: Sequence[Scan],
     materialize: bool = True,
+    keep_partitioning: bool = False,
 ) -> DataFrame:
     """Add the prefix-scan columns ``scans`` to ``df``.
 
@@ -133,7 +146,7 @@ def prefix_scan(
             raise ValueError(f"unknown scan kind {s.kind}")
 
     if materialize:
-        local = checkpoint(local)
+        local = checkpoint(local, keep_partitioning)
         summary_src = local
     else:
         summary_src = tmp
@@ -184,6 +197,7 @@ def number_frames(
     lags: dict[str, tuple[str, object]] | None = None,
     firsts: dict[str, str] | None = None,
     materialize: bool = False,
+    keep_partitioning: bool = False,
 ) -> DataFrame:
     """Dense 0-based frame number within ``keys`` plus lagged and first values.
 
@@ -215,7 +229,7 @@ def number_frames(
     for name, src in firsts.items():
         aggs.append(F.min_by(F.col(src), ostruct).alias(f"__first_{name}"))
     if materialize:
-        local = checkpoint(local)
+        local = checkpoint(local, keep_partitioning)
         summary = local.groupBy(*part).agg(*aggs)
     else:
         summary = df.groupBy(*part).agg(*aggs)
@@ -288,7 +302,8 @@ def hysteresis_latch(
         "__lrep", ((F.col("event") == 0) & (F.coalesce(F.col("__le"), F.lit(-1)) == 1)).cast("bigint")
     )
     local = local.withColumn("__lrs", F.sum("__lrep").over(incl))
-    local = checkpoint(local)
+    # inputs of the latch come from scans keyed on (key, chunk): safe to keep partitioning
+    local = checkpoint(local, keep_partitioning=True)
 
     ev = F.col("event")
     summary = local.groupBy(*part).agg(

@@ -70,6 +70,7 @@ def settings_asof(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
                 & ~control_value("workout", K.CONTROL_DEFAULTS["workout"]).isin(*K.EXERCISES), 1
             ).otherwise(0).cast("bigint"), "sum"),
         ],
+        keep_partitioning=True,
     )
     # rules keep the strictness that was current when the exercise object was made
     return prefix_scan(
@@ -79,6 +80,7 @@ def settings_asof(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
         chunk,
         [Scan("rule_strictness", F.when(F.col("type") == "workout", F.col("strictness")), "last",
               default=K.INITIAL_STRICTNESS)],
+        keep_partitioning=True,
     )
 
 
@@ -108,7 +110,7 @@ def segment(
     posed = frames.where("has_pose")
     posed = number_frames(
         posed, latch_keys, ORDER, chunk, frame_col="__lf",
-        lags={"lag_fu": (form_up, False), "lag_fd": (form_down, False)}, materialize=True,
+        lags={"lag_fu": (form_up, False), "lag_fd": (form_down, False)}, materialize=True, keep_partitioning=True,
     ).drop("__lf")
     posed = hysteresis_latch(
         posed, latch_keys, ORDER, chunk, angle, "lag_fu", "lag_fd", K.DOWN_THRESHOLD, K.UP_THRESHOLD
@@ -152,6 +154,7 @@ def close_sets(frames: DataFrame, chunk: str = "chunk") -> DataFrame:
             Scan("reps", F.col("rep_inc").cast("bigint"), "sum"),
             Scan("pose_count", F.col("has_pose").cast("bigint"), "sum"),
         ],
+        keep_partitioning=True,
     )
     f = f.withColumn("done", (F.col("goal") > 0) & (F.col("reps") >= F.col("goal")))
     done_seq = F.when(F.col("done"), F.col("seq"))
