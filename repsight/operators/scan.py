@@ -9,18 +9,22 @@ in one task, so a key holding a third of all rows would become one task.
 Instead every scan is a two-level (chunked) prefix scan:
 
 1. rows carry a ``chunk`` column: a coarse, order-preserving bucket of the
-   ordering key whose size is bounded by construction (``seq >> 16`` for
-   native frame streams, see ``sources``);
+   ordering key whose size is bounded (``seq >> 16`` for native frame
+   streams; ``adaptive_chunk`` refines coarse buckets only where a key is hot);
 2. a window over ``(key, chunk)`` computes the local, chunk-relative result;
-3. a per-chunk summary (one row per chunk) is aggregated with partial
-   aggregation;
+3. a per-chunk summary (one row per chunk) is aggregated either from the same
+   exchange as the window (input from a source: map-side work runs once) or
+   from the checkpointed local result (derived inputs: chained scans keep a
+   linear plan);
 4. a window over the small summary table, partitioned by ``key`` and ordered by
    ``chunk``, turns summaries into carries (what came before the chunk);
 5. the carries are joined back on ``(key, chunk)``.  The big side is already
-   hash-partitioned on ``(key, chunk)`` by step 2, so only the summary side is
-   exchanged (AQE broadcasts it when its runtime size is small).
+   hash-partitioned on ``(key, chunk)`` by step 2 (kept across checkpoints
+   with ``keep_partitioning``), so only the summary side is exchanged, or
+   broadcast by AQE when its runtime size is small.
 
-The big input is shuffled once; chained scans reuse the same partitioning.
+The big input is shuffled once per key set; chained scans on the same keys
+reuse the partitioning.
 """
 
 from __future__ import annotations
