@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LANDMARK_DIMENSION, N_LANDMARKS
-from ..schemas import LANDMARK_DIM
+from ..schemas import LANDMARK_DIM, POSE
 
 
 def landmark_dimension(spark: SparkSession) -> DataFrame:
@@ -61,3 +61,13 @@ def split_valid_poses(df: DataFrame, pose_col: str = "landmarks") -> tuple[DataF
         .otherwise(F.lit("invalid landmark"))
     )
     return df.where(ok), df.where(~ok | ok.isNull()).withColumn("reject_reason", reason)
+
+
+def parse_pose_json(df: DataFrame, text_col: str = "pose_json", pose_col: str = "landmarks") -> tuple[DataFrame, DataFrame]:
+    """Poses given as JSON text (a list of ``{x, y, visibility}``) -> typed pose + rejects.
+
+    A landmark whose ``x`` or ``y`` is not a number (text, null, list, object)
+    makes the pose invalid; ``visibility`` defaults to 0 (P15).
+    """
+    parsed = df.withColumn(pose_col, normalize_pose(F.from_json(F.col(text_col), POSE)))
+    return split_valid_poses(parsed.drop(text_col), pose_col)

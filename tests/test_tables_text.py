@@ -87,3 +87,25 @@ def test_parse_controls(spark):
     got = {r["seq"]: (r["type"], r["value"]) for r in ok.collect()}
     assert got == {1: ("reps", "5"), 2: ("start", "true"), 3: ("workout", "squats"), 6: ("strictness", None)}
     assert {r["seq"]: r["reject_reason"] for r in rej.collect()} == {4: "no type", 5: "malformed JSON"}
+
+
+def test_parse_pose_json_rejects_bad_coordinates(spark):
+    from repsight.sources.landmarks import parse_pose_json
+
+    def pose(first: str) -> str:
+        rest = ",".join('{"x":0.5,"y":0.5}' for _ in range(32))
+        return f"[{first},{rest}]"
+
+    rows = [
+        (1, pose('{"x":1,"y":1,"visibility":0.2}')),
+        (2, pose('{"x":"not a number","y":1}')),
+        (3, pose('{"x":null,"y":1}')),
+        (4, pose('{"x":[1,2],"y":1}')),
+        (5, pose('{"x":{"x":1},"y":1}')),
+        (6, pose('{"x":1}')),
+    ]
+    ok, rej = parse_pose_json(spark.createDataFrame(rows, "id long, pose_json string"))
+    good = ok.collect()
+    assert [r["id"] for r in good] == [1]
+    assert good[0]["landmarks"][1]["visibility"] == 0.0  # default
+    assert sorted(r["id"] for r in rej.collect()) == [2, 3, 4, 5, 6]
