@@ -26,6 +26,41 @@ HEADLINE = [
 ]
 
 
+def skew_check(spark, sf_dir: str) -> dict:
+    """The lineitem latch with one key holding a third of all rows.
+
+    Rows whose order key is divisible by 3 are moved to key 0 (a remap, no
+    row is dropped).  Reports the time, the hot key's rows and the largest
+    chunk it was split into (the most rows one window task holds).
+    """
+    from pyspark.sql import functions as F
+
+    from repsight.operators.reps import signal_frame_state
+    from repsight.sources import adapters as A
+
+    from repsight.operators.scan import adaptive_chunk
+
+    base_sig = A.lineitem_signal(spark, sf_dir).drop("chunk").withColumn("supplier", F.col("workout_id"))
+    sig = base_sig.withColumn(
+        "workout_id", F.when(F.col("l_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("workout_id")).cast("bigint")
+    )
+    d = F.to_date("l_shipdate")
+    sig = adaptive_chunk(
+        sig, ["workout_id"], F.year(d) * 12 + F.month(d),
+        F.dayofmonth(d) * F.lit(1 << 24) + F.shiftright(F.col("l_orderkey"), 20),
+    )
+    order = A.LINEITEM_ORDER + ["supplier"]  # total order inside the merged key
+    t0 = time.perf_counter()
+    signal_frame_state(sig, ["workout_id"], order).write.format("noop").mode("overwrite").save()
+    sec = round(time.perf_counter() - t0, 3)
+    hot = sig.where("workout_id = 0")
+    sizes = hot.groupBy("chunk").count().agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    total = sig.count()
+    hot_rows = hot.count()
+    return {"sec": sec, "hot_key_rows": hot_rows, "hot_key_share": round(hot_rows / total, 3),
+            "hot_key_chunks": sizes["n"], "max_rows_per_chunk": sizes["m"]}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +83,7 @@ def main() -> None:
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 3)
+    skew = skew_check(spark, sf_dir)
     lineitem_rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     events_rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     rows["lineitem"] = lineitem_rows
@@ -70,6 +106,7 @@ def main() -> None:
                 "cpus": int(cpus),
                 "rows": rows,
                 "throughput": rate,
+                "skew_check": skew,
                 "spark": spark.version,
             }
         )
