@@ -104,3 +104,11 @@ def test_completed_sets_and_history(spark):
     h = S.history_text(sets).first()
     assert h["history"] == "squats: 1 reps\npush-ups: 1 reps\n"
     assert h["history_html"] == "squats: 1 reps<br>push-ups: 1 reps<br>"
+
+
+def test_emit_changes(spark):
+    rows = [(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a"), (2, 1, "b"), (2, 9, "b")]
+    df = spark.createDataFrame(rows, "session_id long, seq long, message string").withColumn(
+        "chunk", F.shiftright("seq", 1))
+    got = sorted((r["session_id"], r["seq"]) for r in S.emit_changes(df, ["session_id"], ["seq"], "chunk", "message").collect())
+    assert got == [(1, 1), (1, 3), (1, 5), (2, 1)]
