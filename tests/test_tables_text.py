@@ -109,3 +109,29 @@ def test_parse_pose_json_rejects_bad_coordinates(spark):
     assert [r["id"] for r in good] == [1]
     assert good[0]["landmarks"][1]["visibility"] == 0.0  # default
     assert sorted(r["id"] for r in rej.collect()) == [2, 3, 4, 5, 6]
+
+
+def test_letterbox_golden(spark):
+    from repsight.operators.geometry import letterbox
+
+    df = spark.createDataFrame([(640, 480), (480, 640), (256, 256), (1920, 1080)], "w int, h int")
+    got = {(r["w"], r["h"]): (r["new_w"], r["new_h"], r["x_off"], r["y_off"]) for r in letterbox(df, "w", "h").collect()}
+    assert got[(640, 480)] == (256, 192, 0, 32)
+    assert got[(480, 640)] == (192, 256, 32, 0)
+    assert got[(256, 256)] == (256, 256, 0, 0)
+    assert got[(1920, 1080)] == (256, 144, 0, 56)
+
+
+def test_frame_message_without_pose(spark):
+    import json
+
+    from repsight.operators.text import frame_message
+
+    df = spark.createDataFrame([(None, 3, True, "x", None, False, False)],
+                               f"lm {POSE.simpleString()}, reps long, ok boolean, msg string, "
+                               "ang array<struct<name:string,value:double,joint_indices:array<int>>>, "
+                               "down boolean, has_pose boolean")
+    m = json.loads(df.select(frame_message(F.col("lm"), F.col("reps"), F.col("ok"), F.col("msg"), F.col("ang"),
+                                           F.col("down"), F.col("has_pose")).alias("j")).first()["j"])
+    assert m == {"landmarks": [], "rep_count": 3, "form_ok": True, "form_message": "Initializing...",
+                 "display_angles": [], "is_down_phase": False}
