@@ -38,14 +38,21 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def hash_below(of: Column, rows: Column, wanted: int) -> Column:
+    """Whether a row is in a sample of about ``wanted`` of ``rows`` rows (all, if fewer): its hash lies in that share of all hashes."""
+    share = F.least(F.lit(wanted) / F.greatest(rows, F.lit(1)), F.lit(1.0))
+    return F.xxhash64(of) / F.lit(2.0**64) + 0.5 <= share
+
+
 def split_points(df: DataFrame, key: str, buckets: int, per_bucket: int = 64) -> list[str]:
     """At most ``buckets - 1`` increasing values of the string column ``key``.
 
-    They come from a random sample of ``buckets * per_bucket`` keys and only
-    balance the buckets; they decide no result.
+    They come from a random sample of about ``buckets * per_bucket`` keys and
+    only balance the buckets; they decide no result.
     """
-    rows = df.select(key).orderBy(F.rand(17)).limit(buckets * per_bucket).collect()
-    keys = sorted(r[0] for r in rows)
+    wanted = buckets * per_bucket
+    share = min(1.0, wanted / max(1, df.count()))
+    keys = sorted(r[0] for r in df.select(key).where(F.rand(17) < share).collect())
     if not keys:
         return []
     return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)})
