@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.llm.common import binary, in_training_fold
+from repsight.llm.common import binary, hash_below, in_training_fold
 
 PAD = b"\n\n\n"  # what is taken to stand before a text
 
@@ -151,21 +151,17 @@ def train(docs: DataFrame, per_language: int = 2000, table_bytes: int = 64_000_0
     """Trees of the languages of ``docs`` (doc_id, text, lang).
 
     They are fitted on a bounded sample of the rows with text, lang and a
-    doc_id of the training fold: of each language the ``per_language`` rows
-    whose hash of the id is smallest (rows repeated under one id count
-    together).  Contexts are counted where the texts lie; the driver gets the
-    counts of distinct four-byte strings of the sample.
+    doc_id of the training fold: about ``per_language`` rows of each language
+    (all, if it has fewer), by the hash of the id; rows repeated under one id
+    come or go together.  Contexts are counted where the texts lie; the driver
+    gets the counts of distinct four-byte strings of the sample.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold()
-    ).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    last = (
-        rows.select("lang", "h")
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-        .where(F.col("n") <= per_language)
-        .groupBy("lang").agg(F.max("h").alias("limit"))
     )
-    sample = rows.join(F.broadcast(last), "lang").where("h <= limit").select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
+    chosen = hash_below(F.col("doc_id").cast("string"), F.col("n"), per_language)
+    sample = rows.join(F.broadcast(sizes), "lang").where(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

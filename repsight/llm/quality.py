@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repsight.llm.common import in_training_fold
+from repsight.llm.common import hash_below, in_training_fold
 
 PASSAGE = 512
 PAIRS = 128
@@ -160,8 +160,8 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model | None:
     """Model from the labelled rows of the training fold; None if no label is left.
 
-    It is fitted on a bounded sample: the ``sample`` labelled doc_ids whose
-    hash is smallest, of those that ``docs`` has, with their whole texts.  A
+    It is fitted on a bounded sample: about ``sample`` of the labelled doc_ids
+    that ``docs`` has (all, if fewer), by their hash, with their whole texts.  A
     doc_id of several labels counts by their mean; one of several rows counts
     by its first text in order of the text's md5.
     """
@@ -171,10 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model | Non
         .groupBy("doc_id").agg(F.avg("quality").alias("y"))
     )
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = (
-        marked.join(rows.select("doc_id"), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
+    known = marked.join(rows.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.where(hash_below(F.col("doc_id").cast("string"), F.lit(known.count()), sample))
     texts = (
         rows.join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.first("y").alias("y"))
