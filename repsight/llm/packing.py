@@ -45,7 +45,7 @@ class Encoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 800_000):
+    def __init__(self, path: str, words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.words = Tokenizer.from_file(path), {}, words
