@@ -46,8 +46,8 @@ def nearest(
     projections: int = 96,
     threshold: float = 0.65,
     ratio: float = 1.15,
-    block: int = 2048,
-    query_block: int = 2048,
+    block: int = 8192,
+    query_block: int = 1024,
     verified: float = 0.25,
 ) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score.
