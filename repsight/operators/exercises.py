@@ -17,7 +17,7 @@ Per side ``s`` (``L``/``R``) the feature step adds:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -210,11 +210,28 @@ register(ExerciseSpec(
     interest=("shoulder", "wrist", "hip", "ankle", "knee", "toes"),
 ))
 
+class _View(Mapping):
+    """One property of every registered exercise, read from the registry at each use."""
+
+    def __init__(self, of: Callable[[ExerciseSpec], object]):
+        self.of = of
+
+    def __getitem__(self, name: str):
+        return self.of(REGISTRY[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(REGISTRY)
+
+    def __len__(self) -> int:
+        return len(REGISTRY)
+
+
 # Views of the registry used by operators and the SQL oracle.
-COMPUTE_TRIPLES = {n: {"rep": s.rep, "aux": s.aux} for n, s in REGISTRY.items()}
-RULE_BUILDERS = {n: s.rules for n, s in REGISTRY.items()}
-DISPLAY_ANGLES = {n: [tuple(d) for d in s.display] for n, s in REGISTRY.items()}
-INTEREST_PARTS = {n: list(s.interest) for n, s in REGISTRY.items()}
+COMPUTE_TRIPLES = _View(lambda s: {"rep": s.rep, "aux": s.aux})
+RULE_BUILDERS = _View(lambda s: s.rules)
+DISPLAY_ANGLES = _View(lambda s: [tuple(d) for d in s.display])
+INTEREST_PARTS = _View(lambda s: list(s.interest))
+TAGS = _View(lambda s: s.tag)
 
 
 def deviation_of(strictness: Column) -> Column:

@@ -129,7 +129,7 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
     )
     s = settings_asof(narrow, chunk)
     frames = active_frames(s, F.col("has_pose"))
-    frames = frames.where(F.col("exercise").isin(*K.EXERCISES))
+    frames = frames.where(F.col("exercise").isin(*X.REGISTRY))
     feats = X.drop_variants(frames.withColumns(X.select_variant(F.col("exercise"), F.col("rule_strictness"))))
 
     keys = ["session_id", "attempt", "epoch"]

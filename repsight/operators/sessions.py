@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .exercises import REGISTRY
 from .scan import Scan, hysteresis_latch, number_frames, prefix_scan
 
 ORDER = ["seq"]
@@ -67,7 +68,7 @@ def settings_asof(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
             # an unknown exercise ends the session (its later messages are not processed)
             Scan("terminated", F.when(
                 (F.col("type") == "workout")
-                & ~control_value("workout", K.CONTROL_DEFAULTS["workout"]).isin(*K.EXERCISES), 1
+                & ~control_value("workout", K.CONTROL_DEFAULTS["workout"]).isin(*REGISTRY), 1
             ).otherwise(0).cast("bigint"), "sum"),
         ],
         keep_partitioning=True,

@@ -17,14 +17,14 @@ from .registry import query
 
 
 def event_stream(spark: SparkSession, base: str, max_files: int = 1) -> DataFrame:
-    """The events table as a file stream (one file per trigger)."""
-    schema = spark.read.parquet(f"{base}/events.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(base)
-    )
+    """The events table, a file or a folder of files, as a file stream (one file per trigger)."""
+    path = f"{base.rstrip('/')}/events.parquet"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files)
+    if all(f.endswith("/events.parquet") for f in table.inputFiles()):
+        # one file: the file source reads folders only, so it gets the folder and the file's name
+        return source.option("pathGlobFilter", "events.parquet").parquet(base)
+    return source.parquet(path)
 
 
 @query("stream_frame_state")

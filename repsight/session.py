@@ -79,8 +79,8 @@ def ship_package(spark: SparkSession, folder: str) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  On a cluster it
+    must be set.  Only where it is unset on a local master (tests) a scratch folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -89,6 +89,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="repsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -28,9 +28,8 @@ from .. import constants as K
 from ..operators import exercises as X
 from ..sources.landmarks import pose_is_complete
 from .frames import advance_latch, as_bool
-from .sessions import _as_int, _ffill
+from .sessions import _as_int, _ffill, until_unknown
 
-EX_TAG = {name: spec.tag for name, spec in X.REGISTRY.items()}
 FLAGS = ("fu", "fd", "iu", "idn")
 
 
@@ -67,10 +66,10 @@ INITIAL = (0, 0, K.INITIAL_EXERCISE, K.INITIAL_GOAL, K.INITIAL_STRICTNESS, K.INI
            -1, -1, False, False, False, 0, False, None, 0, 0)
 
 
-def _pick(fr: pd.DataFrame, name: str, tag: pd.Series, level: pd.Series, side: str, dtype) -> np.ndarray:
+def _pick(fr: pd.DataFrame, name: str, tag: pd.Series, level: pd.Series, side: str, dtype, tags: dict[str, str]) -> np.ndarray:
     """Per row, the rule column ``{name}_{side}_{tag}_{level}`` of its exercise and strictness."""
     out = np.zeros(len(fr), dtype=dtype)
-    for t in EX_TAG.values():
+    for t in tags.values():
         for lv in K.STRICTNESS_DEGREES:
             m = ((tag == t) & (level == lv)).to_numpy()
             if m.any():
@@ -80,7 +79,7 @@ def _pick(fr: pd.DataFrame, name: str, tag: pd.Series, level: pd.Series, side: s
     return out
 
 
-def advance_pose_session(pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tuple]:
+def advance_pose_session(pdf: pd.DataFrame, st: tuple, tags: dict[str, str]) -> tuple[pd.DataFrame, tuple]:
     (att0, ep0, ex0, goal0, str0, rule0, latt0, lep0, down0, pfu0, pfd0, reps0, adone0, side0, set0, sfr0) = st
     pdf = pdf.sort_values("seq", kind="mergesort").reset_index(drop=True)
     typ, val = pdf["type"], pdf["value"]
@@ -93,7 +92,7 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tu
     last = pdf.iloc[-1]
     state = dict(att=int(last["attempt"]), ep=int(last["epoch"]), ex=last["exercise"], goal=int(last["goal"]),
                  st=last["strictness"], rule=last["rule_strictness"])
-    fr = pdf[(typ == "frame") & (pdf["attempt"] > 0) & pdf["exercise"].isin(list(EX_TAG))].copy()
+    fr = pdf[(typ == "frame") & (pdf["attempt"] > 0) & pdf["exercise"].isin(list(tags))].copy()
     latch = {(latt0, lep0): (down0, pfu0, pfd0)}
     reps_by_att = {att0: reps0}
     done_by_att = {att0: adone0}
@@ -106,16 +105,16 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tu
         if side is None and len(posed):
             side = "L" if bool(posed["left_first"].iloc[0]) else "R"
         s = side or "R"
-        tag = fa["exercise"].map(EX_TAG)
+        tag = fa["exercise"].map(tags)
         level = fa["rule_strictness"]
         angle = np.full(len(fa), np.nan)
-        for t in EX_TAG.values():
+        for t in tags.values():
             m = (tag == t).to_numpy()
             angle[m] = fa.loc[m, f"rep_{t}_{s}"].to_numpy(dtype=float)
-        fu = _pick(fa, "fu", tag, level, s, bool)
-        fd = _pick(fa, "fd", tag, level, s, bool)
-        iu = _pick(fa, "iu", tag, level, s, np.int64)
-        idn = _pick(fa, "idn", tag, level, s, np.int64)
+        fu = _pick(fa, "fu", tag, level, s, bool, tags)
+        fd = _pick(fa, "fd", tag, level, s, bool, tags)
+        iu = _pick(fa, "iu", tag, level, s, np.int64, tags)
+        idn = _pick(fa, "idn", tag, level, s, np.int64, tags)
         hp = fa["has_pose"].astype(bool).to_numpy()
         down = np.zeros(len(fa), dtype=bool)
         inc = np.zeros(len(fa), dtype=bool)
@@ -165,10 +164,13 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tu
     return result, new
 
 
-def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState, tags: dict[str, str]) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs), ignore_index=True)
     st = state.get if state.exists else INITIAL
-    out, new = advance_pose_session(pdf, st)
+    pdf = until_unknown(pdf.sort_values("seq", kind="mergesort"), st[2], tuple(tags))
+    if not len(pdf):
+        return
+    out, new = advance_pose_session(pdf, st, tags)
     state.update(new)
     if len(out):
         yield out
@@ -177,8 +179,13 @@ def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.Dat
 def pose_session_stream(messages: DataFrame) -> DataFrame:
     """Streaming pose sessions from ``session_id, seq, type, value, landmarks`` messages."""
     feats = feature_columns(messages.select("session_id", "seq", "type", "value", "landmarks"))
+    tags = dict(X.TAGS)  # as registered where the query is made, also for the workers
+
+    def fn(key, pdfs, state):
+        return _fn(key, pdfs, state, tags)
+
     processed = feats.groupBy("session_id").applyInPandasWithState(
-        _fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
     bits, down = F.col("bits"), F.col("down")
     return processed.withColumns(

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
+from ..operators.exercises import REGISTRY
 from .frames import advance_latch, as_bool
 
 STATE_FIELDS = [
@@ -50,7 +51,23 @@ OUTPUT_SCHEMA = T.StructType(
 
 
 def _as_int(s: pd.Series) -> pd.Series:
-    return pd.to_numeric(s.str.strip(), errors="coerce").where(lambda v: v == v.round()).astype("Float64")
+    """Whole numbers of 32 bits, as the batch cast reads them; other texts (``1.0``, ``1e2``) are skipped."""
+    text = s.astype("string").str.strip()
+    found = pd.to_numeric(text.where(text.str.fullmatch(r"[+-]?[0-9]{1,18}").fillna(False).astype(bool)), errors="coerce")
+    return found.where((found >= -(2**31)) & (found < 2**31)).astype("Float64")
+
+
+def until_unknown(pdf: pd.DataFrame, exercise: str | None, known: tuple[str, ...]) -> pd.DataFrame:
+    """The ordered messages up to the first ``workout`` of an unknown exercise, which ends the session.
+
+    That message is kept, so the state remembers the end; a session that has
+    ended (its state holds an unknown exercise) gives no message.
+    """
+    if exercise is not None and exercise not in known:
+        return pdf.iloc[:0]
+    named = pdf["value"].fillna(K.CONTROL_DEFAULTS["workout"])
+    bad = ((pdf["type"] == "workout") & ~named.isin(known)).to_numpy(dtype=bool)
+    return pdf.iloc[: int(bad.argmax()) + 1] if bad.any() else pdf
 
 
 def _ffill(values: pd.Series, start):
@@ -128,17 +145,28 @@ def advance_session(pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tuple]:
     return out, tuple(new_state)
 
 
-def _session_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _session_fn(
+    key, pdfs: Iterator[pd.DataFrame], state: GroupState, known: tuple[str, ...]
+) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs), ignore_index=True)
     st = state.get if state.exists else INITIAL_STATE
+    pdf = until_unknown(pdf.sort_values("seq", kind="mergesort"), st[2], known)
+    if not len(pdf):
+        return
     out, new = advance_session(pdf, st)
     state.update(new)
-    yield out
+    if len(out):
+        yield out
 
 
 def session_stream(messages: DataFrame) -> DataFrame:
     """Streaming set segmentation of ``session_id, seq, type, value, angle, form`` messages."""
     cols = messages.select("session_id", "seq", "type", "value", "angle", "form")
+    known = tuple(REGISTRY)  # as registered where the query is made, also for the workers
+
+    def fn(key, pdfs, state):
+        return _session_fn(key, pdfs, state, known)
+
     return cols.groupBy("session_id").applyInPandasWithState(
-        _session_fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )

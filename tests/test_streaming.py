@@ -25,3 +25,66 @@ def test_stream_stored_sets_equal_batch(spark):
         "session_id", "series_number", "reps", "exercise_at_end", "frames", F.col("last_seq").cast("bigint")
     )
     assert _rows(QUERIES["stream_stored_sets"](spark, BASE)) == _rows(batch)
+
+
+def test_frame_stream_reads_a_folder_in_any_order_and_loses_nothing(spark, tmp_path):
+    """Three files, in order and not: every input row comes out, in order or marked late."""
+    import time
+
+    from repsight.plans.streams import event_stream
+    from repsight.sources import adapters as A
+    from repsight.streaming.frames import frame_state_stream, run_to_table
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{BASE}/events.parquet")
+    edges = events.approxQuantile("event_id", [0.33, 0.67], 0.0)
+    parts = [
+        events.where(F.col("event_id") < edges[0]),
+        events.where((F.col("event_id") >= edges[0]) & (F.col("event_id") < edges[1])),
+        events.where(F.col("event_id") >= edges[1]),
+    ]
+    for order, name in ((parts, "ordered"), (parts[::-1], "reversed")):
+        for part in order:
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "events.parquet"))
+            time.sleep(1.1)
+        ev = event_stream(spark, str(tmp_path / name))
+        signal = ev.select(
+            F.col("user_id").alias("workout_id"), "ts", "event_id",
+            A.event_theta().alias("angle"), (F.col("event_type") != "error").alias("form"),
+        )
+        out = run_to_table(spark, frame_state_stream(signal), name)
+        assert sorted(r.event_id for r in out.select("event_id").collect()) == sorted(
+            r.event_id for r in events.select("event_id").collect()
+        )
+    assert out.where("late").count() > 0
+
+
+def test_unknown_exercise_and_texts_that_are_no_goals_mean_the_same_in_batch_and_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from repsight.operators.sessions import settings_asof
+    from repsight.streaming.frames import run_to_table
+    from repsight.streaming.sessions import session_stream
+
+    control = lambda s, q, t, v: (s, q, t, v, None, None)
+    rows = [control(1, 0, "start", None), control(1, 1, "workout", "abs"), control(1, 2, "reps", "1")]
+    rows += [(1, 3 + i, "frame", None, a, True) for i, a in enumerate([170.0, 60.0, 170.0, 60.0])]
+    rows += [control(1, 8, "workout", "squats"), (1, 9, "frame", None, 170.0, True)]  # too late: the session has ended
+    for s, goal in ((2, "1.0"), (3, "1e2"), (4, " 2 "), (5, "99999999999"), (6, "+1")):
+        rows += [control(s, 0, "start", None), control(s, 1, "workout", "push-ups"), control(s, 2, "reps", goal)]
+        rows += [(s, 3 + i, "frame", None, a, True) for i, a in enumerate([170.0, 60.0, 170.0, 60.0, 170.0])]
+    schema = "session_id long, seq long, type string, value string, angle double, form boolean"
+    msgs = spark.createDataFrame(rows, schema).withColumn("chunk", F.lit(0))
+    batch = {
+        (r.session_id, r.seq, r.exercise, r.goal)
+        for r in settings_asof(msgs).where("type = 'frame' and attempt > 0 and terminated = 0").collect()
+    }
+    for cut in (100, 5):  # one micro-batch, and a cut through the sessions
+        path = str(tmp_path / f"cut{cut}")
+        for part in (msgs.where(F.col("seq") < cut), msgs.where(F.col("seq") >= cut)):
+            part.drop("chunk").coalesce(1).write.mode("append").parquet(path)
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if cut == 100 else 9).parquet(path)
+        out = {(r.session_id, r.seq, r.exercise, r.goal) for r in run_to_table(spark, session_stream(src), "unknown").collect()}
+        assert {r for r in out if r[0] == 1} == set()
+        done = {s for s, _, _, g in out if g in (1, 2)}
+        assert done == {4, 6} and {(s, g) for s, _, _, g in out} == {(s, g) for s, _, _, g in batch}
