@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repsight.llm import chat, fingerprints, language, licenses, neighbours, packing, quality, secrets, simhash
+from repsight.llm import chat, fingerprints, language, licenses, neighbours, packing, pieces, quality, secrets, simhash
 from repsight.llm.common import held_out
 from repsight.session import prepare
 from repsight.sources.tables import read_table
@@ -114,3 +114,13 @@ def op6_prefix_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_collision_counting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 nearest vectors by inner product of every vector whose id is divisible by 20."""
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), k=20, every=20)
+
+
+@query
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sampled pieces, seeded by doc_id, and decoded again."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = pieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
