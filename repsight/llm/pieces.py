@@ -1,7 +1,8 @@
 """SentencePiece encoding by sampling, and lossless decoding.
 
-A text's units are a word with the blank before it, a single blank, or a line
-break; no piece reaches over a unit's end.  Over each unit lies the lattice of
+A text's units are runs of letters and digits or of other signs, with the blank
+before them, and single blanks and line breaks; no piece reaches over a unit's
+end, and a longer run is cut after 39 characters.  Over each unit lies the lattice of
 all its pieces.  Forward filtering sums the weights of all ways to each place,
 and backward sampling draws a segmentation with its exact probability.  The
 numbers drawn come from a generator seeded by the row's key, so a row is
@@ -19,8 +20,6 @@ import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-_UNIT = re.compile(" ?[^ \n]+| |\n")
-#: Longest unit whose lattice is kept.
-KEPT = 48
+#: Letters or digits with the blank before them, other signs alike, a blank, a line break; 40 characters at most.
+_UNIT = re.compile(r" ?\w{1,39}| ?[^\w \n]{1,39}| |\n")
+_SCALE = 2000.0
 
 
 class Codec:
     """Pieces of one model, with a bounded cache of lattices."""
 
-    def __init__(self, path: str, sharpness: float, units: int = 150_000):
+    def __init__(self, path: str, sharpness: float, units: int = 60_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,30 +51,37 @@ class Codec:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.texts.append(b"")
             else:
-                self.weights[piece] = (i, -sharpness * log(2 - sp.get_score(i)))
+                self.weights[piece] = (i, (2 - sp.get_score(i)) ** -sharpness * _SCALE ** len(piece))
                 self.texts.append(piece.replace(BLANK, " ").encode())
+        self.weights = {p: w for p, w in self.weights.items() if len(_UNIT.findall(p.replace(BLANK, " "))) == 1}
         self.longest = max(map(len, self.weights))
-        self.fallback = -sharpness * log(2 + sp.vocab_size())
+        self.fallback = (2 + sp.vocab_size()) ** -sharpness
         self.cache: dict[str, list] = {}
         self.units = units
 
     def lattice(self, unit: str) -> list:
-        """For each place the ways into it: (their cumulated weights, the place before and the ids of each)."""
+        """For each place the ways into it: their cumulated weights, and the place before and the id of each as one
+        number (-1: the bytes of one character).
+
+        Every weight has a factor ``_SCALE`` a character, the same for all
+        segmentations, which keeps the sums of a unit within a float's range.
+        """
         spelled = unit.replace(BLANK, "\x00").replace(" ", BLANK)
-        n, forward, out = len(unit), [0.0], [None]
-        for j in range(1, n + 1):
-            ways = []
-            for i in range(max(0, j - self.longest), j):
-                found = self.weights.get(spelled[i:j])
+        get, longest, forward, out = self.weights.get, self.longest, [1.0], [None]
+        for j in range(1, len(unit) + 1):
+            total, cumulated, ways = 0.0, [], []
+            for i in range(j - 1, max(-1, j - 1 - longest), -1):
+                found = get(spelled[i:j])
                 if found:
-                    ways.append((forward[i] + found[1], i, (found[0],)))
-            if not any(i == j - 1 for _, i, _ in ways):  # no piece for the character itself: its bytes
-                raw = unit[j - 1].encode()
-                ways.append((forward[j - 1] + self.fallback * len(raw), j - 1, tuple(self.bytes_[b] for b in raw)))
-            top = max(w for w, _, _ in ways)
-            cumulated = list(accumulate(exp(w - top) for w, _, _ in ways))
-            forward.append(top + log(cumulated[-1]))
-            out.append((cumulated, [(i, ids) for _, i, ids in ways]))
+                    total += forward[i] * found[1]
+                    cumulated.append(total)
+                    ways.append(i << 20 | found[0])
+                elif i == j - 1:  # no piece for the character itself
+                    total += forward[i] * self.fallback ** len(unit[i].encode()) * _SCALE
+                    cumulated.append(total)
+                    ways.append(-1)
+            forward.append(total)
+            out.append((tuple(cumulated), tuple(ways)))
         return out
 
     def encode(self, text: str, seed: int) -> list[int]:
@@ -84,19 +90,21 @@ class Codec:
         for unit in _UNIT.findall(text):
             table = cache.get(unit)
             if table is None:
-                table = self.lattice(unit)
-                if len(unit) <= KEPT:
-                    if len(cache) >= self.units:
-                        cache.clear()
-                    cache[unit] = table
+                if len(cache) >= self.units:
+                    cache.clear()
+                table = cache[unit] = self.lattice(unit)
             j, back = len(unit), []
             while j:
                 cumulated, ways = table[j]
-                k = bisect_right(cumulated, draw() * cumulated[-1]) if len(ways) > 1 else 0
-                j, ids = ways[min(k, len(ways) - 1)]
-                back.append(ids)
-            for ids in reversed(back):
-                out += ids
+                way = ways[bisect_right(cumulated, draw() * cumulated[-1]) if len(ways) > 1 else 0]
+                if way < 0:
+                    j -= 1
+                    back += [self.bytes_[b] for b in reversed(unit[j].encode())]
+                else:
+                    j = way >> 20
+                    back.append(way & 0xFFFFF)
+            back.reverse()
+            out += back
         return out
 
     def decode(self, ids: list[int]) -> str:
