@@ -5,8 +5,9 @@ before them, and single blanks and line breaks; no piece reaches over a unit's
 end, and a longer run is cut after 39 characters.  Over each unit lies the lattice of
 all its pieces.  Forward filtering sums the weights of all ways to each place,
 and backward sampling draws a segmentation with its exact probability.  The
-numbers drawn come from a generator seeded by the row's key, so a row is
-always segmented alike.
+number drawn at a place comes from the row's key and the place, so a row is
+always segmented alike, whatever other rows are handled with it.  Both passes
+run over many units at a time: place by place forward, piece by piece backward.
 
 The model's scores are ranks; a piece of rank r weighs ``(r + 2) ** -sharpness``.
 A character that no piece holds is spelled by its byte pieces, as is the
@@ -16,10 +17,9 @@ back every text.
 
 from __future__ import annotations
 
-import random
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +31,33 @@ BLANK = "▁"
 #: Letters or digits with the blank before them, other signs alike, a blank, a line break; 40 characters at most.
 _UNIT = re.compile(r" ?\w{1,39}| ?[^\w \n]{1,39}| |\n")
 _SCALE = 2000.0
+#: In place of a piece's id: no piece starts here, and a character spelled by its bytes.
+_NONE, _SPELLED = -1, -2
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def uniform(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to under 1, mixed from 64-bit keys (the finaliser of splitmix64)."""
+    z = (keys ^ keys >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
 
 
 class Codec:
-    """Pieces of one model, with a bounded cache of lattices."""
+    """Pieces of one model; segments ``units`` units at a time, which bounds the memory taken."""
 
-    def __init__(self, path: str, sharpness: float, units: int = 60_000):
+    def __init__(self, path: str, sharpness: float, units: int = 40_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = sp.vocab_size()
         self.weights: dict[str, tuple[int, float]] = {}
-        self.bytes_ = [0] * 256
+        self.byte_ids = np.zeros(256, np.int32)
         self.texts: list[bytes] = []
-        for i in range(sp.vocab_size()):
+        for i in range(size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.bytes_[int(piece[3:5], 16)] = i
+                self.byte_ids[int(piece[3:5], 16)] = i
                 self.texts.append(bytes([int(piece[3:5], 16)]))
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.texts.append(b"")
@@ -55,59 +66,126 @@ class Codec:
                 self.texts.append(piece.replace(BLANK, " ").encode())
         self.weights = {p: w for p, w in self.weights.items() if len(_UNIT.findall(p.replace(BLANK, " "))) == 1}
         self.longest = max(map(len, self.weights))
-        self.fallback = (2 + sp.vocab_size()) ** -sharpness
-        self.cache: dict[str, list] = {}
+        self.fallback = (2 + size) ** -sharpness
         self.units = units
-
-    def lattice(self, unit: str) -> list:
-        """For each place the ways into it: their cumulated weights, and the place before and the id of each as one
-        number (-1: the bytes of one character).
+        #: For each length the pieces' beginnings in order: number of the one shorter by a character and that
+        #: character in one key, the id of the piece that this is (or _NONE), and its weight.
+        self.beginnings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        number = {"": 0}
+        for n in range(1, self.longest + 1):
+            some = sorted({p[:n] for p in self.weights if len(p) >= n})
+            keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in some])
+            ids, weights = zip(*(self.weights.get(p, (_NONE, 0.0)) for p in some))
+            self.beginnings.append((keys, np.array(ids, np.int32), np.array(weights)))
+            number = {p: i for i, p in enumerate(some)}
+
+    def lattices(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lattices of units, a row for each place: by length of the piece that ends there, the cumulated weights of
+        the ways into it and the pieces' ids; and each unit's row of its start.
 
         Every weight has a factor ``_SCALE`` a character, the same for all
         segmentations, which keeps the sums of a unit within a float's range.
         """
-        spelled = unit.replace(BLANK, "\x00").replace(" ", BLANK)
-        get, longest, forward, out = self.weights.get, self.longest, [1.0], [None]
-        for j in range(1, len(unit) + 1):
-            total, cumulated, ways = 0.0, [], []
-            for i in range(j - 1, max(-1, j - 1 - longest), -1):
-                found = get(spelled[i:j])
-                if found:
-                    total += forward[i] * found[1]
-                    cumulated.append(total)
-                    ways.append(i << 20 | found[0])
-                elif i == j - 1:  # no piece for the character itself
-                    total += forward[i] * self.fallback ** len(unit[i].encode()) * _SCALE
-                    cumulated.append(total)
-                    ways.append(-1)
-            forward.append(total)
-            out.append((tuple(cumulated), tuple(ways)))
-        return out
+        text = "\n" + "\n".join(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        spelled = text.replace(BLANK, "\x00").replace(" ", BLANK)
+        signs = np.frombuffer(spelled.encode("utf-32-le"), "<u4").astype(np.int64)
+        signs = np.append(signs, np.full(self.longest, (1 << 21) - 1))  # no character
+        ways = np.full((len(text), self.longest), _SPELLED, np.int32)
+        cumulated = np.zeros(ways.shape)
+        start, node = np.arange(len(text)), np.zeros(len(text), np.int64)
+        for n, (keys, ids, weights) in enumerate(self.beginnings):  # the places from where a piece's beginning still fits
+            key = node << 21 | signs[start + n]
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            fits = keys[node] == key
+            start, node = start[fits], node[fits]
+            whole = ids[node] != _NONE
+            end, piece = start[whole] + n, node[whole]
+            ways[end, n], cumulated[end, n] = ids[piece], weights[piece]
+        bare = np.flatnonzero(ways[:, 0] == _SPELLED)  # no piece for the character itself
+        width = 1 + np.searchsorted([0x80, 0x800, 0x10000], np.frombuffer(text.encode("utf-32-le"), "<u4")[bare], "right")
+        cumulated[bare, 0] = self.fallback**width * _SCALE
+
+        order = np.argsort(-sizes, kind="stable")
+        forward = np.zeros(len(text))
+        forward[first] = 1.0
+        for j in range(1, int(sizes.max()) + 1):  # pieces that would begin before their unit are left out
+            rows = first[order[: np.count_nonzero(sizes >= j)]] + j
+            n = min(j, self.longest)
+            sums = np.cumsum(cumulated[rows, :n] * forward[rows[:, None] - np.arange(1, n + 1)], axis=1)
+            cumulated[rows, :n], cumulated[rows, n:], forward[rows] = sums, sums[:, -1:], sums[:, -1]
+        return cumulated, ways, first
+
+    def lattice(self, unit: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each place of a unit the ways into it: their cumulated weights and ids by length of the last piece."""
+        return list(zip(*self.lattices([unit])[:2]))
+
+    def sample(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sampled segmentation of each unit, and where each unit's ids end.
+
+        The number drawn at a place comes from the unit's key and the place alone.
+        """
+        index: dict[str, int] = {}
+        which = np.array([index.setdefault(u, len(index)) for u in units])
+        cumulated, ways, first = self.lattices(list(index))
+        text, start = "".join(units), first[which]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        chosen = np.full(len(text), _NONE, np.int32)
+        live, at = np.arange(len(units)), sizes
+        while live.size:
+            rows = start[live] + at
+            sums = cumulated[rows]
+            drawn = uniform(keys[live] + at.astype(np.uint64) * _GOLDEN) * sums[:, -1]
+            column = (sums <= drawn[:, None]).sum(axis=1)
+            at = at - column - 1
+            chosen[(ends - sizes)[live] + at] = ways[rows, column]
+            live, at = live[at > 0], at[at > 0]
+
+        spelling = np.frombuffer(text.encode(), np.uint8)
+        leads = spelling & 0xC0 != 0x80
+        taken = chosen[np.cumsum(leads) - 1]
+        ids = np.where(taken == _SPELLED, self.byte_ids[spelling], np.where(leads, taken, _NONE))
+        kept = ids != _NONE
+        bounds = np.append(np.flatnonzero(leads), len(spelling))[ends]
+        return ids[kept], np.cumsum(kept)[bounds - 1]
+
+    def encode_rows(self, texts: Iterable[str], seeds: Iterable[int]) -> list[np.ndarray]:
+        """For each text the ids of one sampled segmentation of the whole of it."""
+        out: list[list[np.ndarray]] = []
+        units: list[str] = []
+        parts: list[tuple[int, int, int, int]] = []  # row, seed, place of the first unit in its text, units
+
+        def flush() -> None:
+            sizes = np.fromiter(map(len, units), np.int64, len(units))
+            before, counts = np.cumsum(sizes) - sizes, [n for *_, n in parts]
+            begins = np.cumsum(counts) - counts
+            seeds_, places = np.array([p[1] for p in parts], np.uint64), np.array([p[2] for p in parts]) - before[begins]
+            places = (before + np.repeat(places, counts)).astype(np.uint64)
+            ids, ends = self.sample(units, np.repeat(seeds_, counts) + places * _GOLDEN)
+            for (row, *_), got in zip(parts, np.split(ids, ends[np.cumsum(counts)[:-1] - 1])):
+                out[row].append(got)
+            units.clear()
+            parts.clear()
+
+        for row, (text, seed) in enumerate(zip(texts, seeds)):
+            out.append([])
+            place, found = 0, map(re.Match.group, _UNIT.finditer(text))
+            while some := list(islice(found, self.units - len(units))):
+                units += some
+                parts.append((row, seed, place, len(some)))
+                place += sum(map(len, some))
+                if len(units) == self.units:
+                    flush()
+        if units:
+            flush()
+        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
     def encode(self, text: str, seed: int) -> list[int]:
-        """Ids of one sampled segmentation of the whole text."""
-        draw, cache, out = random.Random(seed).random, self.cache, []
-        for unit in _UNIT.findall(text):
-            table = cache.get(unit)
-            if table is None:
-                if len(cache) >= self.units:
-                    cache.clear()
-                table = cache[unit] = self.lattice(unit)
-            j, back = len(unit), []
-            while j:
-                cumulated, ways = table[j]
-                way = ways[bisect_right(cumulated, draw() * cumulated[-1]) if len(ways) > 1 else 0]
-                if way < 0:
-                    j -= 1
-                    back += [self.bytes_[b] for b in reversed(unit[j].encode())]
-                else:
-                    j = way >> 20
-                    back.append(way & 0xFFFFF)
-            back.reverse()
-            out += back
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        return self.encode_rows([text], [seed])[0].tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
         texts = self.texts
         return b"".join([texts[i] for i in ids]).decode()
 
@@ -138,19 +216,28 @@ def encode_and_decode(docs: DataFrame, model: str, sharpness: float = 1.0, salt:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, sharpness)
-        names = ["doc_id", "n_pieces", "ids", "decoded"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        out, size = [], 0
+
+        def result(docs: list[int | None], texts: list[str]) -> pa.RecordBatch:
+            ids = own.encode_rows(texts, [seed_of(doc, salt) for doc in docs])
+            columns = {
+                "doc_id": pa.array(docs, pa.int64()),
+                "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
+                "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                "decoded": pa.array([own.decode(x.tolist()) for x in ids], pa.string()),
+            }
+            return pa.record_batch(columns)
+
+        docs, texts, size = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.encode(text.as_py() or "", seed_of(doc, salt))
-                out.append((doc, len(ids), np.array(ids, dtype="<u4").tobytes(), own.decode(ids)))
-                size += len(ids)
+                docs.append(doc)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
                 if size > 1 << 20:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                    out, size = [], 0
-        if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    yield result(docs, texts)
+                    docs, texts, size = [], [], 0
+        if docs:
+            yield result(docs, texts)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_pieces long, ids binary, decoded string"

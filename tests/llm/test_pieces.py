@@ -70,3 +70,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert len({bytes(r.ids) for r in rows}) == 2  # repeated rows alike, another text apart
     assert all(np.frombuffer(r.ids, "<u4").size == r.n_pieces for r in rows)
     assert pieces.encode_and_decode(no_docs, PATH).count() == 0
+
+
+def test_rows_do_not_depend_on_their_neighbours(small_docs):
+    texts = [r.text or "" for r in small_docs.orderBy("doc_id").limit(40).collect()] + ["", "▁ \U0001f600\n"]
+    whole, small = pieces.Codec(PATH, 1.0), pieces.Codec(PATH, 1.0, units=37)
+    want = [whole.encode(t, i) for i, t in enumerate(texts)]
+    for own in (whole, small):
+        assert [x.tolist() for x in own.encode_rows(texts, range(len(texts)))] == want
