@@ -354,7 +354,8 @@ def adaptive_chunk(
     only inside (key, coarse) groups holding more than ``max_rows`` rows.
 
     ``coarse`` must be non-decreasing in the scan order within a key and
-    ``fine`` non-decreasing within a coarse bucket, with ``0 <= fine < 2^32``.
+    ``fine`` non-decreasing within a coarse bucket, with ``fine >= 0``.  The
+    chunk is the pair of both, so neither can run into the other.
     Normal keys thus get few, full chunks (small summary tables), and a hot
     key is still split into bounded chunks.  The refined groups number at most
     rows / ``max_rows``; they are broadcast only below ``max_hot`` (checked
@@ -369,13 +370,16 @@ def adaptive_chunk(
         .select(*keys, "__coarse", F.lit(True).alias("__hot"))
     )
     n_hot = hot.count()
-    base = F.shiftleft(F.col("__coarse"), 32)
+
+    def chunk(fine: Column) -> Column:
+        return F.struct(F.col("__coarse").alias("coarse"), fine.alias("fine"))
+
     if n_hot == 0:
-        out = d.withColumn(name, base)
+        out = d.withColumn(name, chunk(F.lit(0).cast("bigint")))
     elif n_hot <= max_hot:
         out = d.join(F.broadcast(hot), keys + ["__coarse"], "left").withColumn(
-            name, base + F.when(F.col("__hot"), F.col("__fine")).otherwise(F.lit(0))
+            name, chunk(F.when(F.col("__hot"), F.col("__fine")).otherwise(F.lit(0).cast("bigint")))
         )
     else:
-        out = d.withColumn(name, base + F.col("__fine"))
+        out = d.withColumn(name, chunk(F.col("__fine")))
     return out.drop("__coarse", "__fine", "__hot")

@@ -104,8 +104,20 @@ def segment(
     strictness, rule_strictness, has_pose, down, rep_inc, reps, done, set_no,
     series_number, frame, form_ok``.
     """
+    return segment_settings(settings_asof(messages, chunk), chunk, angle, form_up, form_down, has_pose)
+
+
+def segment_settings(
+    settings: DataFrame,
+    chunk: str = "chunk",
+    angle: str = "angle",
+    form_up: str = "form",
+    form_down: str | None = None,
+    has_pose: Column | None = None,
+) -> DataFrame:
+    """``segment`` on messages that already carry their settings (``settings_asof``)."""
     form_down = form_down or form_up
-    frames = active_frames(settings_asof(messages, chunk), has_pose)
+    frames = active_frames(settings, has_pose)
 
     latch_keys = ["session_id", "attempt", "epoch"]
     posed = frames.where("has_pose")

@@ -44,7 +44,8 @@ def completed_sets(spark: SparkSession, base: str) -> DataFrame:
 @query("status_messages")
 def status_messages(spark: SparkSession, base: str) -> DataFrame:
     msgs = A.session_messages(spark, base)
-    return S.status_messages(S.settings_asof(msgs), S.segment(msgs))
+    settings = S.settings_asof(msgs)
+    return S.status_messages(settings, S.segment_settings(settings))
 
 
 @query("history_text")
@@ -83,10 +84,7 @@ def model_clock(spark: SparkSession, base: str) -> DataFrame:
 @query("status_changes")
 def status_changes(spark: SparkSession, base: str) -> DataFrame:
     """Frame status messages of each session, emitted only when they change."""
-    msgs = A.session_messages(spark, base)
-    st = S.status_messages(S.settings_asof(msgs), S.segment(msgs)).withColumn(
-        "chunk", F.shiftright(F.col("seq"), 16)
-    )
+    st = status_messages(spark, base).withColumn("chunk", F.shiftright(F.col("seq"), 16))
     ch = S.emit_changes(st, ["session_id"], ["seq"], "chunk", "message")
     return ch.select("session_id", "seq", "status", "message")
 

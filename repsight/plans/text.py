@@ -76,11 +76,14 @@ def set_summary(spark: SparkSession, base: str) -> DataFrame:
 def latest_set_summary(spark: SparkSession, base: str) -> DataFrame:
     """The single-set mode: summary of the set with the highest id.
 
-    The latest id is a one-row aggregate, broadcast (size 1) as a semi-join.
+    The latest id is a one-row aggregate, broadcast (size 1).  It reduces both
+    tables first, so only that set's rows reach the analytics.
     """
     w, an = set_tables(spark, base)
-    latest = w.agg(F.max("id").alias("workout_id"))
-    return _summary_view(summarize_sets(w, an).join(F.broadcast(latest), "workout_id", "left_semi"))
+    latest = F.broadcast(w.agg(F.max("id").alias("id")))
+    w = w.join(latest, "id", "left_semi")
+    an = an.join(latest.withColumnRenamed("id", "workout_id"), "workout_id", "left_semi")
+    return _summary_view(summarize_sets(w, an))
 
 
 @query("stored_set_summary")
@@ -101,8 +104,8 @@ def stored_set_summary(spark: SparkSession, base: str) -> DataFrame:
 
 @query("prompt_rows")
 def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
-    s = set_summary_frame(spark, base)
     w, an = set_tables(spark, base)
+    s = summarize_sets(w, an)
     stats = AN.angle_stats(AN.trimmed(an, AN.set_params(w, an)))
     stats = stats.select("workout_id", "column", "count", *[round6(c).alias(c) for c in
                                                              ("mean", "std", "min", "p25", "p50", "p75", "max")])

@@ -22,6 +22,7 @@ LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 EMBEDDING_ORDER = ["vec_id"]
 
 CHUNK_SHIFT = 20  # an id bucket spans 2^20 ids
+BUCKETS = 1 << 44  # above every bucket number of a 64-bit id, so a bucket never runs into the next day
 
 
 def events_chunk() -> Column:
@@ -31,18 +32,7 @@ def events_chunk() -> Column:
     sequence; holds for the given table).
     """
     day = F.unix_date(F.to_date("ts")).cast("bigint")
-    return (day * F.lit(1 << 24) + F.shiftright(F.col("event_id"), CHUNK_SHIFT)).alias("chunk")
-
-
-def lineitem_chunk() -> Column:
-    """Ship day and a 2^20-wide order-key bucket.
-
-    The order is (shipdate, orderkey, ...), so within a day the order-key bucket
-    is non-decreasing: the chunk is order preserving and holds at most the
-    lines of 2^20 orders.
-    """
-    day = F.unix_date(F.to_date("l_shipdate")).cast("bigint")
-    return (day * F.lit(1 << 24) + F.shiftright(F.col("l_orderkey"), CHUNK_SHIFT)).alias("chunk")
+    return (day * F.lit(BUCKETS) + F.shiftright(F.col("event_id"), CHUNK_SHIFT)).alias("chunk")
 
 
 def seq_chunk(col: str = "seq", shift: int = 16) -> Column:
@@ -96,7 +86,7 @@ def lineitem_signal(spark: SparkSession, base: str) -> DataFrame:
     )
     d = F.to_date("l_shipdate")
     month = (F.year(d) * 12 + F.month(d)).cast("bigint")
-    fine = F.dayofmonth(d).cast("bigint") * F.lit(1 << 24) + F.shiftright(F.col("l_orderkey"), CHUNK_SHIFT)
+    fine = F.dayofmonth(d).cast("bigint") * F.lit(BUCKETS) + F.shiftright(F.col("l_orderkey"), CHUNK_SHIFT)
     return adaptive_chunk(sig, ["workout_id"], month, fine)
 
 
