@@ -5,21 +5,26 @@ points modulo two primes.  The hash of any span follows from two entries, so
 the equality of two spans costs constant time, and the longest common
 extension of two places is found by binary search.
 
-A document's fingerprint is that array at a few places: a grid whose step is a
-power of two, and cuts behind windows of ``WINDOW`` code points whose hash has
-many leading zeros, as many as leave at most ``CUTS``.  The grid of a longer
-text is part of that of a shorter one, and so are its cuts, so two
+A document's fingerprint is that array at places whose number grows with the
+text: a grid whose step is a power of two of at most ``STEP``, and cuts behind
+windows of ``WINDOW`` code points whose hash is the least within 2^level places
+on either side, about one in every 2^(level + 1) places.  The level grows with
+short texts and stays at ``LEVEL`` from some 2,000 code points on.  The grid of
+a longer text is part of that of a shorter one, and so are its cuts, so two
 fingerprints have comparable places.  By themselves they answer the equality
 of spans between grid places, which stand where they stood, and between cuts,
 which move with the text: the likeness is the share of the longer text that
 equal spans cover, by the better of the two.
+
+Where the whole arrays are at hand, ``alike`` extends the equal spans between
+cuts on either side as far as the texts agree.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,9 @@ from repsight.llm.common import bucket_of, partitions, rows_of, split_points
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_114_129, 1_627_721)
-GRID, CUTS, WINDOW = 16, 32, 8
+GRID, CUTS, WINDOW = 16, 32, 8  # places of short texts, up to where the step and the level end
+STEP, LEVEL = 128, 5
+_CUT = np.dtype([("place", ">u4"), ("level", "u1"), ("a", ">u4"), ("b", ">u4")])
 
 
 class _Powers:
@@ -50,7 +57,37 @@ class _Powers:
 
 POWERS = [_Powers(b, p) for b, p in zip(BASES, PRIMES)]
 INVERSE = [pow(b, -1, p) for b, p in zip(BASES, PRIMES)]
-INVERSE_POWERS = _Powers(INVERSE[0], PRIMES[0])
+INVERSE_POWERS = [_Powers(b, p) for b, p in zip(INVERSE, PRIMES)]
+
+
+def _longest(equal: Callable[[int], bool], most: int) -> int:
+    """The greatest length up to ``most`` that is equal, as all lesser ones are: by doubling, then by halving."""
+    low, reach = 0, 1
+    while reach <= most and equal(reach):
+        low, reach = reach, 2 * reach
+    high = min(most, reach - 1)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if equal(mid) else (low, mid - 1)
+    return low
+
+
+def _level(n: int) -> int:
+    """Level of the cuts of a text of n code points."""
+    return next((k for k in range(LEVEL) if n <= CUTS << k + 1), LEVEL)
+
+
+def _thinned(at: np.ndarray, level: int) -> np.ndarray:
+    """Cuts of one level without those nearer than 2^level to the one before: only equal windows lie so near."""
+    step = 1 << level
+    if len(at) < 2 or int(np.diff(at).min()) >= step:
+        return at
+    kept, least = [], 0
+    for x in at.tolist():
+        if x >= least:
+            kept.append(x)
+            least = x + step
+    return np.array(kept, dtype=np.int64)
 
 
 class Prefix:
@@ -82,45 +119,107 @@ class Prefix:
         """Whether the spans of that length from i here and from j there are equal."""
         if i + length > len(self) or j + length > len(other):
             return False
-        return self.span(i, i + length) == other.span(j, j + length)
-
-    def common_extension(self, i: int, other: Prefix, j: int) -> int:
-        """Length of the longest common extension of place i here and place j there."""
-        low, high = 0, min(len(self) - i, len(other) - j)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if self.equal(i, other, j, mid):
-                low = mid
-            else:
-                high = mid - 1
-        return low
+        for row, there, power, p in zip(self.rows, other.rows, POWERS, PRIMES):
+            x, y = int(row[i + length]) - int(row[i]), int(there[j + length]) - int(there[j])
+            shift = int(power.upto(abs(i - j) + 1)[-1])  # the span that begins first lacks so many powers
+            if (x * shift - y if i < j else x - y * shift) % p:
+                return False
+        return True
+
+    def common_extension(self, i: int, other: Prefix, j: int, most: int | None = None) -> int:
+        """Length of the longest common extension of place i here and place j there, up to ``most``."""
+        room = min(len(self) - i, len(other) - j)
+        return _longest(lambda n: self.equal(i, other, j, n), room if most is None else min(room, most))
+
+    def common_ending(self, i: int, other: Prefix, j: int, most: int) -> int:
+        """The same for the spans that end at place i here and at place j there."""
+        return _longest(lambda n: self.equal(i - n, other, j - n, n), min(i, j, most))
 
     def cuts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places behind windows, and the leading zeros of the windows' hashes, from the least number that leaves few."""
+        """Places behind windows whose hash is the least around them, equal ones included, and the cuts' levels."""
         n, p = len(self), np.uint64(PRIMES[0])
         if n < WINDOW:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        row = self.rows[0]
-        hashes = (row[WINDOW:] + p - row[:-WINDOW]) % p * INVERSE_POWERS.upto(n + 1)[: n + 1 - WINDOW] % p
-        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        zeros = 32 - np.frexp(mixed.astype(np.float64))[1]
-        many = np.cumsum(np.bincount(zeros, minlength=33)[::-1])[::-1]
-        least = int(np.flatnonzero(np.append(many, 0) <= CUTS)[0])
-        at = np.flatnonzero(zeros >= least)
-        return at + WINDOW, zeros[at]
+        row, most = self.rows[0], n + 1 - WINDOW
+        hashes = (row[WINDOW:] + p - row[:-WINDOW]) % p * INVERSE_POWERS[0].upto(n + 1)[:most] % p
+        mixed = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        edge, base = np.full(1 << LEVEL, 0xFFFFFFFF, np.uint32), _level(n)
+        least = np.concatenate([edge, mixed, edge])  # of the 2^k windows from a place on, the edge before it
+        at = np.arange(most)
+        levels = np.full(most, base)
+        for k in range(LEVEL + 1):
+            if k >= base:
+                holds = mixed[at] == np.minimum(least[at + len(edge)], least[at + len(edge) + 1 - (1 << k)])
+                if k == base:
+                    at, levels = at[holds], levels[holds]
+                else:
+                    levels[holds] = k
+            least = np.minimum(least[: -1 << k], least[1 << k :])
+        return at + WINDOW, levels
+
+    def bounds(self, level: int) -> np.ndarray:
+        """The cuts of a level, between the two ends of the text."""
+        at, levels = self.cuts()
+        at = _thinned(at[levels >= level], level)
+        return np.concatenate([[0], at[at < len(self)], [len(self)]]).astype(np.int64)
+
+    def spans(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the spans between successive places."""
+        both = [
+            (row[at[1:]] + np.uint64(p) - row[at[:-1]]) % np.uint64(p) * inverse.upto(len(row))[at[:-1]] % np.uint64(p)
+            for row, p, inverse in zip(self.rows, PRIMES, INVERSE_POWERS)
+        ]
+        return both[0] << np.uint64(32) | both[1]
+
+    def alike(self, other: Prefix) -> float:
+        """0 to 1, from the whole arrays: the share of the longer text that equal spans between cuts cover, each
+        extended on either side as far as the texts agree; 1 for equal texts."""
+        n, m = len(self), len(other)
+        if n == m and self.equal(0, other, 0, n):
+            return 1.0
+        level = max(_level(n), _level(m))
+        here, there = self.bounds(level), other.bounds(level)
+        mine, its = self.spans(here), other.spans(there)
+        waiting: dict[int, list[int]] = {}
+        for y in np.flatnonzero(np.isin(its, mine))[::-1].tolist():
+            waiting.setdefault(int(its[y]), []).append(y)
+        # (place here, place there, length) in order of the places here; equal spans meet in their order
+        blocks = [(0, 0, 0)]
+        for x in np.flatnonzero(np.isin(mine, its)).tolist():
+            if found := waiting[int(mine[x])]:
+                blocks.append((int(here[x]), int(there[found.pop()]), int(here[x + 1] - here[x])))
+        blocks.append((n, m, 0))
+        by_other = sorted(range(len(blocks)), key=lambda k: blocks[k][1:])
+        rank = {k: r for r, k in enumerate(by_other)}
+        free = [blocks[b][1] - sum(blocks[a][1:]) for a, b in zip(by_other, by_other[1:])]  # behind the block of a rank
+        total = 0
+        for k, ((i, j, length), (i2, j2, length2)) in enumerate(zip(blocks, blocks[1:])):
+            total += length2
+            if gap := i2 - i - length:
+                r, r2 = rank[k], rank[k + 1] - 1
+                more = self.common_extension(i + length, other, j + length, min(gap, free[r]))
+                free[r] -= more
+                ending = self.common_ending(i2, other, j2, min(gap - more, free[r2]))
+                free[r2] -= ending
+                total += more + ending
+        return total / max(n, m)
 
     def fingerprint(self) -> str:
         """``length:step:grid:cuts``: hashes of the prefixes on the grid and of the whole, 16 hex digits each, and
-        ``place.zeros.hash`` of each cut."""
+        of each cut its place, its level and the hash of its prefix, 8, 2 and 16 hex digits."""
         n, step = len(self), 1
-        while n // step > GRID:
+        while n // step > GRID and step < STEP:
             step *= 2
         grid = _grid_places(n, step)
-        cuts, zeros = self.cuts()
-        a, b = (row[grid + cuts.tolist()].tolist() for row in self.rows)
-        hashes = [f"{x:08x}{y:08x}" for x, y in zip(a, b)]
-        marked = (f"{c:x}.{z:x}.{h}" for c, z, h in zip(cuts.tolist(), zeros.tolist(), hashes[len(grid) :]))
-        return f"{n}:{step}:{''.join(hashes[: len(grid)])}:{','.join(marked)}"
+        cuts, levels = self.cuts()
+        if _level(n) == LEVEL:  # those of short texts are needed for longer ones' levels
+            kept = np.isin(cuts, _thinned(cuts, LEVEL))
+            cuts, levels = cuts[kept], levels[kept]
+        marked = np.empty(len(cuts), dtype=_CUT)
+        marked["place"], marked["level"] = cuts, levels
+        marked["a"], marked["b"] = (row[cuts] for row in self.rows)
+        hashes = np.stack([row[grid] for row in self.rows], axis=1).astype(">u4")
+        return f"{n}:{step}:{hashes.tobytes().hex()}:{marked.tobytes().hex()}"
 
 
 def _grid_places(n: int, step: int) -> list[int]:
@@ -135,18 +234,15 @@ def codes_of(text: str | None) -> np.ndarray:
 Hashes = dict[int, tuple[int, int]]
 
 
-def _read(fingerprint: str) -> tuple[int, Hashes, dict[int, int]]:
-    """Length, prefix hashes by place, and the leading zeros of the cuts by place."""
+def _read(fingerprint: str) -> tuple[int, Hashes, np.ndarray, np.ndarray]:
+    """Length, prefix hashes by place, and the cuts' places and levels."""
     n, step, grid, cuts = fingerprint.split(":")
     at = _grid_places(int(n), int(step))
     hashes = {0: (0, 0)}
-    for i, place in enumerate(at):
-        hashes[place] = (int(grid[16 * i : 16 * i + 8], 16), int(grid[16 * i + 8 : 16 * i + 16], 16))
-    zeros = {}
-    for place, z, h in (c.split(".") for c in cuts.split(",") if c):
-        hashes[int(place, 16)] = (int(h[:8], 16), int(h[8:], 16))
-        zeros[int(place, 16)] = int(z, 16)
-    return int(n), hashes, zeros
+    hashes.update(zip(at, map(tuple, np.frombuffer(bytes.fromhex(grid), ">u4").reshape(-1, 2).tolist())))
+    marked = np.frombuffer(bytes.fromhex(cuts), _CUT)
+    hashes.update((place, (a, b)) for place, _, a, b in marked.tolist())
+    return int(n), hashes, marked["place"].astype(np.int64), marked["level"].astype(np.int64)
 
 
 def _span(hashes: Hashes, i: int, j: int) -> tuple[int, ...]:
@@ -158,7 +254,7 @@ def likeness(one: str, other: str) -> float:
     """0 to 1, from the two fingerprints alone; 1 for equal texts (two empty ones too)."""
     if one == other:
         return 1.0
-    (n, a, za), (m, b, zb) = _read(one), _read(other)
+    (n, a, ca, la), (m, b, cb, lb) = _read(one), _read(other)
     if not n or not m:
         return 0.0
     # equal prefixes by binary search, and the equal spans between the common places behind them
@@ -170,11 +266,12 @@ def likeness(one: str, other: str) -> float:
     still = places[low] + sum(
         j - i for i, j in zip(places[low:], places[low + 1 :]) if _span(a, i, j) == _span(b, i, j)
     )
-    # equal spans between the cuts that both have in common by their zeros, wherever they lie
-    least = max(min(za.values(), default=0), min(zb.values(), default=0))
+    # equal spans between the cuts of the level that both have, wherever they lie
+    level = max(_level(n), _level(m))
     spans = []
-    for length, hashes, zeros in ((n, a, za), (m, b, zb)):
-        at = [0, *sorted(p for p, z in zeros.items() if z >= least and p != length), length]
+    for length, hashes, cuts, levels in ((n, a, ca, la), (m, b, cb, lb)):
+        at = _thinned(cuts[levels >= level], level)
+        at = [0, *at[at < length].tolist(), length]
         spans.append(Counter(_span(hashes, i, j) for i, j in zip(at, at[1:])))
     moved = sum(s[0] * k for s, k in (spans[0] & spans[1]).items())
     return min(1.0, max(still, moved) / max(n, m))
@@ -213,7 +310,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its fingerprint, that of an edited text, and their likeness.
+    """One row per row of ``docs``: its fingerprint, that of an edited text, and how alike the whole texts are.
 
     The edited text replaces the last floor(n / 2) code points by the first as
     many (or all) of the next document, in descending doc_id; the first
@@ -244,9 +341,10 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         _, doc, text, codes, whole, fp = row
         n = len(codes)
         keep = n - n // 2
-        edited = Prefix(following[3][: n // 2], whole, keep).fingerprint()
+        edited = Prefix(following[3][: n // 2], whole, keep)
         return (
-            doc, n, text[:keep] + following[2][: n // 2], fp, edited, likeness(fp, edited), likeness(fp, following[5])
+            doc, n, text[:keep] + following[2][: n // 2], fp, edited.fingerprint(), whole.alike(edited),
+            whole.alike(following[4]),
         )
 
     names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -79,3 +79,52 @@ def test_likeness():
     assert fp.likeness(make(text), make(text[:1500] + "XYZ " + text[1500:])) > 0.9  # letters put in
     for a, b in ((text, text[:1000]), ("abc", "abd"), (text[:7], text)):
         assert 0 <= fp.likeness(make(a), make(b)) == fp.likeness(make(b), make(a)) <= 1
+
+
+def test_likeness_of_long_texts_with_many_edits_and_repeats():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(6000)]
+    many = list(words)
+    for k in sorted(rng.sample(range(len(words)), 50), reverse=True):
+        many[k : k + 1] = rng.choice([["edited"], ["put", "in", many[k]], []])
+    lines = ["the same line again and again, to the very end of the text\n"] * 300
+    for text, other in (
+        (" ".join(words), " ".join(many)),
+        ("".join(lines), "word " + "".join(lines)),
+        ("".join(lines), "".join(lines[:150]) + "word " + "".join(lines[150:])),
+        ("abc" * 3000, "x" + "abc" * 3000),
+        ("a" * 5000, "a" * 2000 + "b" + "a" * 3000),
+    ):
+        a, b = fp.Prefix(fp.codes_of(text)), fp.Prefix(fp.codes_of(other))
+        assert 0.97 < a.alike(b) <= 1 and 0.97 < b.alike(a) <= 1
+        assert fp.likeness(a.fingerprint(), b.fingerprint()) > 0.75
+    short, long = fp.Prefix(fp.codes_of("abc" * 500)), fp.Prefix(fp.codes_of("x" + "abc" * 1000))
+    assert fp.likeness(short.fingerprint(), long.fingerprint()) > 0.4 and short.alike(long) > 0.45
+
+
+def test_cuts_are_the_least_hashes_around_them():
+    rng = random.Random(5)
+    for n in (8, 9, 40, 63, 64, 65, 200, 700, 1500, 2500):
+        whole = fp.Prefix(fp.codes_of("".join(rng.choice("ab") for _ in range(n))))
+        spans = [whole.span(i, i + fp.WINDOW)[0] for i in range(n + 1 - fp.WINDOW)]
+        mixed = [(h * 0x9E3779B97F4A7C15 % (1 << 64)) >> 32 for h in spans]
+        want = {}
+        for i, h in enumerate(mixed):
+            for k in range(fp._level(n), fp.LEVEL + 1):
+                if h == min(mixed[max(0, i - (1 << k) + 1) : i + (1 << k)]):
+                    want[i + fp.WINDOW] = k
+                else:
+                    break
+        at, levels = whole.cuts()
+        assert dict(zip(at.tolist(), levels.tolist())) == want
+
+
+def test_alike_is_exact_on_what_stays():
+    make = lambda t: fp.Prefix(fp.codes_of(t))
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    assert make(text).alike(make(text)) == 1 == make("").alike(make(""))
+    assert make("").alike(make("a")) == 0
+    assert make(text).alike(make(text[:2500] + "X" + text[2501:])) == 4999 / 5000
+    assert make(text).alike(make(text[:2500] + "XYZ" + text[2500:])) == 5000 / 5003
+    assert make(text).alike(make(text[2500:] + text[:2500])) > 0.97  # halves changed about
