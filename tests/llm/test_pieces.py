@@ -78,3 +78,58 @@ def test_rows_do_not_depend_on_their_neighbours(small_docs):
     want = [whole.encode(t, i) for i, t in enumerate(texts)]
     for own in (whole, small):
         assert [x.tolist() for x in own.encode_rows(texts, range(len(texts)))] == want
+
+
+def unfiltered():
+    """Every piece of the model's file that stands for characters: its id and rank."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    special = lambda i: sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
+    return {sp.id_to_piece(i): (i, -sp.get_score(i)) for i in range(sp.vocab_size()) if not special(i)}
+
+
+def test_samples_follow_the_lattice_of_the_whole_vocabulary():
+    vocabulary, own = unfiltered(), pieces.Codec(PATH, 0.3)
+    assert set(own.weights) == set(vocabulary)
+
+    def recursion(text):
+        if not text:
+            return [((), 1.0)]
+        return [
+            ((i, *ids), w * (2 + rank) ** -0.3)
+            for n in range(1, len(text) + 1)
+            for i, rank in [vocabulary.get(text[:n].replace(" ", pieces.BLANK), (None, 0))] if i is not None
+            for ids, w in recursion(text[n:])
+        ]
+
+    n = 10_000
+    for text in ("     a", "x}_{y", " f(__a", "=" * 7):
+        every = recursion(text)
+        total = sum(w for _, w in every)
+        want = {ids: w / total for ids, w in every}
+        got = Counter(tuple(own.encode(text, s)) for s in range(n))
+        assert set(got) <= set(want)
+        for ids, p in want.items():
+            assert abs(got[ids] / n - p) < 5 * (p / n) ** 0.5 + 2e-3
+
+
+def test_pieces_cross_every_place_of_long_runs():
+    own, spread = pieces.Codec(PATH, 1.0), Counter()
+    for seed in range(200):
+        at = 0
+        for i in own.encode("=" * 200, seed):
+            at += len(own.texts[i])
+            spread[at] += 1
+    assert max(spread[at] for at in range(39, 200, 39)) < 100  # cut there, every sample had an end of a piece
+    assert len(own.bounds("=" * 200)) == 2
+
+
+def test_long_units_are_segmented_alike_in_blocks():
+    texts = ["=" * 3000, "abcdefgh" * 700 + "   x", "a" * 30_000, "漢字 " + "_" * 500 + "\U0001f600" * 60]
+    whole = pieces.Codec(PATH, 1.0, long=1 << 20)
+    want = [whole.encode(t, i) for i, t in enumerate(texts)]
+    assert [whole.decode(ids) for ids in want] == texts
+    for long, units in ((50, 40_000), (7, 20), (4096, 100)):
+        own = pieces.Codec(PATH, 1.0, units, long)
+        assert [x.tolist() for x in own.encode_rows(texts, range(len(texts)))] == want
