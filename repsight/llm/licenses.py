@@ -2,8 +2,9 @@
 
 A text becomes its lower-case words, joined by one blank, with a blank at
 either end.  Every rule is a hand-written signature over such words, gated by
-a keyword: its regex runs only where the text contains the keyword, and no
-rule at all where a text contains none of the stems of all keywords.
+a keyword that each of its matches contains: its regex runs only where the text
+contains the keyword, and no rule at all where a text contains none of the stems
+that every match contains one of.
 
 Rules have a priority: 0 for identifiers and grants that name the license,
 1 for license texts' own sentences, 2 for a bare name.  Overlaps are resolved
@@ -28,7 +29,8 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 # (label, keyword, the license's name as a regex over normalised words), from the most to the least specific of a family
 NAMES = [
-    ("agpl-3", "affero", r"(gnu )?affero general public license( gpl| agpl)?( v| version)? ?3( 0)?|agpl( v| version)? ?3( 0)?"),
+    ("agpl-3", "affero", r"(gnu )?affero general public license( gpl| agpl)?( v| version)? ?3( 0)?"),
+    ("agpl-3", "agpl", r"agpl( v| version)? ?3( 0)?"),
     ("agpl", "affero", r"(gnu )?affero (general public )?license"),
     ("lgpl-3", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?3( 0)?"),
     ("lgpl-2.1", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?2 1"),
@@ -47,7 +49,9 @@ NAMES = [
     ("apache-2", "apache", r"apache (software )?license( v| version)? ?2( 0)?"),
     ("apache-1.1", "apache", r"apache (software )?license( v| version)? ?1 1"),
     ("apache", "apache", r"apache (software )?license"),
-    ("mit", "mit", r"mit( x11)? license|x11 license|expat license"),
+    ("mit", "mit", r"mit( x11)? license"),
+    ("mit", "x11", r"x11 license"),
+    ("mit", "expat", r"expat license"),
     ("mit-0", "mit", r"mit no attribution license|mit 0 license"),
     ("bsd-4", "bsd", r"(original|4 clause|four clause) bsd license|bsd 4 clause( original)?( license)?"),
     ("bsd-3", "bsd", r"(new|revised|modified|3 clause|three clause) bsd license|bsd 3 clause( new| revised)?( license)?"),
@@ -67,11 +71,13 @@ NAMES = [
     ("zlib", "zlib", r"zlib( libpng)? license"),
     ("boost-1", "boost", r"boost software license( (v|version) ?1( 0)?)?"),
     ("unlicense", "unlicense", r"(the )?unlicense( license)?"),
-    ("wtfpl", "wtfpl", r"wtfpl( (v|version) ?2)?|do what the fuck you want to public license"),
+    ("wtfpl", "wtfpl", r"wtfpl( (v|version) ?2)?"),
+    ("wtfpl", "do what the", r"do what the fuck you want to public license"),
     ("postgresql", "postgresql", r"postgresql license"),
-    ("python-2", "python", r"python software foundation license( (v|version) ?2)?|psf license"),
+    ("python-2", "python", r"python software foundation license( (v|version) ?2)?"),
+    ("python-2", "psf", r"psf license"),
     ("ofl-1.1", "open font", r"(sil )?open font license( ofl)?( (v|version) ?1 1)?"),
-    ("odbl-1", "open database", r"open (data commons )?(open )?database license( odbl)?( v?1( 0)?)?"),
+    ("odbl-1", "database license", r"open (data commons )?(open )?database license( odbl)?( v?1( 0)?)?"),
     ("odc-by-1", "data commons", r"open data commons attribution license( v?1( 0)?)?"),
     ("ms-pl", "microsoft", r"microsoft public license( ms pl)?"),
     ("ms-rl", "microsoft", r"microsoft reciprocal license( ms rl)?"),
@@ -126,9 +132,9 @@ SENTENCES = [
     ("bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("apache-2", "apache org", r"www apache org licenses license 2 0"),
     ("apache-2", "except in compliance", r"you may not use this file except in compliance with the license"),
-    ("gpl", "free software", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "free software", r"you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
-    ("agpl", "free software", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", "redistribute it", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute it", r"you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("agpl", "redistribute it", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("gpl", "gnu org", r"www gnu org licenses gpl( [123] 0)?"),
     ("lgpl", "gnu org", r"www gnu org licenses lgpl( [23] [01])?"),
     ("agpl", "gnu org", r"www gnu org licenses agpl( 3 0)?"),

@@ -94,3 +94,58 @@ def test_rules_are_hundreds_and_gated():
 def test_plan_is_native(spark):
     plan = QUERIES["op1_license_scan"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def alternatives(tokens):
+    """Strings that a parsed regex matches: every branch, every option with and without."""
+    out = [""]
+    for op, value in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            found = [chr(value)]
+        elif name == "BRANCH":
+            found = [x for branch in value[1] for x in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            found = alternatives(value[-1])
+        elif name == "MAX_REPEAT":
+            least, most, inner = value
+            found = ([""] if least == 0 else []) + (alternatives(inner) if most else [])
+        elif name == "IN":
+            found = [chr(v) if str(k) == "LITERAL" else "x" for k, v in value]
+        elif name == "ASSERT":
+            found = [""]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in found]
+    return out
+
+
+def test_prefilters_change_no_result(spark):
+    from re import _parser
+
+    texts = []
+    for label, keyword, regex in licenses.NAMES + licenses.SENTENCES:
+        for text in alternatives(_parser.parse(regex)):
+            assert re.fullmatch(regex, text) and keyword in text, (label, text)
+            assert any(stem in f" {text} " for stem in licenses.STEMS), (label, text)
+            texts.append((text, label))
+    for regex, label in licenses.IDENTIFIERS:
+        texts += [("spdx license identifier " + x, label) for x in alternatives(_parser.parse(regex))]
+    for alone in ("x11 license", "expat license", "psf license", "agpl version 3", "open data commons database license",
+                  "do what the fuck you want to public license"):
+        assert alone in {t for t, _ in texts}
+    some = [x for x in texts if "  " not in x[0]][::17] + [
+        ("Released under the Expat License.", "mit"), ("the X11 license", "mit"), ("PSF License", "python-2"),
+        ("AGPL version 3", "agpl-3"), ("Do What The Fuck You Want To Public License", "wtfpl"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+        ("Open Data Commons Database License", "odbl-1"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(some)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    everywhere = [(n, label, prio, re.compile(regex)) for n, label, prio, _, regex, _ in licenses.rules()]
+    for i, (text, label) in enumerate(some):
+        norm = " " + " ".join(WORD.findall(text.lower())) + " "
+        assert bool(got[i].detections) == any(regex.search(norm) for *_, regex in everywhere)
+        assert got[i].labels, text
+    for i in range(len(some) - 7, len(some)):
+        assert some[i][1] in got[i].labels.split(",")
