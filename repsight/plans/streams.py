@@ -29,14 +29,19 @@ def event_stream(spark: SparkSession, base: str, max_files: int = 1) -> DataFram
 
 @query("stream_frame_state")
 def stream_frame_state(spark: SparkSession, base: str) -> DataFrame:
-    """Per-frame state computed incrementally; equals the batch ``frame_state``."""
+    """Per-frame state computed incrementally, one row for every event.
+
+    Equals the batch ``frame_state`` where each file follows the one before in
+    time.  A late row (at or before its key's last one) comes without frame,
+    down and rep_count, which no other row lacks.
+    """
     ev = event_stream(spark, base)
     signal = ev.select(
         F.col("user_id").alias("workout_id"), "ts", "event_id",
         A.event_theta().alias("angle"), (F.col("event_type") != "error").alias("form"),
     )
     out = run_to_table(spark, frame_state_stream(signal), "frame_state")
-    return out.where(~F.col("late")).select(
+    return out.select(
         "workout_id", "frame", round6("angle").alias("angle"), "down", "rep_count", "form_ok"
     )
 

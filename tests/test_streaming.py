@@ -59,6 +59,28 @@ def test_frame_stream_reads_a_folder_in_any_order_and_loses_nothing(spark, tmp_p
     assert out.where("late").count() > 0
 
 
+def test_registered_frame_stream_gives_every_row_of_unordered_files(spark, tmp_path):
+    import time
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{BASE}/events.parquet")
+    middle = events.approxQuantile("event_id", [0.5], 0.0)[0]
+    for part in (events.where(F.col("event_id") >= middle), events.where(F.col("event_id") < middle)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    got = QUERIES["stream_frame_state"](spark, str(tmp_path)).collect()
+    want = QUERIES["frame_state"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == events.count()
+    for columns in (["workout_id"], ["workout_id", "angle"]):
+        assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(tuple(r[c] for c in columns) for r in want)
+    late = [r for r in got if r.frame is None]
+    assert late and all(r.down is None and r.rep_count is None for r in late)
+    frames = Counter((r.workout_id, r.frame) for r in got if r.frame is not None)
+    assert max(frames.values()) == 1 and sum(frames.values()) + len(late) == len(want)
+
+
 def test_unknown_exercise_and_texts_that_are_no_goals_mean_the_same_in_batch_and_stream(spark, tmp_path):
     from pyspark.sql import functions as F
 
