@@ -69,11 +69,11 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h = h[:-step] * np.uint64(pow(1_000_003, step, 1 << 64)) + h[step:]
         h = h[:-8] * np.uint64(0x9E3779B97F4A7C15) + h[8:]
         end = np.arange(len(h)) + 23
-        inside = (text_of[end] == text_of[: len(h)]) & (place[end] % 2 == 0)
+        inside = text_of[end] == text_of[: len(h)]
         h, end = h[inside] ^ (text_of[end][inside].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), end[inside]
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        again = np.bincount(passage[end[order][1:][same]], minlength=n) * 2 / size[:, 0]
+        again = np.bincount(passage[end[order][1:][same]], minlength=n) / size[:, 0]
     space = (b == 32) | (b == 10)
     words = np.bincount(passage[space], minlength=n) / size[:, 0]
     lines = np.bincount(passage[b == 10], minlength=n) / size[:, 0]

@@ -58,3 +58,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = quality.train(odd_docs, labels.limit(0))
     assert none is None and {r.quality_score for r in quality.score(odd_docs, none).collect()} == {0.5}
     assert quality.score(no_docs, model).count() == 0 and quality.train(no_docs, labels) is None
+
+
+def test_repetition_counts_at_every_distance():
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(33, 127, 60, dtype=np.uint8))
+    column = quality.CLASSES + quality.PAIRS
+    for length in range(100, 104):
+        between = bytes(rng.integers(33, 127, length, dtype=np.uint8))
+        text = passage + between + passage
+        x, _ = quality.encode([text, b"x", between])
+        windows = [text[i : i + 24] for i in range(len(text) - 23)]
+        assert len(windows) - len(set(windows)) == 37
+        assert np.isclose(x[0, column], 37 / len(text)) and x[2, column] == 0
