@@ -6,8 +6,10 @@ The pieces of up to ``block`` documents are dealt to windows by multiway differe
 partial partitions with the widest spread, the fullest windows of the one meet
 the emptiest of the other, until one partition is left.  Its windows are
 nearly equal, and where one exceeds the capacity the number of windows rises.
-Blocks are filled within each input split, so nothing is shuffled, a block
-bounds the memory, and a lost task is run again with the same result.
+Blocks are filled within each input split; the pieces that are left at the
+splits' ends, less than a block each, are exchanged and packed together, in
+blocks of about as many documents.  So little is shuffled, a block bounds the
+memory, and a lost task is run again with the same result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repsight.llm.common import rows_of
+
 _NOT_SPACE_FOR_ALL = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _SPACES = re.compile("[ \t\n\r]+")
 
@@ -150,6 +154,18 @@ def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def deal(rests: list[tuple], capacity: int, sequence: int) -> list[tuple]:
+    """Rows of the pieces (doc_id, start, ids, doc_tokens) in windows that are numbered from ``sequence`` on."""
+    out = []
+    for k, window in enumerate(windows_for([len(r[2]) // 4 for r in rests], capacity)):
+        offset = 0
+        for i in window:
+            doc, start, ids, total = rests[i]
+            out.append((doc, start, len(ids) // 4, ids, total, sequence + k, offset))
+            offset += len(ids) // 4
+    return out
+
+
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, piece: int = 512, block: int = 2048
 ) -> DataFrame:
@@ -158,31 +174,25 @@ def pack(
     ``docs`` needs doc_id and text; other columns are ignored.  A null or
     empty text has the one id ``end_id``.  Null and repeated doc_ids are
     packed as any other row.  An empty table gives no piece.  A sequence has
-    at most ``capacity`` ids and lies within one input split; its id is the
-    split's number times 2^33 plus a running number.
+    at most ``capacity`` ids and lies within one input split or one block of
+    the splits' ends; its id is the number of the split, or of the block plus
+    2^29, times 2^33 plus a running number.  What the splits give is
+    checkpointed, so that texts are encoded once.
     """
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+    def batch_of(rows: list[tuple], *more: str) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, *(pa.int64() for _ in more)])]
+        return pa.record_batch(columns, names=[*names, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << 33
+        split = TaskContext.get().partitionId()
+        sequence = split << 33
         rests, waiting, out, held = [], 0, [], 0
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-        def deal() -> Iterator[tuple]:
-            nonlocal sequence
-            for window in windows_for([len(r[2]) // 4 for r in rests], capacity):
-                offset = 0
-                for i in window:
-                    doc, start, ids, total = rests[i]
-                    yield doc, start, len(ids) // 4, ids, total, sequence, offset
-                    offset += len(ids) // 4
-                sequence += 1
-            rests.clear()
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -190,22 +200,40 @@ def pack(
                 total = len(ids) // 4
                 whole = total - total % capacity
                 for at in range(0, whole, capacity):
-                    out.append((doc, at, capacity, ids[4 * at : 4 * (at + capacity)], total, sequence, 0))
+                    out.append((doc, at, capacity, ids[4 * at : 4 * (at + capacity)], total, sequence, 0, split))
                     sequence += 1
                 rests += ((doc, at, ids[4 * at : 4 * (at + piece)], total) for at in range(whole, total, piece))
                 waiting += 1
                 if waiting == block:
-                    out += deal()
-                    waiting = 0
+                    dealt = deal(rests, capacity, sequence)
+                    out += ((*row, split) for row in dealt)
+                    sequence = dealt[-1][5] + 1 if dealt else sequence
+                    rests, waiting = [], 0
                 held += len(ids)
                 if held > 1 << 23 and out:
-                    yield batch_of(out)
+                    yield batch_of(out, "split")
                     out, held = [], 0
-        out += deal() if rests else []
+        # without a sequence yet; their running number in place of the offset
+        out += ((doc, at, len(ids) // 4, ids, total, None, i, split) for i, (doc, at, ids, total) in enumerate(rests))
         if out:
-            yield batch_of(out)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run,
-        "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
-    )
+            yield batch_of(out, "split")
+
+    def run_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rests, last = [], None
+        for row in rows_of(batches):
+            if rests and row["block"] != last:
+                yield batch_of(deal(rests, capacity, (1 << 29) + last << 33))
+                rests = []
+            last = row["block"]
+            rests.append((row["doc_id"], row["start"], row["ids"], row["doc_tokens"]))
+        if rests:
+            yield batch_of(deal(rests, capacity, (1 << 29) + last << 33))
+
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    first = given.mapInArrow(run, f"{schema}, split long").checkpoint(eager=True)
+    ends = first.where("sequence_id IS NULL")
+    blocks = -(-ends.where(F.col("start") % capacity == 0).count() // block)  # a document's first piece stands there
+    dealt = ends.withColumn("block", F.pmod(F.xxhash64("split", "offset"), F.lit(max(1, blocks))))
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "split", "offset")
+    together = ordered.select("block", "doc_id", "start", "ids", "doc_tokens").mapInArrow(run_ends, schema)
+    return first.where("sequence_id IS NOT NULL").drop("split").unionByName(together)

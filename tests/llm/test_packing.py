@@ -81,3 +81,19 @@ def test_differencing():
     assert max(sums) - min(sums) <= 30
     for w in packing.windows_for([512] * 9 + [1], 2048):
         assert sum(512 if i < 9 else 1 for i in w) <= 2048
+
+
+def test_rests_of_many_splits_are_packed_together(small_docs):
+    docs = small_docs.select("doc_id", "text").unionByName(small_docs.selectExpr("doc_id + 1000000", "text").toDF("doc_id", "text"))
+    counts = {}
+    for splits in (1, 40):
+        rows = packing.pack(docs.repartition(splits), PATH).collect()
+        counts[splits] = len({r.sequence_id for r in rows})
+        sizes = {}
+        for r in rows:
+            sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+        assert max(sizes.values()) <= 2048
+        assert sorted((r.doc_id, r.start, bytes(r.ids)) for r in rows) == counts.setdefault(
+            "rows", sorted((r.doc_id, r.start, bytes(r.ids)) for r in rows)
+        )
+    assert counts[40] <= counts[1] * 1.02 + 1
