@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repsight.llm import chat, fingerprints, language, licenses, neighbours, packing, pieces, quality, secrets, simhash
+from repsight.llm import (
+    centroids, chat, codes, cover, fingerprints, language, licenses, neighbours, oracle_vectors, packing, pieces, quality,
+    secrets, simhash,
+)
 from repsight.llm.common import held_out
 from repsight.session import prepare
 from repsight.sources.tables import read_table
@@ -124,3 +127,31 @@ def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op11_drift_tightened_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds, with the clusters' exact inertia."""
+    found = centroids.report(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), k=16, rounds=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+ORACLE["op11_drift_tightened_centroids"] = oracle_vectors.clustering(k=16, rounds=3)
+
+
+@query
+def op12_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings with their links and components at a cosine of at least 0.9."""
+    return cover.near_duplicates(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), threshold=0.9)
+
+
+ORACLE["op12_cover_tree_near_dedup"] = oracle_vectors.near_duplicates(0.9)
+
+
+@query
+def op13_member_resident_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 8 parts, from codebooks of 16 entries after six rounds."""
+    return codes.report(read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"]), entries=16, rounds=6)
+
+
+ORACLE["op13_member_resident_codes"] = oracle_vectors.codes(entries=16, rounds=6)
