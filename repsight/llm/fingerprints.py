@@ -23,7 +23,6 @@ cuts on either side as far as the texts agree.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,7 +95,7 @@ class Prefix:
     def __init__(self, codes: np.ndarray, before: Prefix | None = None, keep: int = 0):
         """The codes alone, or after the first ``keep`` codes of ``before``."""
         n = keep + len(codes)
-        self.rows = []
+        self.rows, self._cuts = [], None
         for k, (power, prime) in enumerate(zip(POWERS, PRIMES)):
             p = np.uint64(prime)
             terms = (codes.astype(np.uint64) + np.uint64(1)) * power.upto(n)[keep:] % p
@@ -137,6 +136,11 @@ class Prefix:
 
     def cuts(self) -> tuple[np.ndarray, np.ndarray]:
         """Places behind windows whose hash is the least around them, equal ones included, and the cuts' levels."""
+        if self._cuts is None:
+            self._cuts = self._find_cuts()
+        return self._cuts
+
+    def _find_cuts(self) -> tuple[np.ndarray, np.ndarray]:
         n, p = len(self), np.uint64(PRIMES[0])
         if n < WINDOW:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -204,96 +208,130 @@ class Prefix:
                 total += more + ending
         return total / max(n, m)
 
-    def fingerprint(self) -> str:
-        """``length:step:grid:cuts``: hashes of the prefixes on the grid and of the whole, 16 hex digits each, and
-        of each cut its place, its level and the hash of its prefix, 8, 2 and 16 hex digits."""
+    def marks(self) -> Marks:
+        """What the fingerprint holds."""
         n, step = len(self), 1
         while n // step > GRID and step < STEP:
             step *= 2
-        grid = _grid_places(n, step)
         cuts, levels = self.cuts()
         if _level(n) == LEVEL:  # those of short texts are needed for longer ones' levels
             kept = np.isin(cuts, _thinned(cuts, LEVEL))
             cuts, levels = cuts[kept], levels[kept]
-        marked = np.empty(len(cuts), dtype=_CUT)
-        marked["place"], marked["level"] = cuts, levels
-        marked["a"], marked["b"] = (row[cuts] for row in self.rows)
-        hashes = np.stack([row[grid] for row in self.rows], axis=1).astype(">u4")
-        return f"{n}:{step}:{hashes.tobytes().hex()}:{marked.tobytes().hex()}"
-
-
-def _grid_places(n: int, step: int) -> list[int]:
-    at = [*range(step, n + 1, step)]
-    return at if at and at[-1] == n else [*at, n]
+        grid = _grid_places(n, step)
+        at = lambda places: np.stack([row[places] for row in self.rows], axis=1)
+        return Marks(n, step, grid, at(grid), cuts, levels, at(cuts))
 
+    def fingerprint(self) -> str:
+        """See ``Marks``."""
+        return str(self.marks())
 
-def codes_of(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
+def _grid_places(n: int, step: int) -> np.ndarray:
+    at = np.arange(step, n + 1, step)
+    return at if len(at) and at[-1] == n else np.append(at, n)
 
-Hashes = dict[int, tuple[int, int]]
 
+class Marks:
+    """A fingerprint: prefix hashes (two numbers each) of a text of n code points at its grid places and cuts.
 
-def _read(fingerprint: str) -> tuple[int, Hashes, np.ndarray, np.ndarray]:
-    """Length, prefix hashes by place, and the cuts' places and levels."""
-    n, step, grid, cuts = fingerprint.split(":")
-    at = _grid_places(int(n), int(step))
-    hashes = {0: (0, 0)}
-    hashes.update(zip(at, map(tuple, np.frombuffer(bytes.fromhex(grid), ">u4").reshape(-1, 2).tolist())))
-    marked = np.frombuffer(bytes.fromhex(cuts), _CUT)
-    hashes.update((place, (a, b)) for place, _, a, b in marked.tolist())
-    return int(n), hashes, marked["place"].astype(np.int64), marked["level"].astype(np.int64)
+    As text ``length:step:grid:cuts``: hashes of the prefixes on the grid and of the whole, 16 hex digits each, and of
+    each cut its place, its level and the hash of its prefix, 8, 2 and 16 hex digits.
+    """
 
+    def __init__(self, n: int, step: int, grid: np.ndarray, grid_hashes: np.ndarray, cuts: np.ndarray, levels: np.ndarray, cut_hashes: np.ndarray):
+        self.n, self.step, self.grid, self.grid_hashes = n, step, grid, grid_hashes
+        self.cuts, self.levels, self.cut_hashes = cuts, levels, cut_hashes
+        self._places = None
+
+    def __str__(self) -> str:
+        marked = np.empty(len(self.cuts), dtype=_CUT)
+        marked["place"], marked["level"] = self.cuts, self.levels
+        marked["a"], marked["b"] = self.cut_hashes.T
+        return f"{self.n}:{self.step}:{self.grid_hashes.astype('>u4').tobytes().hex()}:{marked.tobytes().hex()}"
+
+    @classmethod
+    def read(cls, fingerprint: str) -> Marks:
+        n, step, grid, cuts = fingerprint.split(":")
+        marked = np.frombuffer(bytes.fromhex(cuts), _CUT)
+        hashes = np.stack([marked["a"], marked["b"]], axis=1).astype(np.uint64)
+        return cls(
+            int(n), int(step), _grid_places(int(n), int(step)),
+            np.frombuffer(bytes.fromhex(grid), ">u4").reshape(-1, 2).astype(np.uint64),
+            marked["place"].astype(np.int64), marked["level"].astype(np.int64), hashes,
+        )
 
-def _span(hashes: Hashes, i: int, j: int) -> tuple[int, ...]:
-    """Length and hash of the span from i to j, wherever it lies."""
-    return (j - i, *((y - x) % p * pow(inv, i, p) % p for x, y, p, inv in zip(hashes[i], hashes[j], PRIMES, INVERSE)))
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """All places with their prefix hashes, in order, from 0 on."""
+        if self._places is None:
+            at = np.concatenate([[0], self.grid, self.cuts])
+            hashes = np.concatenate([np.zeros((1, 2), dtype=np.uint64), self.grid_hashes, self.cut_hashes])
+            at, first = np.unique(at, return_index=True)
+            self._places = at, hashes[first]
+        return self._places
+
+    def spans(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, length) of the spans between the cuts of a level and the ends, wherever they lie."""
+        at = _thinned(self.cuts[self.levels >= level], level)
+        bounds = np.concatenate([[0], at[at < self.n], [self.n]]).astype(np.int64)
+        there, hashes = self.places()
+        ends = hashes[np.searchsorted(there, bounds)]
+        both = [
+            (ends[1:, k] + np.uint64(p) - ends[:-1, k]) % np.uint64(p) * inverse.upto(self.n + 1)[bounds[:-1]] % np.uint64(p)
+            for k, (p, inverse) in enumerate(zip(PRIMES, INVERSE_POWERS))
+        ]
+        return both[0] << np.uint64(32) | both[1], np.diff(bounds)
+
+    def common_prefix(self, other: Marks) -> tuple[int, int]:
+        """(the longest common prefix up to a place that both have, the spans behind it that are equal where they stand)."""
+        (here, mine), (there, its) = self.places(), other.places()
+        places, i, j = np.intersect1d(here, there, assume_unique=True, return_indices=True)
+        a, b = mine[i], its[j]
+        low = _longest(lambda k: bool((a[k] == b[k]).all()), len(places) - 1)
+        primes = np.array(PRIMES, dtype=np.uint64)
+        equal = ((a[1:] + primes - a[:-1]) % primes == (b[1:] + primes - b[:-1]) % primes).all(axis=1)
+        return int(places[low]), int(np.diff(places)[low:][equal[low:]].sum())
+
+    def likeness(self, other: Marks) -> float:
+        """0 to 1; 1 for equal texts (two empty ones too)."""
+        n, m = self.n, other.n
+        if n == m and np.array_equal(self.grid_hashes[-1], other.grid_hashes[-1]):
+            return 1.0
+        if not n or not m:
+            return 0.0
+        still = sum(self.common_prefix(other))
+        # equal spans between the cuts of the level that both have, each as often as both have it
+        level = max(_level(n), _level(m))
+        (mine, long), (its, _) = self.spans(level), other.spans(level)
+        mine, first, count = np.unique(mine, return_index=True, return_counts=True)
+        its, times = np.unique(its, return_counts=True)
+        both, i, j = np.intersect1d(mine, its, assume_unique=True, return_indices=True)
+        moved = int((long[first[i]] * np.minimum(count[i], times[j])).sum())
+        return min(1.0, max(still, moved) / max(n, m))
 
 
 def likeness(one: str, other: str) -> float:
     """0 to 1, from the two fingerprints alone; 1 for equal texts (two empty ones too)."""
-    if one == other:
-        return 1.0
-    (n, a, ca, la), (m, b, cb, lb) = _read(one), _read(other)
-    if not n or not m:
-        return 0.0
-    # equal prefixes by binary search, and the equal spans between the common places behind them
-    places = sorted(set(a) & set(b))
-    low, high = 0, len(places) - 1
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[places[mid]] == b[places[mid]] else (low, mid - 1)
-    still = places[low] + sum(
-        j - i for i, j in zip(places[low:], places[low + 1 :]) if _span(a, i, j) == _span(b, i, j)
-    )
-    # equal spans between the cuts of the level that both have, wherever they lie
-    level = max(_level(n), _level(m))
-    spans = []
-    for length, hashes, cuts, levels in ((n, a, ca, la), (m, b, cb, lb)):
-        at = _thinned(cuts[levels >= level], level)
-        at = [0, *at[at < length].tolist(), length]
-        spans.append(Counter(_span(hashes, i, j) for i, j in zip(at, at[1:])))
-    moved = sum(s[0] * k for s, k in (spans[0] & spans[1]).items())
-    return min(1.0, max(still, moved) / max(n, m))
+    return Marks.read(one).likeness(Marks.read(other))
+
+
+def codes_of(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, key, copy, doc_id, text) such that each row's successor follows it in its bucket.
 
     Rows are in descending doc_id, those without id last, ties by the md5 of
-    the text and then as they lie in the input.  Buckets are ranges of that
-    order with sampled limits.  The first row of each bucket is given to the
-    bucket before as well, marked as a copy, and the very first row to the
-    last bucket: so one exchange of the texts serves all successors.
+    the text; rows equal in both are the same row for a successor.  Buckets are
+    ranges of that order with sampled limits, so equal rows share one.  The
+    first row of each bucket (with its equals, of which the first counts) is
+    given to the bucket before as well, marked as a copy, and the very first
+    row to the last bucket: so one exchange of the texts serves all successors.
+    The key depends on the row alone, so it is the same in every job.
     """
     up = F.lpad(F.hex(F.bitwise_not(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn(
-        "key",
-        F.concat(
-            F.coalesce(up, F.lit("G")), F.lit("."), F.md5("text"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
-        ),
-    )
+    keyed = rows.withColumn("key", F.concat(F.coalesce(up, F.lit("G")), F.lit("."), F.md5("text")))
     points = split_points(keyed, "key", partitions(docs.sparkSession))
     keyed = keyed.withColumn("bucket", bucket_of(F.col("key"), points))
     heads = sorted(r[0] for r in keyed.groupBy("bucket").agg(F.min("key")).select("min(key)").collect())
@@ -310,12 +348,13 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its fingerprint, that of an edited text, and how alike the whole texts are.
+    """One row per row of ``docs``: its fingerprint, that of an edited text, and their likeness.
 
     The edited text replaces the last floor(n / 2) code points by the first as
     many (or all) of the next document, in descending doc_id; the first
     document follows the last.  Returns doc_id, n_chars, edited_text,
-    fingerprint, edited_fingerprint, near_edited, near_next.  ``docs`` needs
+    fingerprint, edited_fingerprint, near_edited, near_next: the ``likeness``
+    of the fingerprint to the edited text's and to the next row's.  ``docs`` needs
     doc_id and text; other columns are ignored.  A null text counts as empty.
     Rows without id come after all others, rows of equal id in the order of
     their texts' md5; a single row follows itself.  No row gives no row.
@@ -326,7 +365,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         for row in rows_of(batches):
             codes = codes_of(row["text"])
             whole = Prefix(codes)
-            now = (row["bucket"], row["doc_id"], row["text"], codes, whole, whole.fingerprint())
+            now = (row["bucket"], row["doc_id"], row["text"], codes, whole, whole.marks())
             if last and last[0] == row["bucket"]:
                 out.append(edit(last, now))
                 held += len(row["text"])
@@ -338,13 +377,13 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
             yield frame(out)
 
     def edit(row: tuple, following: tuple) -> tuple:
-        _, doc, text, codes, whole, fp = row
+        _, doc, text, codes, whole, marks = row
         n = len(codes)
         keep = n - n // 2
-        edited = Prefix(following[3][: n // 2], whole, keep)
+        edited = Prefix(following[3][: n // 2], whole, keep).marks()
         return (
-            doc, n, text[:keep] + following[2][: n // 2], fp, edited.fingerprint(), whole.alike(edited),
-            whole.alike(following[4]),
+            doc, n, text[:keep] + following[2][: n // 2], str(marks), str(edited), marks.likeness(edited),
+            marks.likeness(following[5]),
         )
 
     names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -30,7 +30,12 @@ def test_query_equals_brute_force(spark, small_docs):
     rows = small_docs.collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == edited(rows)
     texts = {r.doc_id: r.text for r in rows}
-    by_text = {}
+    by_text, prints = {}, {r.doc_id: r.fingerprint for r in got}
+    order = sorted(prints, reverse=True)
+    following = dict(zip(order, order[1:] + order[:1]))
+    for r in got:  # near_* follow from the returned columns alone
+        assert r.near_edited == fp.likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == fp.likeness(r.fingerprint, prints[following[r.doc_id]])
     for r in got:
         assert r.fingerprint == fp.Prefix(fp.codes_of(texts[r.doc_id])).fingerprint()
         by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
