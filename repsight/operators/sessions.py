@@ -278,6 +278,24 @@ def history_text(sets: DataFrame) -> DataFrame:
     return agg.select("session_id", text.alias("history"), F.regexp_replace(text, "\n", "<br>").alias("history_html"))
 
 
+def history_changes(sets: DataFrame) -> DataFrame:
+    """The history as a log of changes (W8): each completed set adds one line.
+
+    A version of the history holds from the message that completes its last
+    set (``valid_from``) until the next set of the session is completed
+    (``valid_to``, null for the last one); its text is the lines up to
+    ``series_number``.  So the log is as long as the sets, where the text sent
+    anew at each change grows with their square.  Sets of a session are
+    numbered without gaps, so the next one is found by an equi-join.
+    """
+    line = F.concat(F.col("exercise_at_end"), F.lit(": "), F.col("reps").cast("string"), F.lit(" reps"))
+    here = sets.select("session_id", "series_number", line.alias("line"), F.col("last_seq").cast("bigint").alias("valid_from"))
+    following = sets.select(
+        "session_id", (F.col("series_number") - 1).alias("series_number"), F.col("last_seq").cast("bigint").alias("valid_to")
+    )
+    return here.join(following, ["session_id", "series_number"], "left")
+
+
 def rep_events(segments: DataFrame, chunk: str = "chunk") -> DataFrame:
     """Client-side repetition event (W7): the count rose, is not the goal, goal > 0.
 

@@ -7,20 +7,22 @@ from .oracle import K_EXPR, latch_ctes, r6, sql
 
 MESSAGES = f"""
 ev AS (
-  SELECT user_id AS session_id, event_type, {K_EXPR} AS k,
+  SELECT user_id AS session_id, event_type, {K_EXPR} AS k, ts,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events),
 msgs AS (
   SELECT session_id, n * 10 AS seq, 'start' AS type, CAST(NULL AS VARCHAR) AS value,
-         CAST(NULL AS DOUBLE) AS angle, CAST(NULL AS BOOLEAN) AS form
+         CAST(NULL AS DOUBLE) AS angle, CAST(NULL AS BOOLEAN) AS form, ts
   FROM ev WHERE event_type = 'signup' AND k % 4 = 0
-  UNION ALL SELECT session_id, n * 10 + 1, 'workout', 'push-ups', NULL, NULL FROM ev
+  UNION ALL SELECT session_id, n * 10 + 1, 'workout', 'push-ups', NULL, NULL, ts FROM ev
     WHERE event_type = 'signup' AND k % 4 = 0
-  UNION ALL SELECT session_id, n * 10, 'workout', 'squats', NULL, NULL FROM ev
+  UNION ALL SELECT session_id, n * 10, 'workout', 'squats', NULL, NULL, ts FROM ev
     WHERE event_type = 'signup' AND k % 4 = 1
-  UNION ALL SELECT session_id, n * 10, 'reps', CAST(k % 3 AS VARCHAR), NULL, NULL FROM ev
+  UNION ALL SELECT session_id, n * 10, 'strictness', CASE WHEN k % 4 = 2 THEN 'strict' ELSE 'moderate' END, NULL, NULL, ts FROM ev
+    WHERE event_type = 'signup' AND (k IS NULL OR k % 4 > 1)
+  UNION ALL SELECT session_id, n * 10, 'reps', CAST(k % 3 AS VARCHAR), NULL, NULL, ts FROM ev
     WHERE event_type = 'purchase'
-  UNION ALL SELECT session_id, n * 10, 'frame', NULL, k * 180 / 99, event_type <> 'error' FROM ev
+  UNION ALL SELECT session_id, n * 10, 'frame', NULL, k * 180 / 99, event_type <> 'error', ts FROM ev
     WHERE event_type IN ('view', 'click', 'error'))
 """
 
@@ -145,3 +147,31 @@ SELECT session_id, seq,
        CASE WHEN seq % 7 = 3 THEN 'malformed JSON' END AS reject_reason
 FROM msgs WHERE type <> 'frame'
 """)
+
+
+sql("stream_ordered_sets", ORACLE_SET_SEGMENTS)
+
+sql("stream_message_ledger", "WITH " + MESSAGES + """
+SELECT session_id, seq, 'applied' AS outcome FROM msgs
+UNION ALL SELECT session_id, seq, 'duplicate' FROM msgs WHERE (session_id + seq) % 7 = 0
+""")
+
+IDLE_US = 86_400_000_000
+sql("stream_idle_history", SEG + f"""
+, idle AS (
+  SELECT session_id, seq, CASE WHEN coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts) > {IDLE_US}, true)
+                               THEN epoch_us(ts) + {IDLE_US} END AS moment
+  FROM msgs WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+sent AS (
+  SELECT session_id, seq, min(moment) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sent_at_us
+  FROM idle)
+SELECT c.session_id, series_number, exercise_at_end || ': ' || CAST(reps AS VARCHAR) || ' reps' AS line, sent_at_us
+FROM ({COMPLETED}) c JOIN sent ON sent.session_id = c.session_id AND sent.seq = c.last_seq
+""")
+
+sql("history_changes", SEG + f"""
+SELECT session_id, series_number, exercise_at_end || ': ' || CAST(reps AS VARCHAR) || ' reps' AS line,
+       CAST(last_seq AS BIGINT) AS valid_from,
+       CAST(lead(last_seq) OVER (PARTITION BY session_id ORDER BY series_number) AS BIGINT) AS valid_to
+FROM ({COMPLETED})
+""")

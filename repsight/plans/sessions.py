@@ -53,6 +53,14 @@ def history_text(spark: SparkSession, base: str) -> DataFrame:
     return S.history_text(S.completed_sets(session_segments(spark, base)))
 
 
+@query("history_changes")
+def history_changes(spark: SparkSession, base: str) -> DataFrame:
+    """One row per change of a session's history, with the messages it holds between."""
+    from ..operators.scan import checkpoint
+
+    return S.history_changes(checkpoint(S.completed_sets(session_segments(spark, base))))
+
+
 @query("rep_events")
 def rep_events(spark: SparkSession, base: str) -> DataFrame:
     e = S.rep_events(session_segments(spark, base))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round6
 from ..session import ensure_checkpoint_dir
 from ..sources import adapters as A
-from ..streaming.frames import frame_state_stream, run_to_table
+from ..streaming.frames import frame_state_stream, run_to_folder, run_to_table
 from ..streaming.sessions import session_stream
 from .registry import query
 
@@ -141,3 +141,78 @@ def stream_pose_sessions(spark: SparkSession, base: str) -> DataFrame:
         "reps", "done", "form_ok", "form_issues", "exercise",
         round6("rep").alias("rep_angle"), round6("aux").alias("aux_angle"),
     )
+
+
+DISORDER_STEPS = 4
+IDLE_SECONDS = 86_400
+SLOT_SECONDS = 7 * 86_400  # sessions of the events table have a message every few hours
+
+
+def stage_disordered(spark: SparkSession, base: str, steps: int = DISORDER_STEPS) -> tuple[str, int]:
+    """The session messages in files that interleave sessions out of order; (folder, delay in seconds that covers it).
+
+    Each message belongs to a time slice; where (session_id + seq / 10) % 5 = 0
+    it comes with the next slice's files, and where (session_id + seq) % 7 = 0
+    it comes a second time, with the next slice's.  The last file holds a clock
+    message, which moves the watermark past all others.
+    """
+    from .sets import micros
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/disordered-{uuid.uuid4().hex}"
+    msgs = A.session_messages(spark, base).select(
+        "session_id", "seq", micros("ts").alias("ts_us"), "type", "value", "angle", "form"
+    )
+    lo, hi = msgs.agg(F.min("ts_us"), F.max("ts_us")).first()
+    if lo is None:
+        lo = hi = 0
+    width = (hi - lo) // steps + 1
+    step = F.floor((F.col("ts_us") - lo) / width)
+    given = step + ((F.col("session_id") + F.floor(F.col("seq") / 10)) % 5 == 0).cast("int")
+    again = F.when((F.col("session_id") + F.col("seq")) % 7 == 0, F.array(given, step + 1)).otherwise(F.array(given))
+    dealt = msgs.withColumn("step", F.explode(again)).checkpoint()
+    for i in range(steps + 1):
+        dealt.where(F.col("step") == i).drop("step").write.mode("append").parquet(path)
+    delay = width // 1_000_000 + 3600
+    clock = hi + (delay + 2 * IDLE_SECONDS) * 1_000_000
+    end = dealt.drop("step").limit(0).unionByName(
+        spark.sql(f"SELECT 0L AS session_id, 0L AS seq, {clock}L AS ts_us, 'clock' AS type, CAST(NULL AS STRING) AS value, "
+                  "CAST(NULL AS DOUBLE) AS angle, CAST(NULL AS BOOLEAN) AS form")
+    )
+    end.coalesce(1).write.mode("append").parquet(path)
+    return path, delay
+
+
+def run_ordered(spark: SparkSession, base: str, expire: int | None = None) -> DataFrame:
+    """All results of the ordered session stream over the disordered messages."""
+    from ..streaming.ordered import ordered_sessions, state_session
+
+    path, delay = stage_disordered(spark, base)
+    own = state_session(spark)
+    table = own.read.parquet(path)
+    files = max(1, len(table.inputFiles()) // (DISORDER_STEPS + 2))
+    source = own.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream = ordered_sessions(source, f"{delay} seconds", IDLE_SECONDS, expire, SLOT_SECONDS)
+    return spark.read.schema(stream.schema).parquet(run_to_folder(own, stream, "ordered"))
+
+
+@query("stream_ordered_sets")
+def stream_ordered_sets(spark: SparkSession, base: str) -> DataFrame:
+    """Set segmentation from messages out of order (J7, T2): the reorder buffer makes it equal ``set_segments``."""
+    return run_ordered(spark, base).where("kind = 'frame'").select(
+        "session_id", "seq", "attempt", "epoch", "series_number", "frame", "down", "reps", "done", "form_ok", "exercise", "goal"
+    )
+
+
+@query("stream_message_ledger")
+def stream_message_ledger(spark: SparkSession, base: str) -> DataFrame:
+    """What became of every message that arrived (T6): applied, or the reason why not."""
+    rows = run_ordered(spark, base).where("kind in ('message', 'reject')")
+    return rows.select("session_id", "seq", F.when(F.col("kind") == "message", "applied").otherwise(F.col("note")).alias("outcome"))
+
+
+@query("stream_idle_history")
+def stream_idle_history(spark: SparkSession, base: str) -> DataFrame:
+    """The history line of every completed set and the idle moment at which it is sent (T5)."""
+    return run_ordered(spark, base).where("kind = 'history'").select(
+        "session_id", "series_number", F.col("note").alias("line"), F.col("ts_us").alias("sent_at_us")
+    )

@@ -265,8 +265,10 @@ def session_messages(spark: SparkSession, base: str) -> DataFrame:
     """One row per control message or frame: session_id, seq, chunk, type, value, angle, form.
 
     signup with k % 4 = 0: ``start`` at seq, then ``workout``=push-ups at seq + 1;
-    signup with k % 4 = 1: ``workout``=squats; purchase: ``reps`` = k % 3;
+    signup with k % 4 = 1: ``workout``=squats; with k % 4 = 2: ``strictness``=strict;
+    any other signup: ``strictness``=moderate; purchase: ``reps`` = k % 3;
     view, click, error: a frame with angle k*180/99 and form = not error.
+    So every event gives a message (the first kind of signup two).
     """
     ev = session_events(spark, base)
     seq = F.col("n") * 10
@@ -280,6 +282,12 @@ def session_messages(spark: SparkSession, base: str) -> DataFrame:
     ).when(
         (et == "signup") & (k % 4 == 1),
         F.array(F.struct(seq.alias("seq"), F.lit("workout").alias("type"), F.lit("squats").alias("value"))),
+    ).when(
+        (et == "signup") & (k % 4 == 2),
+        F.array(F.struct(seq.alias("seq"), F.lit("strictness").alias("type"), F.lit("strict").alias("value"))),
+    ).when(
+        et == "signup",
+        F.array(F.struct(seq.alias("seq"), F.lit("strictness").alias("type"), F.lit("moderate").alias("value"))),
     ).when(
         et == "purchase",
         F.array(F.struct(seq.alias("seq"), F.lit("reps").alias("type"), (k % 3).cast("string").alias("value"))),

@@ -171,12 +171,11 @@ def frame_state_stream(signal: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run ``stream`` to completion (``availableNow``) into a parquet table in the
-    shared checkpoint folder, and return that table as a batch DataFrame.
+def run_to_folder(spark: SparkSession, stream: DataFrame, name: str) -> str:
+    """Run ``stream`` to completion (``availableNow``) into parquet files in the shared checkpoint folder.
 
     The file sink with its checkpoint gives exactly-once output if an executor
-    or the driver is lost and the query restarted.
+    or the driver is lost and the query restarted.  Returns the files' folder.
     """
     from ..session import ensure_checkpoint_dir
 
@@ -193,4 +192,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(f"{run}/data")
+    return f"{run}/data"
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """``run_to_folder``, read back as a batch DataFrame."""
+    return spark.read.schema(stream.schema).parquet(run_to_folder(spark, stream, name))
