@@ -30,9 +30,9 @@ from ..sources.landmarks import pose_is_complete
 from . import exercises as X
 from .scan import Scan, checkpoint, hysteresis_latch, number_frames, prefix_scan
 from .sessions import ORDER, active_frames, close_sets, settings_asof
+from .store import number_rows
 
 NEW, LEFT, RIGHT = 0, 1, 2
-SESSION_KEY_SCALE = 1_000_000  # workout id = session_id * scale + series_number
 MAX_BROADCAST_ATTEMPTS = 2_000_000  # rows of (session, attempt, side): ~24 bytes each
 
 
@@ -179,22 +179,26 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
     ).drop("iu", "idn", "fu", "fd", "pfu", "pfd", "left_first")
 
 
-def set_tables(segments: DataFrame, frames: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def set_tables(
+    segments: DataFrame, frames: DataFrame | None = None, after: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The three stored tables from ``pose_segments`` (+ native frames for landmarks).
 
-    Only completed sets are stored.  ``workout_id = session_id * 1e6 + series``;
-    ``timestamp_start`` is the time of the session's first message (carried by
+    Only completed sets are stored, numbered ``after + 1 ..`` without gaps in
+    the order of (session_id, series_number) (S7); ``after`` is the greatest
+    number stored before.  ``timestamp_start`` is the time of the session's first message (carried by
     the settings scan): the session object's creation time in the analysed
     loop, so a set's duration includes earlier sets.
     """
-    wid = (F.col("session_id") * SESSION_KEY_SCALE + F.col("series_number")).cast("bigint")
+    key = ["session_id", "series_number"]
     stored = segments.groupBy("session_id", "series_number").agg(F.max(F.col("done").cast("int")).alias("stored"))
-    stored = stored.where("stored = 1").select("session_id", "series_number")
-    posed = segments.where("has_pose").join(stored, ["session_id", "series_number"], "left_semi")
+    stored = number_rows(stored.where("stored = 1").select(key), key, "workout_id", after)
+    posed = segments.where("has_pose").join(stored, key)
+    wid = F.col("workout_id")
     start_col = "session_start" if "session_start" in segments.columns else "ts"
     session_start = segments.groupBy("session_id").agg(F.min(start_col).alias("timestamp_start"))
     first = F.min_by(F.struct("exercise", "goal", "strictness", "left_side"), F.col("seq"))
-    w = posed.groupBy("session_id", "series_number").agg(first.alias("s")).join(session_start, "session_id")
+    w = posed.groupBy(*key, "workout_id").agg(first.alias("s")).join(session_start, "session_id")
     s = F.col("s")
     workout = w.select(
         wid.alias("id"), s["exercise"].alias("workout_name"), "timestamp_start",

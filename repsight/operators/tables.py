@@ -4,18 +4,19 @@
 ``workout_analysis``  one row a frame, nested ``angles_data``
 ``raw_landmarks``     one row a frame, 66 coordinate columns
 
-Writers append by column name; a set's three tables come from one persisted
-parent (see ``save_sets``).
+Writers append by column name; a set's three tables are saved as one (see
+``save_sets`` and ``operators.store``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..schemas import RAW_LANDMARKS, WORKOUT, WORKOUT_ANALYSIS
 from . import exercises as X
+from .store import SetStore
 
 
 def analysis_rows(state: DataFrame, ts_col: str = "ts") -> DataFrame:
@@ -112,17 +113,28 @@ def append_table(df: DataFrame, path: str, schema=None, range_keys: tuple[str, .
     out.write.mode("append").parquet(path)
 
 
-def save_sets(workout: DataFrame, analysis: DataFrame, raw: DataFrame, base_path: str) -> None:
-    """Store the three tables of completed sets (metadata first, as the reference)."""
-    append_table(workout, f"{base_path}/workout", WORKOUT, ("id",))
-    append_table(analysis, f"{base_path}/workout_analysis", WORKOUT_ANALYSIS, ("workout_id", "frame"))
-    append_table(raw, f"{base_path}/raw_landmarks", RAW_LANDMARKS, ("workout_id", "frame"))
+SET_TABLES = {
+    "workout": (WORKOUT, ("id",)),
+    "workout_analysis": (WORKOUT_ANALYSIS, ("workout_id", "frame")),
+    "raw_landmarks": (RAW_LANDMARKS, ("workout_id", "frame")),
+}
 
 
-def read_sets(spark, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_store(spark: SparkSession, base_path: str) -> SetStore:
+    return SetStore(spark, base_path, SET_TABLES)
+
+
+def save_sets(workout: DataFrame, analysis: DataFrame, raw: DataFrame, base_path: str, batch: str = "0") -> bool:
+    """Store the three tables of completed sets as one: in all of them or in none.
+
+    ``batch`` names the save; saving it again changes nothing and gives False.
+    """
+    last = workout.agg(F.max("id")).first()[0]
+    tables = {"workout": workout, "workout_analysis": analysis, "raw_landmarks": raw}
+    return set_store(workout.sparkSession, base_path).save(batch, tables, last)
+
+
+def read_sets(spark: SparkSession, base_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Open stored tables (S11): ``workout``, ``workout_analysis``, ``raw_landmarks``."""
-    return (
-        spark.read.schema(WORKOUT).parquet(f"{base_path}/workout"),
-        spark.read.schema(WORKOUT_ANALYSIS).parquet(f"{base_path}/workout_analysis"),
-        spark.read.schema(RAW_LANDMARKS).parquet(f"{base_path}/raw_landmarks"),
-    )
+    store = set_store(spark, base_path)
+    return store.read("workout"), store.read("workout_analysis"), store.read("raw_landmarks")

@@ -34,6 +34,16 @@ def pose_session_frames(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query("set_ids")
+def set_ids(spark: SparkSession, base: str) -> DataFrame:
+    """The number of every completed set, 1 to n without gaps."""
+    from ..operators.store import number_rows
+
+    seg, _ = native_segments(spark, base)
+    key = ["session_id", "series_number"]
+    return number_rows(seg.groupBy(key).agg(F.max("done").alias("done")).where("done").select(key), key).select(*key, "id")
+
+
 @query("pose_session_sets")
 def pose_session_sets(spark: SparkSession, base: str) -> DataFrame:
     """The ``workout`` table of completed sets of pose sessions."""

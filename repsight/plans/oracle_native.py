@@ -123,15 +123,17 @@ def _interest_text() -> str:
 
 
 SETS = f"""
-, done_sets AS (SELECT session_id, series_number FROM seg GROUP BY session_id, series_number HAVING bool_or(done)),
+, done_sets AS (
+  SELECT session_id, series_number, CAST(row_number() OVER (ORDER BY session_id, series_number) AS BIGINT) AS set_id
+  FROM seg GROUP BY session_id, series_number HAVING bool_or(done)),
 first_rows AS (
-  SELECT s.* FROM seg s JOIN done_sets d USING (session_id, series_number)
+  SELECT s.*, d.set_id FROM seg s JOIN done_sets d USING (session_id, series_number)
   QUALIFY row_number() OVER (PARTITION BY s.session_id, s.series_number ORDER BY s.seq) = 1),
 starts AS (SELECT session_id, min(ts) AS timestamp_start FROM msgs GROUP BY session_id)
 """
 
 sql("pose_session_sets", NATIVE + SETS + f"""
-SELECT CAST(s.session_id * 1000000 + s.series_number AS BIGINT) AS id, s.exercise AS workout_name,
+SELECT s.set_id AS id, s.exercise AS workout_name,
        epoch_us(st.timestamp_start) AS timestamp_start_us, CAST(s.goal AS BIGINT) AS rep_goal,
        CAST(s.series_number AS BIGINT) AS series_number, s.strictness AS strictness_crit,
        CAST(CASE s.strictness {" ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items())} END AS DOUBLE)
@@ -142,11 +144,11 @@ FROM first_rows s JOIN starts st USING (session_id)
 
 sql("pose_session_summary", NATIVE + SETS + f"""
 , wa AS (
-  SELECT CAST(s.session_id * 1000000 + s.series_number AS BIGINT) AS workout_id, s.frame, s.ts AS timestamp,
+  SELECT d.set_id AS workout_id, s.frame, s.ts AS timestamp,
          s.reps AS rep_count, s.form_issues, s.goal
   FROM seg s JOIN done_sets d USING (session_id, series_number)),
 wk AS (
-  SELECT CAST(s.session_id * 1000000 + s.series_number AS BIGINT) AS id, s.goal AS rep_goal, st.timestamp_start
+  SELECT s.set_id AS id, s.goal AS rep_goal, st.timestamp_start
   FROM first_rows s JOIN starts st USING (session_id)),
 sf AS (
   SELECT workout_id, CAST(min(frame) - {K.SETUP_BACKTRACK_FRAMES} AS BIGINT) AS frame_start
@@ -220,3 +222,17 @@ FROM seg
 """)
 
 sql("stream_pose_sessions", ORACLE["pose_session_frames"])
+
+
+sql("set_ids", NATIVE + SETS + "SELECT session_id, series_number, set_id AS id FROM done_sets")
+
+sql("stream_saved_sets", NATIVE + SETS + f"""
+SELECT series_number, workout_name, strictness_crit, left_side, rep_goal, timestamp_start_us, n_frames,
+       n_frames AS n_landmarks, reps
+FROM (
+  SELECT session_id, series_number, first(exercise ORDER BY seq) AS workout_name, first(strictness ORDER BY seq) AS strictness_crit,
+         first(left_side ORDER BY seq) AS left_side, CAST(first(goal ORDER BY seq) AS BIGINT) AS rep_goal,
+         count(*) AS n_frames, CAST(max(reps) AS BIGINT) AS reps
+  FROM seg JOIN done_sets USING (session_id, series_number) GROUP BY session_id, series_number)
+JOIN (SELECT session_id, epoch_us(timestamp_start) AS timestamp_start_us FROM starts) USING (session_id)
+""")

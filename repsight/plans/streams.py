@@ -143,6 +143,33 @@ def stream_pose_sessions(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query("stream_saved_sets")
+def stream_saved_sets(spark: SparkSession, base: str) -> DataFrame:
+    """Sets of a pose-session stream saved into all three tables at once and read back (S8, T3): each set's metadata
+    with its rows in the other two tables."""
+    from ..operators.tables import read_sets
+    from ..streaming.pose_sessions import pose_session_stream
+    from ..streaming.sink import new_store, save_sets_stream
+    from .sets import micros
+
+    files = 4
+    path = stage_native(spark, base, files=files)
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    store = new_store(spark, "pose-sets")
+    save_sets_stream(spark, pose_session_stream(source), path, store)
+    workout, analysis, raw = read_sets(spark, f"{store}/sets")
+    keys = analysis.groupBy(F.col("workout_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_frames"), F.max("rep_count").cast("bigint").alias("reps")
+    )
+    shown = raw.groupBy(F.col("workout_id").alias("id")).agg(F.count(F.lit(1)).alias("n_landmarks"))
+    return workout.join(keys, "id").join(shown, "id").select(
+        F.col("series_number").cast("bigint").alias("series_number"), "workout_name", "strictness_crit", "left_side",
+        F.col("rep_goal").cast("bigint").alias("rep_goal"), micros("timestamp_start").alias("timestamp_start_us"),
+        "n_frames", "n_landmarks", "reps",
+    )
+
+
 DISORDER_STEPS = 4
 IDLE_SECONDS = 86_400
 SLOT_SECONDS = 7 * 86_400  # sessions of the events table have a message every few hours

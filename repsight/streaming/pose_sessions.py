@@ -49,7 +49,7 @@ STATE_SCHEMA = T.StructType(
         ("latch_attempt", T.LongType()), ("latch_epoch", T.LongType()),
         ("down", T.BooleanType()), ("pfu", T.BooleanType()), ("pfd", T.BooleanType()),
         ("reps", T.LongType()), ("attempt_done", T.BooleanType()), ("side", T.StringType()),
-        ("set_no", T.LongType()), ("set_frames", T.LongType()),
+        ("set_no", T.LongType()), ("set_frames", T.LongType()), ("session_start", T.TimestampNTZType()),
     ]]
 )
 
@@ -58,12 +58,13 @@ OUTPUT_SCHEMA = T.StructType(
         ("session_id", T.LongType()), ("seq", T.LongType()), ("series_number", T.LongType()), ("frame", T.LongType()),
         ("left_side", T.BooleanType()), ("down", T.BooleanType()), ("reps", T.LongType()), ("done", T.BooleanType()),
         ("form_ok", T.BooleanType()), ("bits", T.IntegerType()), ("exercise", T.StringType()),
-        ("rep", T.DoubleType()), ("aux", T.DoubleType()), ("has_pose", T.BooleanType()),
+        ("rep", T.DoubleType()), ("aux", T.DoubleType()), ("has_pose", T.BooleanType()), ("goal", T.LongType()),
+        ("strictness", T.StringType()), ("ts", T.TimestampNTZType()), ("session_start", T.TimestampNTZType()),
     ]]
 )
 
 INITIAL = (0, 0, K.INITIAL_EXERCISE, K.INITIAL_GOAL, K.INITIAL_STRICTNESS, K.INITIAL_STRICTNESS,
-           -1, -1, False, False, False, 0, False, None, 0, 0)
+           -1, -1, False, False, False, 0, False, None, 0, 0, None)
 
 
 def _pick(fr: pd.DataFrame, name: str, tag: pd.Series, level: pd.Series, side: str, dtype, tags: dict[str, str]) -> np.ndarray:
@@ -80,9 +81,10 @@ def _pick(fr: pd.DataFrame, name: str, tag: pd.Series, level: pd.Series, side: s
 
 
 def advance_pose_session(pdf: pd.DataFrame, st: tuple, tags: dict[str, str]) -> tuple[pd.DataFrame, tuple]:
-    (att0, ep0, ex0, goal0, str0, rule0, latt0, lep0, down0, pfu0, pfd0, reps0, adone0, side0, set0, sfr0) = st
+    (att0, ep0, ex0, goal0, str0, rule0, latt0, lep0, down0, pfu0, pfd0, reps0, adone0, side0, set0, sfr0, start0) = st
     pdf = pdf.sort_values("seq", kind="mergesort").reset_index(drop=True)
     typ, val = pdf["type"], pdf["value"]
+    start0 = pdf["ts"].iloc[0] if start0 is None else start0
     pdf["attempt"] = att0 + (typ == "start").cumsum()
     pdf["epoch"] = ep0 + (typ == "workout").cumsum()
     pdf["exercise"] = _ffill(val.fillna(K.CONTROL_DEFAULTS["workout"]).where(typ == "workout"), ex0)
@@ -148,6 +150,10 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple, tags: dict[str, str]) ->
             "rep": angle[k],
             "aux": fa[f"aux_{s}"].to_numpy(dtype=float)[k],
             "has_pose": hp[k],
+            "goal": goal[k].astype("int64"),
+            "strictness": fa["strictness"].to_numpy()[k].astype(str),
+            "ts": fa["ts"].to_numpy()[k],
+            "session_start": start0,
         })
         outs.append(out)
         set_frames = int(set_frames + hp[k].sum())
@@ -159,7 +165,8 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple, tags: dict[str, str]) ->
     la, le = state["att"], state["ep"]
     d_, u_, f_ = latch.get((la, le), (False, False, False))
     new = (state["att"], state["ep"], state["ex"], state["goal"], state["st"], state["rule"], la, le, d_, u_, f_,
-           int(reps_by_att.get(la, 0)), bool(done_by_att.get(la, False)), side, int(set_no), int(set_frames))
+           int(reps_by_att.get(la, 0)), bool(done_by_att.get(la, False)), side, int(set_no), int(set_frames),
+           None if pd.isna(start0) else pd.Timestamp(start0).to_pydatetime())
     result = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame({f.name: [] for f in OUTPUT_SCHEMA.fields})
     return result, new
 
@@ -177,8 +184,9 @@ def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState, tags: dict[str, st
 
 
 def pose_session_stream(messages: DataFrame) -> DataFrame:
-    """Streaming pose sessions from ``session_id, seq, type, value, landmarks`` messages."""
-    feats = feature_columns(messages.select("session_id", "seq", "type", "value", "landmarks"))
+    """Streaming pose sessions from ``session_id, seq, type, value, landmarks`` messages, with ``ts`` where they have one."""
+    ts = (F.col("ts") if "ts" in messages.columns else F.lit(None)).cast("timestamp_ntz").alias("ts")
+    feats = feature_columns(messages.select("session_id", "seq", ts, "type", "value", "landmarks"))
     tags = dict(X.TAGS)  # as registered where the query is made, also for the workers
 
     def fn(key, pdfs, state):
