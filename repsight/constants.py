@@ -146,6 +146,7 @@ SKELETON_EDGES = [
 LETTERBOX_TARGET = 256
 
 # Disclaimer closing a feedback block; {} is the generation time.
+FEEDBACK_ERROR = "Error getting feedback. Please try again later."
 FEEDBACK_DISCLAIMER = (
     "Disclaimer: Analysis generated on {}. This analysis was generated using "
     "artificial intelligence and can contain errors."

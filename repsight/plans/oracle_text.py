@@ -130,11 +130,11 @@ FROM pp
 """)
 
 _d0, _d1 = K.FEEDBACK_DISCLAIMER.split("{}")
-sql("feedback_text", SEG + RESP + f"""
-SELECT session_id, series_number,
-       '<div class="feedback-details">' || '<p>💪 ' || encouragement || '</p>' || '<p>🔥 ' || positive_point || '</p>'
+FEEDBACK_HTML = f"""'<div class="feedback-details">' || '<p>💪 ' || encouragement || '</p>' || '<p>🔥 ' || positive_point || '</p>'
        || '<p>🏋️ ' || summary || ' </p>' || '<p>🔎 ' || main_feedback || ' ' || secondary_feedback || '</p>'
-       || '<small> ' || '{_d0}' || '2024-02-01 00:00:00' || '{_d1}' || '</small></div><hr>' AS feedback_html
+       || '<small> ' || '{_d0}' || '2024-02-01 00:00:00' || '{_d1}' || '</small></div><hr>'"""
+sql("feedback_text", SEG + RESP + f"""
+SELECT session_id, series_number, {FEEDBACK_HTML} AS feedback_html
 FROM pp WHERE status = 'parsed'
 """)
 

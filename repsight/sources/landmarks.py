@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import LANDMARK_DIMENSION, N_LANDMARKS
 from ..schemas import LANDMARK_DIM, POSE
@@ -29,6 +30,17 @@ def read_landmark_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_damaged_landmark_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """``read_landmark_csv`` with every line kept: a line that is none of the dimension comes out as its text in
+    ``damaged_line``, with nulls for what cannot be read (an index that is no number, missing or surplus values)."""
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in LANDMARK_DIM.fields], T.StructField("damaged_line", T.StringType())])
+    return (
+        spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "damaged_line")
+        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True)
+        .schema(schema).csv(path)
+    )
+
+
 def valid_landmark(lm: Column) -> Column:
     """A landmark is valid when x and y are present numbers."""
     return lm.isNotNull() & lm["x"].isNotNull() & lm["y"].isNotNull() & ~F.isnan(lm["x"]) & ~F.isnan(lm["y"])
