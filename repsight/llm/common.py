@@ -68,6 +68,24 @@ def bucket_of(key: Column, points: list[str]) -> Column:
     return at(key)
 
 
+FOLD_BLOCK = 256
+
+
+def fold_sql(items: str, kind: str, state: str, emit: str, start: str) -> str:
+    """SQL of a fold along an array that emits values on the way; its work grows with the length to the power 1.5.
+
+    ``items`` gives the array, ``start`` the first state, ``state`` the next one and ``emit`` an array of type
+    ``kind`` of what an item ``x`` adds, both from ``acc.st`` and ``x``.  Appending to one list in a fold copies it at
+    every item; here a list is only as long as a block, and the blocks' lists are joined at the end.
+    """
+    inner = f"""aggregate(slice(it, b * {FOLD_BLOCK} + 1, {FOLD_BLOCK}), named_struct('st', o.st, 'part', cast(array() AS {kind})),
+      (acc, x) -> named_struct('st', {state}, 'part', concat(acc.part, {emit})))"""
+    return f"""transform(array({items}), it -> aggregate(sequence(0, (size(it) - 1) div {FOLD_BLOCK}),
+  named_struct('st', {start}, 'out', cast(array() AS array<{kind}>)),
+  (o, b) -> transform(array({inner}), i -> named_struct('st', i.st, 'out', concat(o.out, array(i.part))))[0],
+  o -> flatten(o.out)))[0]"""
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows of an Arrow stream, one batch in memory at a time."""
     for batch in batches:

@@ -24,6 +24,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repsight.llm.common import fold_sql
+
 # Phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -205,36 +207,35 @@ def _literal(values: list[tuple[int, str, int, str, str, float]]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r))) for r in values))
 
 
+_DETECTION = "array<struct<start:int,end:int,priority:int,rule:int,label:string,score:double>>"
+_NONE = f"cast(array() AS {_DETECTION})"
+
+
+def _words(part: str) -> str:
+    return f"length({part}) - length(replace({part}, ' ', ''))"
+
+
 # Places of one rule in ``norm``: the words between and in its matches are counted up along the text.
-_PLACES = """
-aggregate(
-  arrays_zip(split(norm, r.regex, -1), regexp_extract_all(norm, r.regex, 0)),
-  named_struct('at', 0, 'found', cast(array() AS array<struct<start:int,end:int,priority:int,rule:int,label:string,score:double>>)),
-  (acc, x) -> CASE WHEN x['1'] IS NULL THEN acc ELSE named_struct(
-    'at', acc.at + length(x['0']) - length(replace(x['0'], ' ', '')) + length(x['1']) - length(replace(x['1'], ' ', '')),
-    'found', concat(acc.found, array(named_struct(
-      'start', acc.at + length(x['0']) - length(replace(x['0'], ' ', '')) - 1,
-      'end', acc.at + length(x['0']) - length(replace(x['0'], ' ', '')) + length(x['1']) - length(replace(x['1'], ' ', '')),
-      'priority', r.priority, 'rule', r.rule, 'label', r.label, 'score', r.score)))) END,
-  acc -> acc.found)
-"""
+_PLACES = fold_sql(
+    "arrays_zip(split(norm, r.regex, -1), regexp_extract_all(norm, r.regex, 0))", _DETECTION,
+    f"named_struct('at', acc.st.at + {_words("x['0']")} + coalesce({_words("x['1']")}, 0))",
+    f"""CASE WHEN x['1'] IS NULL THEN {_NONE} ELSE array(named_struct(
+      'start', acc.st.at + {_words("x['0']")} - 1, 'end', acc.st.at + {_words("x['0']")} + {_words("x['1']")},
+      'priority', r.priority, 'rule', r.rule, 'label', r.label, 'score', r.score)) END""",
+    "named_struct('at', 0)",
+)
 
 # Along the detections by start, longest first, then priority and rule: every one that could hold another comes before it.
-_KEPT = """
-aggregate(
-  array_sort(detections, (a, b) -> CASE
+_KEPT = fold_sql(
+    """array_sort(detections, (a, b) -> CASE
     WHEN a.start != b.start THEN a.start - b.start WHEN a.end != b.end THEN b.end - a.end
-    WHEN a.priority != b.priority THEN a.priority - b.priority ELSE a.rule - b.rule END),
-  named_struct('e0', -1, 'e1', -1, 'e2', -1,
-    'kept', cast(array() AS array<struct<start:int,end:int,priority:int,rule:int,label:string,score:double>>)),
-  (acc, d) -> named_struct(
-    'e0', CASE WHEN d.priority = 0 THEN greatest(acc.e0, d.end) ELSE acc.e0 END,
-    'e1', CASE WHEN d.priority <= 1 THEN greatest(acc.e1, d.end) ELSE acc.e1 END,
-    'e2', greatest(acc.e2, d.end),
-    'kept', CASE WHEN d.end <= CASE d.priority WHEN 0 THEN acc.e0 WHEN 1 THEN acc.e1 ELSE acc.e2 END
-            THEN acc.kept ELSE concat(acc.kept, array(d)) END),
-  acc -> acc.kept)
-"""
+    WHEN a.priority != b.priority THEN a.priority - b.priority ELSE a.rule - b.rule END)""",
+    _DETECTION,
+    """named_struct('e0', CASE WHEN x.priority = 0 THEN greatest(acc.st.e0, x.end) ELSE acc.st.e0 END,
+    'e1', CASE WHEN x.priority <= 1 THEN greatest(acc.st.e1, x.end) ELSE acc.st.e1 END, 'e2', greatest(acc.st.e2, x.end))""",
+    f"CASE WHEN x.end <= CASE x.priority WHEN 0 THEN acc.st.e0 WHEN 1 THEN acc.st.e1 ELSE acc.st.e2 END THEN {_NONE} ELSE array(x) END",
+    "named_struct('e0', -1, 'e1', -1, 'e2', -1)",
+)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -244,9 +245,9 @@ def scan(docs: DataFrame) -> DataFrame:
     and detections: the detections that stay, as (start, end, priority, rule,
     label, score) in words from 0, end exclusive.  A null text counts as
     empty; a text without a match has empty labels, score 0 and null places.
-    Repeated rows come back repeated.  The plan is one projection over the
-    input, without exchange; a text's work is linear in its length and in the
-    number of its detections, but for copies of their list.
+    Repeated rows come back repeated, an empty table gives no row.  The plan is
+    one projection over the input, without exchange; a text's work is linear in
+    its length and grows with the number n of its detections as n^1.5.
     """
     norm = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text").cast("string")).alias("norm"))
     blank = F.col("norm") == "  "

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repsight.llm.common import FOLD_BLOCK, fold_sql
+
 # The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -33,22 +35,22 @@ _BARE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39
 _IDENTIFIER = r"""(?i:\b(user_?name|user|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,64})"""
 _ENDPOINT = r"""()([A-Za-z][A-Za-z0-9+]{1,11}://[A-Za-z0-9][^\s"'<>]{3,})"""
 
+SPANS = "secret_spans"  # the column that findings adds
 _PART = "array<struct<start:int,end:int,kind:int,role:string>>"
 
 
 def _found(regex: str, kind: int, role: str, keep: str, group: int) -> Column:
     """Parts of one kind: leftmost matches that do not overlap, of which those stay that pass ``keep`` (on m: what is before the match, the match, its group)."""
     quoted = "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr(f"""
-aggregate(
-  arrays_zip(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), regexp_extract_all(text, {quoted}, {group})),
-  named_struct('at', 0, 'found', cast(array() AS {_PART})),
-  (acc, m) -> CASE WHEN m['1'] IS NULL THEN acc ELSE named_struct(
-    'at', acc.at + length(m['0']) + length(m['1']),
-    'found', CASE WHEN {keep} THEN concat(acc.found, array(named_struct(
-      'start', acc.at + length(m['0']), 'end', acc.at + length(m['0']) + length(m['1']), 'kind', {kind}, 'role', '{role}')))
-      ELSE acc.found END) END,
-  acc -> acc.found)""")
+    items = f"arrays_zip(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), regexp_extract_all(text, {quoted}, {group}))"
+    start = "acc.st.at + length(x['0'])"
+    end = f"{start} + length(x['1'])"
+    part = f"named_struct('start', {start}, 'end', {end}, 'kind', {kind}, 'role', '{role}')"
+    kept = keep.replace("m[", "x[")
+    return F.expr(fold_sql(
+        items, _PART, f"named_struct('at', coalesce({end}, acc.st.at))",
+        f"CASE WHEN x['1'] IS NOT NULL AND {kept} THEN array({part}) ELSE cast(array() AS {_PART}) END", "named_struct('at', 0)",
+    ))
 
 
 def _none() -> Column:
@@ -62,19 +64,17 @@ def _near(parts: str, forth: bool) -> str:
     """The parts with the nearest end of every role before them (``forth``), or the nearest start behind them."""
     edge, far, best = ("end", -1000000000, "greatest") if forth else ("start", 1000000000, "least")
     side = "b" if forth else "f"
-    fields = "'start', p.start, 'end', p.end, 'kind', p.kind, 'role', p.role"
-    kept = "" if forth else ", 'bi', p.bi, 'bs', p.bs, 'be', p.be"
+    fields = "'start', x.start, 'end', x.end, 'kind', x.kind, 'role', x.role"
+    kept = "" if forth else ", 'bi', x.bi, 'bs', x.bs, 'be', x.be"
     kind = "start:int,end:int,kind:int,role:string" + ("" if forth else ",bi:int,bs:int,be:int")
     kind += f",{side}i:int,{side}s:int,{side}e:int"
-    return f"""
-aggregate({parts},
-  named_struct('i', {far}, 's', {far}, 'e', {far}, 'out', cast(array() AS array<struct<{kind}>>)),
-  (acc, p) -> named_struct(
-    'i', CASE WHEN p.role = 'identifier' THEN {best}(acc.i, p.{edge}) ELSE acc.i END,
-    's', CASE WHEN p.role = 'secret' THEN {best}(acc.s, p.{edge}) ELSE acc.s END,
-    'e', CASE WHEN p.role = 'endpoint' THEN {best}(acc.e, p.{edge}) ELSE acc.e END,
-    'out', concat(acc.out, array(named_struct({fields}{kept}, '{side}i', acc.i, '{side}s', acc.s, '{side}e', acc.e)))),
-  acc -> acc.out)"""
+    reach = lambda name, role: f"'{name}', CASE WHEN x.role = '{role}' THEN {best}(acc.st.{name}, x.{edge}) ELSE acc.st.{name} END"
+    return fold_sql(
+        parts, f"array<struct<{kind}>>",
+        f"named_struct({reach('i', 'identifier')}, {reach('s', 'secret')}, {reach('e', 'endpoint')})",
+        f"array(named_struct({fields}{kept}, '{side}i', acc.st.i, '{side}s', acc.st.s, '{side}e', acc.st.e))",
+        f"named_struct('i', {far}, 's', {far}, 'e', {far})",
+    )
 
 
 def findings(docs: DataFrame, scope: int = 200) -> DataFrame:
@@ -82,8 +82,11 @@ def findings(docs: DataFrame, scope: int = 200) -> DataFrame:
 
     Spans are in code points, end exclusive, in order of start and kind; their
     kind is a number in ``KINDS``.  ``docs`` needs text; a null text counts as
-    empty.  The plan is one projection, without exchange.
+    empty, repeated rows come back repeated, an empty table gives no row.  A
+    column of ``docs`` named secret_spans is replaced; all others are kept,
+    whatever their names.  The plan is one projection, without exchange.
     """
+    docs = docs.drop(SPANS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = docs.select(F.struct("*").alias("row"), text.alias("text"))
     named = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
@@ -120,11 +123,17 @@ def findings(docs: DataFrame, scope: int = 200) -> DataFrame:
     linked = F.expr(f"""
 filter(both, p -> p.kind >= 3 AND CASE p.role
   WHEN 'identifier' THEN {has('s')} WHEN 'secret' THEN {has('i')} OR {has('e')} ELSE {has('i')} AND {has('s')} END)""")
-    span = "s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)"
     parts = parts.withColumn("linked", F.coalesce(F.transform(linked, lambda p: F.struct(
         p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["role"].alias("role"))), _none()))
-    spans = F.expr(f"transform(array_distinct(array_sort(concat(base, linked), {_ORDER})), {span})")
-    return parts.select("row.*", spans.alias("secret_spans"))
+    # in order, each span once: equal ones are neighbours
+    span = "named_struct('start', x.start, 'end', x.end, 'kind', x.kind)"
+    kind = "array<struct<start:int,end:int,kind:int>>"
+    again = "acc.st.start = x.start AND acc.st.end = x.end AND acc.st.kind = x.kind"
+    spans = F.expr(fold_sql(
+        f"array_sort(concat(base, linked), {_ORDER})", kind, span,
+        f"CASE WHEN {again} THEN cast(array() AS {kind}) ELSE array({span}) END", "named_struct('start', -1, 'end', -1, 'kind', -1)",
+    ))
+    return parts.select("row.*", spans.alias(SPANS))
 
 
 def digest(spans: Column) -> Column:
@@ -138,20 +147,25 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), and n_chars counted anew.
 
-    Texts without a finding, null ones included, stay as they are, as does their n_chars.
+    Texts without a finding, null ones included, stay as they are, as does their n_chars; repeated rows and all other
+    columns are kept, whatever their names, and an empty table stays empty.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = findings(docs, scope)
-    written = F.expr(f"""
-aggregate(secret_spans, named_struct('at', 0, 'out', ''),
-  (acc, s) -> CASE
-    WHEN s.end <= acc.at THEN acc
-    WHEN s.start < acc.at THEN named_struct('at', s.end, 'out', acc.out)
-    ELSE named_struct('at', s.end, 'out', concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '{mark}')) END,
-  acc -> concat(acc.out, substring(text, acc.at + 1)))""")
-    text = F.when(F.size("secret_spans") > 0, written).otherwise(F.col("text"))
-    out = found.withColumn("clean", text)
-    columns = {c: F.col(c) for c in rest} | {"text": F.col("clean")}
+    given = docs.select(F.struct("*").alias("row"), F.col("text"))
+    found = findings(given, scope)
+    # block by block of spans: the text from the block before up to this one's end, and its pieces between the spans
+    pieces = f"""
+aggregate(sequence(0, (size({SPANS}) - 1) div {FOLD_BLOCK}), named_struct('at', 0, 'out', cast(array() AS array<array<string>>)),
+  (o, b) -> transform(array(slice({SPANS}, b * {FOLD_BLOCK} + 1, {FOLD_BLOCK})), blk -> transform(
+    array(substring(text, o.at + 1, array_max(transform(blk, s -> s.end)) - o.at)), seg -> transform(
+      array(aggregate(blk, named_struct('at', o.at, 'part', cast(array() AS array<string>)), (acc, s) -> CASE
+        WHEN s.end <= acc.at THEN acc
+        WHEN s.start < acc.at THEN named_struct('at', s.end, 'part', acc.part)
+        ELSE named_struct('at', s.end, 'part', concat(acc.part, array(substring(seg, acc.at - o.at + 1, s.start - acc.at), '{mark}'))) END)),
+      i -> named_struct('at', i.at, 'out', concat(o.out, array(i.part))))[0])[0])[0],
+  o -> concat(array_join(flatten(o.out), ''), substring(text, o.at + 1)))"""
+    some = F.size(SPANS) > 0
+    out = found.select("row", some.alias("some"), F.when(some, F.expr(pieces)).otherwise(F.col("text")).alias("clean"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("secret_spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.col("some"), F.length("clean").cast("long")).otherwise(F.col("row")["n_chars"])
     return out.select(*(columns[c].alias(c) for c in docs.columns))
