@@ -18,6 +18,7 @@ beside the rules and are never suppressed.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -33,10 +34,19 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 NAMES = [
     ("agpl-3", "affero", r"(gnu )?affero general public license( gpl| agpl)?( v| version)? ?3( 0)?"),
     ("agpl-3", "agpl", r"agpl( v| version)? ?3( 0)?"),
+    ("agpl-1", "affero", r"(gnu )?affero general public license( gpl| agpl)?( v| version)? ?1( 0)?"),
+    ("agpl-1", "agpl", r"agpl( v| version)? ?1( 0)?"),
+    ("agpl", "affero", r"(gnu )?affero general public license( gpl| agpl)?( v| version)? ?2( 0)?"),
     ("agpl", "affero", r"(gnu )?affero (general public )?license"),
     ("lgpl-3", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?3( 0)?"),
     ("lgpl-2.1", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?2 1"),
+    ("lgpl-2", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?2( 0)?"),
+    ("lgpl", "lesser", r"(gnu )?lesser general public license( lgpl)?( v| version)? ?1( 0)?"),
+    ("lgpl-3", "library general", r"(gnu )?library general public license( lgpl)?( v| version)? ?3( 0)?"),
+    ("lgpl-2.1", "library general", r"(gnu )?library general public license( lgpl)?( v| version)? ?2 1"),
     ("lgpl-2", "library general", r"(gnu )?library general public license( lgpl)?( v| version)? ?2( 0)?"),
+    ("lgpl", "library general", r"(gnu )?library general public license( lgpl)?( v| version)? ?1( 0)?"),
+    ("lgpl", "library general", r"(gnu )?library general public license"),
     ("lgpl", "lesser", r"(gnu )?lesser general public license"),
     ("gpl-3", "general public", r"(gnu )?general public license( gpl)?( v| version)? ?3( 0)?"),
     ("gpl-2", "general public", r"(gnu )?general public license( gpl)?( v| version)? ?2( 0)?"),
@@ -46,6 +56,7 @@ NAMES = [
     ("gpl-2", "gpl", r"(gnu )?gpl ?v?2( 0)?"),
     ("lgpl-3", "lgpl", r"(gnu )?lgpl ?v?3( 0)?"),
     ("lgpl-2.1", "lgpl", r"(gnu )?lgpl ?v?2 1"),
+    ("lgpl-2", "lgpl", r"(gnu )?lgpl ?v?2( 0)?"),
     ("agpl-3", "agpl", r"(gnu )?agpl ?v?3( 0)?"),
     ("gfdl", "free documentation", r"(gnu )?free documentation license( gfdl)?( (v|version) ?1 [123])?"),
     ("apache-2", "apache", r"apache (software )?license( v| version)? ?2( 0)?"),
@@ -66,29 +77,44 @@ NAMES = [
     ("mpl", "mozilla", r"mozilla public license"),
     ("epl-2", "eclipse", r"eclipse public license( epl)?( v| version)? ?2( 0)?"),
     ("epl-1", "eclipse", r"eclipse public license( epl)?( v| version)? ?1( 0)?"),
-    ("cddl-1", "common development", r"common development and distribution license( cddl)?( (v|version) ?1( [01])?)?"),
-    ("eupl-1.2", "european union", r"european union public licen[cs]e( eupl)?( (v|version) ?1 2)?"),
+    ("epl", "eclipse", r"eclipse public license"),
+    ("cddl-1", "common development", r"common development and distribution license( cddl)?( v| version)? ?1( [01])?"),
+    ("cddl", "common development", r"common development and distribution license"),
+    ("eupl-1.2", "european union", r"european union public licen[cs]e( eupl)?( v| version)? ?1 2"),
+    ("eupl-1.1", "european union", r"european union public licen[cs]e( eupl)?( v| version)? ?1 1"),
+    ("eupl-1", "european union", r"european union public licen[cs]e( eupl)?( v| version)? ?1( 0)?"),
+    ("eupl", "european union", r"european union public licen[cs]e"),
     ("artistic-2", "artistic", r"artistic license( v| version)? ?2( 0)?"),
     ("artistic", "artistic", r"artistic license"),
     ("zlib", "zlib", r"zlib( libpng)? license"),
-    ("boost-1", "boost", r"boost software license( (v|version) ?1( 0)?)?"),
+    ("boost-1", "boost", r"boost software license( v| version)? ?1( 0)?"),
+    ("boost", "boost", r"boost software license"),
     ("unlicense", "unlicense", r"(the )?unlicense( license)?"),
     ("wtfpl", "wtfpl", r"wtfpl( (v|version) ?2)?"),
     ("wtfpl", "do what the", r"do what the fuck you want to public license"),
     ("postgresql", "postgresql", r"postgresql license"),
-    ("python-2", "python", r"python software foundation license( (v|version) ?2)?"),
+    ("python-2", "python", r"python software foundation license( v| version)? ?2( 0)?"),
+    ("python", "python", r"python software foundation license"),
     ("python-2", "psf", r"psf license"),
-    ("ofl-1.1", "open font", r"(sil )?open font license( ofl)?( (v|version) ?1 1)?"),
+    ("ofl-1.1", "open font", r"(sil )?open font license( ofl)?( v| version)? ?1 1"),
+    ("ofl-1", "open font", r"(sil )?open font license( ofl)?( v| version)? ?1( 0)?"),
+    ("ofl", "open font", r"(sil )?open font license"),
     ("odbl-1", "database license", r"open (data commons )?(open )?database license( odbl)?( v?1( 0)?)?"),
-    ("odc-by-1", "data commons", r"open data commons attribution license( v?1( 0)?)?"),
+    ("odc-by-1", "data commons", r"open data commons attribution license( v| version)? ?1( 0)?"),
+    ("odc-by", "data commons", r"open data commons attribution license"),
     ("ms-pl", "microsoft", r"microsoft public license( ms pl)?"),
     ("ms-rl", "microsoft", r"microsoft reciprocal license( ms rl)?"),
-    ("afl-3", "academic free", r"academic free license( (v|version) ?3( 0)?)?"),
-    ("osl-3", "open software", r"open software license( (v|version) ?3( 0)?)?"),
-    ("ecl-2", "educational community", r"educational community license( (v|version) ?2( 0)?)?"),
+    ("afl-3", "academic free", r"academic free license( v| version)? ?3( 0)?"),
+    ("afl", "academic free", r"academic free license"),
+    ("osl-3", "open software", r"open software license( v| version)? ?3( 0)?"),
+    ("osl", "open software", r"open software license"),
+    ("ecl-2", "educational community", r"educational community license( v| version)? ?2( 0)?"),
+    ("ecl", "educational community", r"educational community license"),
     ("ncsa", "ncsa", r"(university of illinois )?ncsa open source license"),
-    ("bsl-1.1", "business source", r"business source license( (v|version) ?1 1)?"),
-    ("sspl-1", "server side", r"server side public license( (v|version) ?1)?"),
+    ("bsl-1.1", "business source", r"business source license( v| version)? ?1 1"),
+    ("bsl", "business source", r"business source license"),
+    ("sspl-1", "server side", r"server side public license( v| version)? ?1( 0)?"),
+    ("sspl", "server side", r"server side public license"),
     ("openrail", "openrail", r"(creativeml |bigscience |bigcode )?openrail( m| s)?( license)?"),
     ("llama", "llama", r"llama [234]?( [123])? ?community license( agreement)?"),
     ("cc0-1", "cc0", r"cc0( 1 0)?( universal)?"),
@@ -110,7 +136,7 @@ NAMES = [
 
 # (identifier as it stands after normalising, label)
 IDENTIFIERS = [
-    ("mit", "mit"), ("mit 0", "mit-0"), ("apache 2 0", "apache-2"), ("apache 1 1", "apache-1.1"),
+    ("mit", "mit"), ("mit 0", "mit-0"), ("agpl 1 0( only| or later)?", "agpl-1"), ("eupl 1 1", "eupl-1.1"), ("apache 2 0", "apache-2"), ("apache 1 1", "apache-1.1"),
     ("bsd 2 clause", "bsd-2"), ("bsd 3 clause", "bsd-3"), ("bsd 4 clause", "bsd-4"), ("0bsd", "0bsd"), ("isc", "isc"),
     ("gpl 1 0( only| or later)?", "gpl-1"), ("gpl 2 0( only| or later)?", "gpl-2"), ("gpl 3 0( only| or later)?", "gpl-3"),
     ("lgpl 2 0( only| or later)?", "lgpl-2"), ("lgpl 2 1( only| or later)?", "lgpl-2.1"),
@@ -170,6 +196,21 @@ STEMS = (
 )
 
 
+def _spelled(regex: str) -> list[str]:
+    """The identifiers that a regex of ``IDENTIFIERS`` stands for."""
+    out = [""]
+    for token in re.findall(r"\[(\d+)\]|\(([^)]*)\)\?|([^[(]+)", regex):
+        choices = list(token[0]) or (["", *token[1].split("|")] if token[1] else token[2].split("|"))
+        out = [a + b for a in out for b in choices]
+    return out
+
+
+#: What stands before the operator of an expression; each alternative has a fixed length, as lookbehinds need.
+_AFTER = "|".join(
+    f"(?<= {x} )" for x in [*(x for r, _ in IDENTIFIERS for x in _spelled(r)), "exception", "exception 2 0", "exception 3 1"]
+)
+
+
 def rules() -> list[tuple[int, str, int, str, str, float]]:
     """(number, label, priority, keyword, regex, score) in order of the rules."""
     found = []
@@ -179,6 +220,8 @@ def rules() -> list[tuple[int, str, int, str, str, float]]:
 
     for regex, label in IDENTIFIERS:
         add(label, 0, "spdx license identifier", f"spdx license identifier (?:{regex})", 1.0)
+    for regex, label in IDENTIFIERS:  # the further ones of an expression, each behind another identifier or an exception
+        add(label, 0, "spdx license identifier", f"(?=(?:or|and) )(?:{_AFTER})(?:or|and) (?:{regex})", 1.0)
     for label, keyword, name in NAMES:
         add(label, 0, keyword, f"{_GRANT}(?:{name})", 0.95)
     for label, keyword, sentence in SENTENCES:

@@ -149,3 +149,28 @@ def test_prefilters_change_no_result(spark):
         assert got[i].labels, text
     for i in range(len(some) - 7, len(some)):
         assert some[i][1] in got[i].labels.split(",")
+
+
+def test_labels_of_versions_and_expressions(spark):
+    """Labels set by hand."""
+    want = {
+        "GNU Lesser General Public License version 2": "lgpl-2", "GNU Lesser General Public License v2 or later": "lgpl-2",
+        "GNU Lesser General Public License, version 2.0": "lgpl-2", "GNU Lesser General Public License, version 2.1": "lgpl-2.1",
+        "GNU Lesser General Public License, version 3": "lgpl-3", "the GNU Lesser General Public License": "lgpl",
+        "GNU Library General Public License version 2.1": "lgpl-2.1", "GNU Library General Public License, version 2": "lgpl-2",
+        "GNU Affero General Public License version 1": "agpl-1", "GNU Affero General Public License v3.0": "agpl-3",
+        "GNU Affero General Public License": "agpl", "LGPL v2": "lgpl-2", "GNU LGPLv2.1": "lgpl-2.1",
+        "GNU General Public License, version 2": "gpl-2", "GNU General Public License v3": "gpl-3",
+        "European Union Public License 1.1": "eupl-1.1", "European Union Public Licence v1.2": "eupl-1.2",
+        "European Union Public Licence": "eupl", "Common Development and Distribution License": "cddl",
+        "Common Development and Distribution License 1.1": "cddl-1", "Boost Software License": "boost",
+        "Boost Software License 1.0": "boost-1", "SIL Open Font License": "ofl", "SIL Open Font License, Version 1.1": "ofl-1.1",
+        "Server Side Public License v1": "sspl-1", "Business Source License": "bsl", "Eclipse Public License": "epl",
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2,mit",
+        "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR (MIT AND BSD-3-Clause)": "bsd-3,gpl-2,mit",
+        "SPDX-License-Identifier: LGPL-2.1-only OR MPL-2.0 OR ISC": "isc,lgpl-2.1,mpl-2",
+        "SPDX-License-Identifier: MIT\nthis and isc or that": "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want

@@ -82,7 +82,9 @@ def test_links(spark):
 
 
 def test_odd_rows(odd_docs, no_docs):
-    clash = odd_docs.withColumn("row", F.lit("x")).withColumn("weak", F.lit(1)).withColumn("base", F.lit(None))
+    clash = odd_docs.withColumn("secret_spans", F.lit("x")).withColumn("some", F.lit(2))
+    assert Counter(r.some for r in secrets.redact(clash).collect()) == {2: odd_docs.count()}
+    clash = clash.withColumn("row", F.lit("x")).withColumn("weak", F.lit(1)).withColumn("base", F.lit(None))
     got = Counter((r.doc_id, r.text, tuple(tuple(s) for s in r.secret_spans)) for r in secrets.findings(clash).collect())
     assert got == Counter((r.doc_id, r.text, tuple(plain(r.text))) for r in odd_docs.collect())
     assert secrets.findings(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
@@ -109,3 +111,20 @@ def test_redact(spark, odd_docs):
 def test_plan_is_native(spark):
     plan = QUERIES["op10_secret_scan"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_many_findings_in_one_text(spark):
+    """Beyond the blocks that the folds work in, with overlaps across their edges."""
+    text = "".join(f"é password=abcdefghijkl{i} user=joe{i} token=secret=abcdefghij{i} {KEY}{i}\n" for i in range(300))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    spans = plain(text)
+    assert len(spans) > 1000
+    assert [(s.start, s.end, s.kind) for s in secrets.findings(df).first().secret_spans] == spans
+    want, at = "", 0
+    for s, e, _ in spans:
+        if e > at:
+            want += (text[at:s] + "[SECRET]") if s >= at else ""
+            at = e
+    want += text[at:]
+    row = secrets.redact(df).first()
+    assert (row.text, row.n_chars) == (want, len(want))
