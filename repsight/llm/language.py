@@ -7,9 +7,12 @@ to the next shorter one, and at last to equal chances.  A text's exact code
 length under each tree is the sum over all its bytes, and the shortest one
 names the language.
 
-The trees of all languages are resolved into one table: (context, byte) to
-the code length under every language.  Contexts of order 3 enter by frequency
-until ``table_bytes`` are used; the rest fall back to order 2.
+A byte that a language has seen in a context has its own probability there; any
+other costs the context's escape and what it costs in the next shorter one.  So
+a tree is stored as the code lengths of its seen bytes and one escape length a
+context, whatever the number of languages.  The contexts met most often are
+also resolved into a table of all bytes, which only saves time: the lengths are
+the same with and without it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,40 @@ PAD = b"\n\n\n"  # what is taken to stand before a text
 class Model:
     languages: list[str]
     symbols: np.ndarray  # byte -> symbol; all bytes that no tree has seen share the last symbol
-    state: np.ndarray  # symbols of the last three bytes -> row of ``bits``
-    bits: np.ndarray  # (row, symbol, language) -> code length
+    state: np.ndarray  # symbols of the last three bytes -> row of the longest context that any tree knows
+    parent: np.ndarray  # row -> row of the next shorter context; -1 for the empty one
+    escape: np.ndarray  # (row, language) -> code length of an escape, 0 where the tree lacks the context
+    codes: list[np.ndarray]  # per language, row * symbols + symbol of its seen bytes, in order
+    lengths: list[np.ndarray]  # their code lengths
+    place: np.ndarray  # row -> place in ``table``, -1 if it is not there
+    table: np.ndarray  # (place, symbol, language) -> code length
+
+    def resolve(self, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """(byte, language): code length of each symbol behind the context of its row, by escapes down to equal chances."""
+        size = int(self.symbols.max()) + 1
+        out = np.zeros((len(rows), len(self.languages)), dtype=np.float64)
+        for k, (codes, lengths) in enumerate(zip(self.codes, self.lengths)):
+            at, row, sym = np.arange(len(rows)), rows.astype(np.int64), symbols.astype(np.int64)
+            while len(at):
+                code = row * size + sym
+                pos = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[pos] == code
+                out[at[hit], k] += lengths[pos[hit]]
+                at, row, sym = at[~hit], row[~hit], sym[~hit]
+                out[at, k] += self.escape[row, k]
+                row = self.parent[row]
+                out[at[row < 0], k] += 8  # equal chances
+                at, sym, row = at[row >= 0], sym[row >= 0], row[row >= 0]
+        return out
+
+    def found(self, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """``resolve``, from the table where it has the context."""
+        place = self.place[rows]
+        out = self.table[place, symbols]
+        rest = np.flatnonzero(place < 0)
+        if len(rest):
+            out[rest] = self.resolve(rows[rest], symbols[rest])
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """(text, language): bits of every whole text."""
@@ -48,10 +84,10 @@ class Model:
             lengths = np.array([len(t) for t in texts[at:end]])
             firsts = np.cumsum(lengths + len(PAD)) - lengths
             s = self.symbols[joined]
-            wide = s.astype(np.int32)
-            row = self.state[(wide[:-3] * size + wide[1:-2]) * size + wide[2:-1]]
-            for a in range(0, len(row), 1 << 18):
-                found = self.bits[row[a : a + (1 << 18)], s[3 + a : 3 + a + (1 << 18)]]
+            for a in range(0, len(s) - 3, 1 << 18):
+                wide = s[a : a + (1 << 18) + 3].astype(np.int32)
+                row = self.state[(wide[:-3] * size + wide[1:-2]) * size + wide[2:-1]]
+                found = self.found(row, wide[3:])
                 total_to = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found, axis=0, dtype=np.float64)])
                 # positions of this part that belong to each text
                 lo = np.clip(firsts - 3 - a, 0, len(found))
@@ -61,107 +97,113 @@ class Model:
         return out
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order 0 to 3: the (context and byte) codes and their counts."""
+def _tree(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each order 0 to 3: (codes of context and byte, their code lengths, contexts, their escape lengths, counts)."""
     out = []
+    codes_low, p_low = None, None
     for order in range(4):
-        code = grams & ((1 << (8 * (order + 1))) - 1)
-        u, inv = np.unique(code, return_inverse=True)
-        out.append((u, np.bincount(inv, weights=counts, minlength=len(u))))
+        codes, inv = np.unique(grams & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        c = np.bincount(inv, weights=counts, minlength=len(codes))
+        contexts, own = np.unique(codes >> 8, return_inverse=True)
+        n, d = np.bincount(own, weights=c), np.bincount(own).astype(float)
+        p = c / (n + d)[own]
+        # a byte seen here has been seen in the shorter context as well
+        low = p_low[np.searchsorted(codes_low, codes & ((1 << (8 * order)) - 1))] if order else np.full(len(codes), 1 / 256)
+        left = np.maximum(1 - np.bincount(own, weights=low), 1e-12)
+        out.append((codes, -np.log2(p), contexts, -np.log2(d / (n + d) / left), n))
+        codes_low, p_low = codes, p
     return out
 
 
 def build(rows: list[tuple[str, int, int]], table_bytes: int = 64_000_000) -> Model | None:
-    """Model from (language, four bytes as a number, count); None without rows."""
-    if not rows:
+    """Model from (language, four bytes as a number, count); None without rows.  ``table_bytes`` changes no result."""
+    names = sorted({r[0] for r in rows})
+    number = {name: i for i, name in enumerate(names)}
+    return build_arrays(
+        names, np.array([number[r[0]] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64),
+        np.array([r[2] for r in rows], dtype=np.int64), table_bytes,
+    )
+
+
+def build_arrays(
+    languages: list[str], language: np.ndarray, grams: np.ndarray, counts: np.ndarray, table_bytes: int = 64_000_000
+) -> Model | None:
+    """``build`` from columns; ``language`` holds places in ``languages``."""
+    if not languages:
         return None
-    languages = sorted({r[0] for r in rows})
-    levels, all_grams = [], np.unique(np.array([r[1] for r in rows], dtype=np.int64))
-    for language in languages:
-        own = [(r[1], r[2]) for r in rows if r[0] == language]
-        levels.append(_levels(np.array([g for g, _ in own], dtype=np.int64), np.array([c for _, c in own], dtype=float)))
-    seen = np.unique(np.concatenate([(all_grams >> s) & 255 for s in (0, 8, 16, 24)]))
+    trees = [_tree(grams[language == k], counts[language == k].astype(float)) for k in range(len(languages))]
+    seen = np.unique(np.concatenate([np.unique((grams >> s) & 255) for s in (0, 8, 16, 24)]))
     size = len(seen) + 1
     symbols = np.full(256, len(seen), dtype=np.uint16)
     symbols[seen] = np.arange(len(seen))
-    n_lang = len(languages)
-
-    def resolve(contexts: np.ndarray, order: int, lower: np.ndarray) -> np.ndarray:
-        """(context, symbol, language) probabilities, given those of each context's suffix."""
-        out = lower.copy()
-        for k in range(n_lang):
-            codes, counts = levels[k][order]
-            c = np.zeros((len(contexts), size))
-            ctx, sym = codes >> 8, symbols[codes & 255]
-            pos = np.searchsorted(contexts, ctx)
-            ok = pos < len(contexts)
-            ok[ok] = contexts[pos[ok]] == ctx[ok]
-            c[pos[ok], sym[ok]] = counts[ok]
-            n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            low = lower[:, :, k]
-            left = 1 - np.where(c > 0, low, 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.where(c > 0, c / (n + d), d / (n + d) * low / np.maximum(left, 1e-12))
-            out[:, :, k] = np.where(n > 0, own, low)
-        return out
+    sym = symbols.astype(np.int64)
+
+    # rows of all contexts that any tree knows: the empty one, then those of order 1, 2 and 3
+    known = [np.unique(np.concatenate([t[order][2] for t in trees])) for order in range(4)]
+    first = np.concatenate([[0], np.cumsum([len(c) for c in known])])
+    row_of = lambda order, contexts: first[order] + np.searchsorted(known[order], contexts)
+    parent, often = np.full(first[-1], -1, dtype=np.int64), np.zeros(first[-1])
+    escape = np.zeros((first[-1], len(languages)), dtype=np.float32)
+    for order in range(1, 4):
+        parent[first[order] : first[order + 1]] = row_of(order - 1, known[order] & ((1 << (8 * (order - 1))) - 1))
+    codes, lengths = [], []
+    for k, tree in enumerate(trees):
+        own, bits = [], []
+        for order, (code, length, contexts, esc, n) in enumerate(tree):
+            own.append(row_of(order, code >> 8) * size + sym[code & 255])
+            bits.append(length)
+            rows = row_of(order, contexts)
+            escape[rows, k] = esc
+            often[rows] += n
+        own, bits = np.concatenate(own), np.concatenate(bits)
+        order_ = np.argsort(own)
+        codes.append(own[order_])
+        lengths.append(bits[order_].astype(np.float32))
 
-    flat = np.full((1, size, n_lang), 1 / 256)
-    p0 = resolve(np.array([0]), 0, flat)
-    context = {}
-    tables, parent = [], p0
-    for order in (1, 2):
-        contexts = np.unique(np.concatenate([lv[order][0] >> 8 for lv in levels]))
-        lower = p0[np.zeros(len(contexts), dtype=int)] if order == 1 else parent[
-            np.searchsorted(context[1], contexts & 255)
-        ]
-        parent = resolve(contexts, order, lower)
-        context[order] = contexts
-        tables.append(parent)
-    third = np.concatenate([lv[3][0] >> 8 for lv in levels])
-    u, inv = np.unique(third, return_inverse=True)
-    often = np.bincount(inv, weights=np.concatenate([lv[3][1] for lv in levels]), minlength=len(u))
-    room = max(0, table_bytes // (4 * size * n_lang) - len(context[1]) - len(context[2]) - 1)
-    contexts = np.sort(u[np.lexsort((u, -often))[:room]])
-    context[3] = contexts
-    found = [p0, *tables]
-    for a in range(0, len(contexts), 4096):
-        some = contexts[a : a + 4096]
-        found.append(resolve(some, 3, parent[np.searchsorted(context[2], some & 0xFFFF)]).astype(np.float32))
-    bits = np.concatenate([-np.log2(np.maximum(f, 1e-300)).astype(np.float32) for f in found])
-
-    # the row of the longest known context of any three symbols
     state = np.zeros((size, size, size), dtype=np.int32)
-    first = 1
-    sym = symbols.astype(np.int64)
     for order in (1, 2, 3):
-        c = context[order]
-        rows_ = first + np.arange(len(c), dtype=np.int32)
+        c, rows = known[order], np.arange(first[order], first[order + 1], dtype=np.int32)
         a, b, z = sym[(c >> 16) & 255], sym[(c >> 8) & 255], sym[c & 255]
         if order == 1:
-            state[:, :, z] = rows_
+            state[:, :, z] = rows
         elif order == 2:
-            state[:, b, z] = rows_
+            state[:, b, z] = rows
         else:
-            state[a, b, z] = rows_
-        first += len(c)
-    return Model(languages, symbols, state.reshape(-1), bits)
+            state[a, b, z] = rows
+
+    model = Model(
+        languages, symbols, state.reshape(-1), parent, escape, codes, lengths, np.full(first[-1], -1, dtype=np.int64),
+        np.empty((0, size, len(languages)), dtype=np.float32),
+    )
+    room = max(1, table_bytes // (4 * size * len(languages)))
+    chosen = np.sort(np.lexsort((np.arange(first[-1]), -often))[:room])
+    table = np.empty((len(chosen), size, len(languages)), dtype=np.float32)
+    for a in range(0, len(chosen), 4096):
+        some = chosen[a : a + 4096]
+        whole = model.resolve(np.repeat(some, size), np.tile(np.arange(size), len(some)))
+        table[a : a + len(some)] = whole.reshape(len(some), size, -1)
+    model.table = table
+    model.place[chosen] = np.arange(len(chosen))
+    return model
 
 
-def train(docs: DataFrame, per_language: int = 2000, table_bytes: int = 64_000_000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 2000) -> Model | None:
     """Trees of the languages of ``docs`` (doc_id, text, lang).
 
     They are fitted on a bounded sample of the rows with text, lang and a
     doc_id of the training fold: about ``per_language`` rows of each language
     (all, if it has fewer), by the hash of the id; rows repeated under one id
     come or go together.  Contexts are counted where the texts lie; the driver
-    gets the counts of distinct four-byte strings of the sample.
+    gets the counts of the distinct four-byte strings of the sample, so its share
+    grows with the sample, not with the table.  No such row, an empty table
+    included, gives no model.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold()
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
     chosen = hash_below(F.col("doc_id").cast("string"), F.col("n"), per_language)
-    sample = rows.join(F.broadcast(sizes), "lang").where(chosen).select("lang", "text")
+    sample = rows.join(sizes, "lang").where(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,20 +223,24 @@ def train(docs: DataFrame, per_language: int = 2000, table_bytes: int = 64_000_0
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
-    return build(list(zip(*(c.to_pylist() for c in table.columns))), table_bytes)
+    names = sorted(pc.unique(table["lang"]).to_pylist())
+    at = pc.index_in(table["lang"], pa.array(names, table["lang"].type)).to_numpy().astype(np.int64)
+    return build_arrays(names, at, table["gram"].to_numpy(), table["n"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Model | None, append: bool = False) -> DataFrame:
     """lang_pred, score and bits_per_byte of every row of ``docs``.
 
     A row gives doc_id and these, with ``append`` all its own columns and
-    these (it must not have columns of their names then).  ``lang_pred`` is
+    these, which take the place of columns of their names.  Repeated rows come
+    back repeated, an empty table gives no row.  ``lang_pred`` is
     ``und`` and score 0 where the text is null or has no letter, or where
     nothing was learned; otherwise the language of least code length (ties:
     the first by name), and score its probability if all were as likely
     before.  Texts are read whole.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", "bits_per_byte") if append else docs
     given = docs if append else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     at_text, out = given.columns.index("text"), given.columns if append else ["doc_id"]
     kind = given.select(*out).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")

@@ -91,3 +91,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
             assert r.lang_pred in model.languages
     assert language.train(no_docs) is None and language.predict(no_docs, None).count() == 0
     assert {r.lang_pred for r in language.predict(odd_docs, None).collect()} == {"und"}
+
+
+def test_the_table_changes_no_code_length_however_many_languages():
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñç"
+    texts = []
+    for k in range(30):
+        own = rng.sample(letters, 8)
+        texts += [(f"l{k:02}", " ".join("".join(rng.choice(own) for _ in range(rng.randrange(1, 7))) for _ in range(40)))] * 2
+    full, least, some = (language.build(grams(texts), b) for b in (1 << 30, 1, 200_000))
+    assert len(least.table) == 1 < len(some.table) < len(full.table) == len(full.parent)
+    tried = [t.encode() for _, t in texts[::7]] + [b"", "zzz ñandú xyz\x00\x01".encode(), b"abc"]
+    want = full.code_lengths(tried)
+    for model in (least, some):
+        assert np.allclose(model.code_lengths(tried), want, rtol=1e-5, atol=1e-3)
+    for text, bits in zip(tried[-2:], want[-2:]):
+        b = language.PAD + text
+        for k in (0, 11, 29):
+            exact = -sum(np.log2(probability(texts, f"l{k:02}", b[i - 3 : i], b[i])) for i in range(3, len(b)))
+            assert bits[k] == pytest.approx(exact, rel=1e-4, abs=1e-3)
+
+
+def test_appended_columns_take_the_place_of_their_names(odd_docs):
+    clash = odd_docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    got = language.predict(clash, language.train(odd_docs), append=True)
+    assert got.columns == [*odd_docs.columns, "lang_pred", "score", "bits_per_byte"] and got.count() == odd_docs.count()
