@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from repsight.llm.common import hash_below, in_training_fold
 
 PASSAGE = 512
+CLIP = 8.0
+LONG = 1 << 21  # bytes of a text that are encoded at a time; a multiple of PASSAGE
 PAIRS = 128
 
 
@@ -64,10 +66,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     again, words, lines = np.zeros(n), np.zeros(n), np.zeros(n)
     # places whose last 24 bytes stood before in the same text, by a hash of the whole window
     if len(b) >= 24:
-        h = b.astype(np.uint64)
-        for step in (1, 2, 4, 8):
-            h = h[:-step] * np.uint64(pow(1_000_003, step, 1 << 64)) + h[step:]
-        h = h[:-8] * np.uint64(0x9E3779B97F4A7C15) + h[8:]
+        h = _windows(b)
         end = np.arange(len(h)) + 23
         inside = text_of[end] == text_of[: len(h)]
         h, end = h[inside] ^ (text_of[end][inside].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), end[inside]
@@ -82,6 +81,51 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
+def _windows(b: np.ndarray) -> np.ndarray:
+    """A hash of the 24 bytes from each place on."""
+    h = b.astype(np.uint64)
+    for step in (1, 2, 4, 8):
+        h = h[:-step] * np.uint64(pow(1_000_003, step, 1 << 64)) + h[step:]
+    return h[:-8] * np.uint64(0x9E3779B97F4A7C15) + h[8:]
+
+
+def encode_long(text: bytes) -> np.ndarray:
+    """``encode`` of one text, a block of ``LONG`` bytes at a time.
+
+    Repeated windows are found among those of one share of the hashes after
+    another, so no list is as long as the text, but for one hash in ``LONG``
+    bytes' worth of windows on average.
+    """
+    n = len(text)
+    again = np.zeros(-(-n // PASSAGE))
+    shares = -(-n // LONG)
+    for share in range(shares):
+        hashes, ends = [], []
+        for a in range(0, n, LONG):
+            b = np.frombuffer(text[a : a + LONG + 23], dtype=np.uint8)
+            if len(b) >= 24:
+                h = _windows(b)
+                own = np.flatnonzero((h >> np.uint64(40)) % np.uint64(shares) == share)
+                hashes.append(h[own])
+                ends.append(own + a + 23)
+        h, end = np.concatenate(hashes), np.concatenate(ends)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        again += np.bincount(end[order][1:][same] // PASSAGE, minlength=len(again))
+    out = []
+    for a in range(0, n, LONG):
+        x, _ = encode([text[a : a + LONG]])
+        size = min(PASSAGE, n - a)
+        if a:  # the pair across the blocks' edge
+            pair = CLASSES + _PAIR[CLASS[text[a - 1]], CLASS[text[a]]]
+            x[0, pair] = np.sqrt(x[0, pair] ** 2 + 1 / size)
+        out.append(x)
+    x = np.concatenate(out)
+    sizes = np.minimum(PASSAGE, n - np.arange(len(x)) * PASSAGE)
+    x[:, CLASSES + PAIRS], x[:, CLASSES + PAIRS + 3] = again / sizes, np.log1p(n) / 10
+    return x
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -106,11 +150,29 @@ class Model:
         v["y"] = _sigmoid(v["z"] @ p["o"] + p["c"])
         return v
 
+    def gradients(self, v: dict[str, np.ndarray], owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross-entropy of labels ``y`` by the parameters, from the values of ``forward``."""
+        p, start = self.p, np.searchsorted(owner, np.arange(len(y)))
+        dz_out = (v["y"] - y) / len(y)
+        grad = {"o": v["z"].T @ dz_out, "c": dz_out.sum(keepdims=True)}
+        dz = dz_out[:, None] * p["o"]
+        datt = (v["h"] * dz[owner]).sum(axis=1)
+        de = v["att"] * (datt - np.add.reduceat(datt * v["att"], start)[owner])
+        grad["a"] = (v["t"] * v["g"]).T @ de
+        dt = de[:, None] * p["a"] * v["g"] * (1 - v["t"] ** 2)
+        dg = de[:, None] * p["a"] * v["t"] * v["g"] * (1 - v["g"])
+        grad["v"], grad["u"] = v["h"].T @ dt, v["h"].T @ dg
+        dh = (dz[owner] * v["att"][:, None] + dt @ p["v"].T + dg @ p["u"].T) * (v["h"] > 0)
+        grad["w"], grad["b"] = v["x"].T @ dh, dh.sum(axis=0)
+        return grad
+
     def prepare(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) * self.scale).astype(np.float32)
+        """Features in units of their spread over the training passages, at most ``CLIP`` of them: alike in fit and score."""
+        return np.clip((x - self.mean) * self.scale, -CLIP, CLIP).astype(np.float32)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        x, owner = encode(texts)
+        x, owner = encode(texts) if len(texts) > 1 or len(texts[0]) <= LONG else (encode_long(texts[0]), None)
+        owner = np.zeros(len(x), dtype=np.int64) if owner is None else owner
         return self.forward(self.prepare(x), owner, len(texts))["y"]
 
 
@@ -125,7 +187,7 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
         "o": rng.normal(0, 0.3, hidden), "c": np.zeros(1),
     }
     model = Model(mean, np.where(std > 1e-4, 1 / np.maximum(std, 1e-4), 0), {k: v.astype(np.float32) for k, v in p.items()})
-    x, p = np.clip(model.prepare(x), -8, 8), model.p
+    x, p = model.prepare(x), model.p
     m1, m2, step = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}, 0
     bounds = np.searchsorted(owner, np.arange(len(y) + 1))
     for epoch in range(epochs):
@@ -135,18 +197,7 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
             rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
             own = np.repeat(np.arange(len(docs)), bounds[docs + 1] - bounds[docs])
             v = model.forward(x[rows], own, len(docs))
-            dz_out = (v["y"] - y[docs]) / len(docs)
-            grad = {"o": v["z"].T @ dz_out, "c": dz_out.sum(keepdims=True)}
-            dz = dz_out[:, None] * p["o"]
-            datt = (v["h"] * dz[own]).sum(axis=1)
-            start = np.searchsorted(own, np.arange(len(docs)))
-            de = v["att"] * (datt - np.add.reduceat(datt * v["att"], start)[own])
-            grad["a"] = (v["t"] * v["g"]).T @ de
-            dt = de[:, None] * p["a"] * v["g"] * (1 - v["t"] ** 2)
-            dg = de[:, None] * p["a"] * v["t"] * v["g"] * (1 - v["g"])
-            grad["v"], grad["u"] = v["h"].T @ dt, v["h"].T @ dg
-            dh = (dz[own] * v["att"][:, None] + dt @ p["v"].T + dg @ p["u"].T) * (v["h"] > 0)
-            grad["w"], grad["b"] = v["x"].T @ dh, dh.sum(axis=0)
+            grad = model.gradients(v, own, y[docs])
             step += 1
             rate = 0.004 * (1 - epoch / epochs) + 0.0002
             for k in p:
@@ -180,17 +231,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model | Non
     found = sorted(texts.select("doc_id", "y", F.col("text").cast("binary")).toArrow().to_pylist(), key=lambda r: r["doc_id"])
     if not found:
         return None
-    parts = [encode([r["text"] for r in found[a : a + 256]]) for a in range(0, len(found), 256)]
-    owner = np.concatenate([o + 256 * i for i, (_, o) in enumerate(parts)])
-    return fit(np.concatenate([x for x, _ in parts]), owner, np.array([r["y"] for r in found], dtype=np.float32))
+    parts = [encode_long(r["text"]) if len(r["text"]) > LONG else encode([r["text"]])[0] for r in found]
+    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    return fit(np.concatenate(parts), owner, np.array([r["y"] for r in found], dtype=np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, append: bool = False) -> DataFrame:
     """quality_score (0 to 1) of every row of ``docs``, with its doc_id or, with ``append``, all its columns.
 
     Texts are read whole; a null text counts as empty, and an empty text has
-    one empty passage.  Without a model every score is 0.5.
+    one empty passage.  Without a model every score is 0.5.  With ``append`` the
+    score takes the place of a column of its name.  Repeated rows come back
+    repeated, an empty table gives no row.
     """
+    docs = docs.drop("quality_score") if append else docs
     known = docs.sparkSession.sparkContext.broadcast(model)
     given = docs if append else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     at_text, out = given.columns.index("text"), given.columns if append else ["doc_id"]
@@ -203,8 +257,11 @@ def score(docs: DataFrame, model: Model | None, append: bool = False) -> DataFra
             while at < batch.num_rows:
                 end, size, texts = at, 0, []
                 while end < batch.num_rows and size < 1 << 19:
-                    texts.append((column[end].as_py() or "").encode())
-                    size += len(texts[-1])
+                    text = (column[end].as_py() or "").encode()
+                    if texts and len(text) > LONG:
+                        break  # a long text is scored by itself
+                    texts.append(text)
+                    size += len(text)
                     end += 1
                 values = m.scores(texts) if m else np.full(len(texts), 0.5)
                 part = batch.slice(at, end - at)
