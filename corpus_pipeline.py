@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators.
+
+Every stage takes the columns of ``COLUMNS`` and leaves out any others its input
+has, whatever their names; all but the last return the same columns.  Null and
+empty texts have no letter, so language ID drops them; a stage that gets them
+all the same treats null as empty.  Rows without doc_id and repeated rows go
+through every stage like others, but near-dedup keeps one of those equal in
+doc_id and text.  Texts of any length are read whole.  An empty table passes
+every stage as an empty one.
+"""
 
 from __future__ import annotations
 

@@ -188,10 +188,13 @@ def deduplicate(
     """``docs`` with one row of each component: that of the smallest doc_id.
 
     Rows without an id come after all others; rows of equal id are told apart
-    by the md5 of their text, and of rows equal in both one stays.
+    by the md5 of their text, and of rows equal in both one stays.  A null text
+    counts as empty.  All columns are kept, whatever their names; an empty table
+    stays empty.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
     fps = fingerprints(docs.select(key.alias("row"), "text"), shingle).checkpoint(eager=True)
     kept = _representatives(fps, F.col("row"), max_bits, blocks, cell).select(F.col("rep").alias("row")).distinct()
-    rows = docs.withColumn("row", key).alias("d").join(kept.alias("k"), F.col("d.row").eqNullSafe(F.col("k.row")), "left_semi")
-    return rows.dropDuplicates(["row"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("given"), key.alias("row")).alias("d")
+    rows = rows.join(kept.alias("k"), F.col("d.row").eqNullSafe(F.col("k.row")), "left_semi")
+    return rows.dropDuplicates(["row"]).select("given.*")

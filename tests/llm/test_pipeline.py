@@ -81,3 +81,14 @@ def test_empty_table(spark, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0, name
+
+
+def test_stages_leave_out_extra_columns_of_any_name(spark, mixed):
+    some = mixed.limit(30).cache()
+    clash = some
+    for name in ("row", "score", "lang_pred", "quality_score", "secret_spans", "clean", "some", "given", "key", "ids"):
+        clash = clash.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, clash, SMALL), stage(spark, some, SMALL)
+        assert got.columns == corpus_pipeline.COLUMNS and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+        assert stage(spark, some.limit(0), SMALL).count() == 0

@@ -123,3 +123,11 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g h", "x", 7), (2, "a b c d e f g h", "y", 8), (3, "other words stand here in this one", "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, given int")
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
