@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from repsight.llm.common import binary, hash_below, in_training_fold
 
+MOST_BROADCAST = 1 << 23  # characters of language names
 PAD = b"\n\n\n"  # what is taken to stand before a text
 
 
@@ -201,7 +202,9 @@ def train(docs: DataFrame, per_language: int = 2000) -> Model | None:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold()
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row a language
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).checkpoint()  # one row a language
+    held = sizes.agg(F.sum(F.length("lang") + 16)).first()[0] or 0
+    sizes = F.broadcast(sizes) if held <= MOST_BROADCAST else sizes  # else by an exchange, with the same rows
     chosen = hash_below(F.col("doc_id").cast("string"), F.col("n"), per_language)
     sample = rows.join(sizes, "lang").where(chosen).select("lang", "text")
 
