@@ -33,7 +33,6 @@ from .sessions import ORDER, active_frames, close_sets, settings_asof
 from .store import number_rows
 
 NEW, LEFT, RIGHT = 0, 1, 2
-MAX_BROADCAST_ATTEMPTS = 2_000_000  # rows of (session, attempt, side): ~24 bytes each
 
 
 def native_messages(frames: DataFrame, controls: DataFrame, chunk_shift: int = 16) -> DataFrame:
@@ -154,11 +153,10 @@ def pose_segments(messages: DataFrame, chunk: str = "chunk") -> DataFrame:
         {"done_L": (goal > 0) & (F.col("reps_L") >= goal), "done_R": (goal > 0) & (F.col("reps_R") >= goal)}
     )
     starts = s.where((F.col("type") == "start") & (F.col("terminated") == 0)).select("session_id", "attempt")
-    sides = checkpoint(attempt_sides(allf, starts))
-    # one row per attempt: broadcast when its size is checked small, else a plain join
-    n_att = sides.count()
-    side_tab = F.broadcast(sides) if n_att <= MAX_BROADCAST_ATTEMPTS else sides
-    picked = allf.join(side_tab, ["session_id", "attempt"], "left").withColumnRenamed("left", "left_side")
+    # one row per (attempt, chunk), so the frames join on the partitioning they have and a hot attempt stays split
+    att = ["session_id", "attempt"]
+    sides = checkpoint(allf.select(*att, chunk).distinct().join(attempt_sides(allf, starts), att))
+    picked = allf.join(sides, [*att, chunk], "left").withColumnRenamed("left", "left_side")
     lf = F.coalesce(F.col("left_side"), F.lit(False))
     picked = picked.withColumns(
         {

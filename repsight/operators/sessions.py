@@ -158,6 +158,10 @@ def close_sets(frames: DataFrame, chunk: str = "chunk") -> DataFrame:
       number is the kept pose frames of earlier attempts of its set plus its
       running count in the attempt.
 
+    A frame without a pose leaves the latch as it is: its ``down`` is that of
+    the last pose frame since the latch was last set up (same attempt and
+    epoch), false before any (P10).
+
     The per-attempt prefix sums are chunked scans over attempts.
     """
     att = ["session_id", "attempt"]
@@ -166,9 +170,12 @@ def close_sets(frames: DataFrame, chunk: str = "chunk") -> DataFrame:
         [
             Scan("reps", F.col("rep_inc").cast("bigint"), "sum"),
             Scan("pose_count", F.col("has_pose").cast("bigint"), "sum"),
+            Scan("held", F.when(F.col("has_pose"), F.struct("epoch", "down")), "last"),
         ],
         keep_partitioning=True,
     )
+    held = F.coalesce((F.col("held")["epoch"] == F.col("epoch")) & F.col("held")["down"], F.lit(False))
+    f = f.withColumn("down", F.when(F.col("has_pose"), F.col("down")).otherwise(held)).drop("held")
     f = f.withColumn("done", (F.col("goal") > 0) & (F.col("reps") >= F.col("goal")))
     done_seq = F.when(F.col("done"), F.col("seq"))
     per_attempt = f.groupBy(*att).agg(

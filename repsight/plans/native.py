@@ -13,8 +13,8 @@ from .registry import query
 from .sets import map_text, micros
 
 
-def native_segments(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    frames, controls = A.native_sessions(spark, base)
+def native_segments(spark: SparkSession, base: str, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
+    frames, controls = A.native_sessions(spark, base, gaps)
     return PS.pose_segments(PS.native_messages(frames, controls)), frames
 
 
@@ -85,5 +85,37 @@ def frame_messages(spark: SparkSession, base: str) -> DataFrame:
     j = seg.join(frames.select("session_id", "seq", "landmarks"), ["session_id", "seq"], "inner")
     angles = X.angles_data(F.col("exercise"), F.col("rep"), F.col("aux"), F.col("left_side"))
     msg = frame_message(F.col("landmarks"), F.col("reps"), F.col("form_ok"), F.col("form_issues"), angles,
-                        F.col("down"), F.col("has_pose"))
+                        F.col("down"), F.col("has_pose"), coord_decimals=4)
     return j.select("session_id", "seq", msg.alias("message"))
+
+
+MESSAGE = (
+    "landmarks array<struct<x:double,y:double>>, rep_count bigint, form_ok boolean, form_message string,"
+    " display_angles array<struct<name:string,value:double,joint_indices:array<int>>>, is_down_phase boolean"
+)
+
+
+@query("frame_responses")
+def frame_responses(spark: SparkSession, base: str) -> DataFrame:
+    """What a client reads from the JSON response of every processed frame, with
+    and without a pose, coordinates unrounded (S10, P10, P12)."""
+    from ..operators import exercises as X
+    from ..operators.text import frame_message
+
+    seg, frames = native_segments(spark, base, gaps=True)
+    j = seg.join(frames.select("session_id", "seq", "landmarks"), ["session_id", "seq"], "inner")
+    angles = X.angles_data(F.col("exercise"), F.col("rep"), F.col("aux"), F.col("left_side"))
+    msg = frame_message(F.col("landmarks"), F.col("reps"), F.col("form_ok"), F.col("form_issues"), angles,
+                        F.col("down"), F.col("has_pose"))
+    m = F.col("m")
+    read = j.select("session_id", "seq", "series_number", "done", F.from_json(msg, MESSAGE).alias("m"))
+
+    def total(axis: str):
+        return round6(F.aggregate(m["landmarks"], F.lit(0.0), lambda a, p: a + p[axis]))
+
+    return read.select(
+        "session_id", "seq", "series_number", "done", m["rep_count"].alias("rep_count"), m["form_ok"].alias("form_ok"),
+        m["form_message"].alias("form_message"), m["is_down_phase"].alias("is_down_phase"),
+        F.size(m["landmarks"]).cast("bigint").alias("n_landmarks"), total("x").alias("sum_x"), total("y").alias("sum_y"),
+        F.array_join(m["display_angles"]["name"], ",").alias("angle_names"),
+    )

@@ -14,7 +14,9 @@ W_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 W_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 DEV_CASE = "CASE rule_strictness " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.STRICTNESS_DEGREES.items()) + " END"
 
-NATIVE = f"""
+def native_ctes(has_pose: str) -> str:
+    """CTEs up to ``seg``, every kept frame; ``has_pose`` tells which events' frames have a pose."""
+    return f"""
 WITH ev AS (
   SELECT user_id AS session_id, ts, event_type, {K_EXPR} AS k, {K_EXPR} * 180 / 99 AS theta,
          CAST(round(value * 100) AS BIGINT) AS vi, user_id % 2 = 0 AS is_left,
@@ -22,14 +24,14 @@ WITH ev AS (
   FROM events),
 msgs AS (
   SELECT session_id, ts, n * 10 AS seq, 'start' AS type, CAST(NULL AS VARCHAR) AS value,
-         NULL::DOUBLE AS theta, NULL::BIGINT AS vi, NULL::BOOLEAN AS is_left
+         NULL::DOUBLE AS theta, NULL::BIGINT AS vi, NULL::BOOLEAN AS is_left, NULL::BOOLEAN AS has_pose
   FROM ev WHERE event_type = 'signup' AND k % 4 = 0
-  UNION ALL SELECT session_id, ts, n * 10 + 1, 'workout', 'push-ups', NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 0
-  UNION ALL SELECT session_id, ts, n * 10, 'workout', 'squats', NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 1
-  UNION ALL SELECT session_id, ts, n * 10, 'strictness', 'strict', NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 2
-  UNION ALL SELECT session_id, ts, n * 10, 'strictness', 'moderate', NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 3
-  UNION ALL SELECT session_id, ts, n * 10, 'reps', CAST(k % 3 AS VARCHAR), NULL, NULL, NULL FROM ev WHERE event_type = 'purchase'
-  UNION ALL SELECT session_id, ts, n * 10, 'frame', NULL, theta, vi, is_left FROM ev WHERE event_type IN ('view', 'click', 'error')),
+  UNION ALL SELECT session_id, ts, n * 10 + 1, 'workout', 'push-ups', NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 0
+  UNION ALL SELECT session_id, ts, n * 10, 'workout', 'squats', NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 1
+  UNION ALL SELECT session_id, ts, n * 10, 'strictness', 'strict', NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 2
+  UNION ALL SELECT session_id, ts, n * 10, 'strictness', 'moderate', NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'signup' AND k % 4 = 3
+  UNION ALL SELECT session_id, ts, n * 10, 'reps', CAST(k % 3 AS VARCHAR), NULL, NULL, NULL, NULL FROM ev WHERE event_type = 'purchase'
+  UNION ALL SELECT session_id, ts, n * 10, 'frame', NULL, theta, vi, is_left, {has_pose} FROM ev WHERE event_type IN ('view', 'click', 'error')),
 s1 AS (
   SELECT *,
     CAST(sum(CAST(type = 'start' AS INTEGER)) OVER w AS BIGINT) AS attempt,
@@ -79,11 +81,14 @@ ft2 AS (
 ft3 AS (SELECT *, NOT (ub0 OR ub1 OR ub2) AS fu, NOT (db0 OR db1 OR db2) AS fd FROM ft2),
 fr AS (
   SELECT *, coalesce(lag(fu) OVER w, false) AS pfu, coalesce(lag(fd) OVER w, false) AS pfd
-  FROM ft3 WINDOW w AS (PARTITION BY session_id, attempt, epoch ORDER BY seq)),
+  FROM ft3 WHERE has_pose WINDOW w AS (PARTITION BY session_id, attempt, epoch ORDER BY seq)),
 {latch_ctes("fr", "seq", "rep", "pfu", "pfd", "session_id, attempt, epoch", "")},
+al AS (SELECT * FROM lt UNION ALL BY NAME SELECT *, false AS rep_inc FROM ft3 WHERE NOT has_pose),
 rp AS (
-  SELECT *, CAST(sum(CAST(rep_inc AS INTEGER)) OVER (PARTITION BY session_id, attempt ORDER BY seq {W_RUN}) AS BIGINT) AS reps
-  FROM lt),
+  SELECT * REPLACE (coalesce(last_value(down IGNORE NULLS) OVER (PARTITION BY session_id, attempt, epoch ORDER BY seq {W_RUN}),
+                             false) AS down),
+         CAST(sum(CAST(rep_inc AS INTEGER)) OVER (PARTITION BY session_id, attempt ORDER BY seq {W_RUN}) AS BIGINT) AS reps
+  FROM al),
 dn AS (SELECT *, goal > 0 AND reps >= goal AS done FROM rp),
 kb AS (
   SELECT *, coalesce(sum(CAST(done AS INTEGER)) OVER (PARTITION BY session_id, attempt ORDER BY seq {W_BEFORE}), 0) AS done_before
@@ -93,7 +98,7 @@ sn AS (
   FROM kb WHERE done_before = 0),
 seg0 AS (
   SELECT *, set_no + 1 AS series_number,
-         CAST(row_number() OVER (PARTITION BY session_id, set_no ORDER BY seq) - 1 AS BIGINT) AS frame,
+         CAST(sum(CAST(has_pose AS INTEGER)) OVER (PARTITION BY session_id, set_no ORDER BY seq {W_RUN}) - 1 AS BIGINT) AS frame,
          CASE WHEN down THEN fd ELSE fu END AS form_ok,
          CASE WHEN down THEN db0 ELSE ub0 END AS b0,
          CASE WHEN down THEN db1 ELSE ub1 END AS b1,
@@ -104,6 +109,10 @@ seg AS (
   SELECT *, CASE WHEN exercise = 'push-ups' THEN {PUSHUP_MESSAGE} ELSE {SQUAT_MESSAGE} END AS form_issues FROM seg0)
 """
 
+
+NATIVE = native_ctes("true")
+GAPS = native_ctes("event_type <> 'error'")
+
 sql("pose_session_frames", NATIVE + f"""
 SELECT session_id, seq, series_number, frame, left_side, down, reps, done, form_ok, form_issues, exercise,
        {r6('rep')} AS rep_angle, {r6('aux')} AS aux_angle
@@ -177,7 +186,8 @@ def _rnd(x: str, n: int) -> str:
     return f"(sign({x}) * floor(abs({x}) * {s} + 0.5) / {s})"
 
 
-def _landmark_list() -> str:
+def _coordinates() -> list[tuple[str, str]]:
+    """(x, y) of the 33 landmarks."""
     pts = {"elbow": ("ex", "ey"), "wrist": ("wx", "wy"), "shoulder": ("sx", "sy"), "hip": ("hx", "hy"),
            "knee": ("kx", "ky"), "ankle": ("ax", "ay"), "toes": ("tx", "ty")}
     items = []
@@ -193,8 +203,12 @@ def _landmark_list() -> str:
                 ys.append(f"WHEN NOT is_left THEN {ly}")
         cx = f"CASE {' '.join(xs)} ELSE 0.5 END" if xs else "0.5"
         cy = f"CASE {' '.join(ys)} ELSE 0.5 END" if ys else "0.5"
-        items.append(f"struct_pack(x := {_rnd(cx, 4)}, y := {_rnd(cy, 4)})")
-    return "[" + ", ".join(items) + "]"
+        items.append((cx, cy))
+    return items
+
+
+def _landmark_list() -> str:
+    return "[" + ", ".join(f"struct_pack(x := {_rnd(x, 4)}, y := {_rnd(y, 4)})" for x, y in _coordinates()) + "]"
 
 
 def _idx(parts) -> str:
@@ -221,6 +235,16 @@ SELECT session_id, seq, CAST(to_json(struct_pack(
 FROM seg
 """)
 
+_SUM_X, _SUM_Y = (r6(f"CASE WHEN has_pose THEN list_sum([{', '.join(c)}]) ELSE 0.0 END") for c in zip(*_coordinates()))
+
+sql("frame_responses", GAPS + f"""
+SELECT session_id, seq, series_number, done, reps AS rep_count, NOT has_pose OR form_ok AS form_ok,
+       CASE WHEN has_pose THEN form_issues ELSE 'Initializing...' END AS form_message, down AS is_down_phase,
+       CASE WHEN has_pose THEN {K.N_LANDMARKS} ELSE 0 END::BIGINT AS n_landmarks, {_SUM_X} AS sum_x, {_SUM_Y} AS sum_y,
+       CASE WHEN NOT has_pose THEN '' WHEN exercise = 'push-ups' THEN 'elbow,body' ELSE 'knee,hip' END AS angle_names
+FROM seg
+""")
+
 sql("stream_pose_sessions", ORACLE["pose_session_frames"])
 
 

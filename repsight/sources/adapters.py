@@ -309,12 +309,14 @@ def session_messages(spark: SparkSession, base: str) -> DataFrame:
 # Adapter F: native frame and control tables of pose sessions, from events
 # --------------------------------------------------------------------------
 
-def native_sessions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def native_sessions(spark: SparkSession, base: str, gaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """(frames, controls) in the native schemas.
 
     Controls as adapter E, plus ``strictness`` = strict for signup with
     k % 4 = 2 and moderate for k % 4 = 3.  Frames: view, click and error
     events, each with a 33-point push-up pose (facing side by user parity).
+    With ``gaps``, no pose was found in the frames of error events: null
+    landmarks for even k, an empty list for odd k.
     """
     from ..operators.scan import number_frames
 
@@ -350,7 +352,10 @@ def native_sessions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFram
         F.array(F.struct(seq.alias("seq"), F.lit("reps").alias("type"), (k % 3).cast("string").alias("value"))),
     ).otherwise(F.array().cast(ctl_t))
     controls = numbered.select("session_id", "ts", F.inline(msgs))
+    pose = pushup_pose()
+    if gaps:
+        pose = F.when(et != "error", pose).when(k % 2 == 1, F.slice(pose, 1, 0))
     frames = numbered.where(et.isin("view", "click", "error")).select(
-        "session_id", seq.alias("seq"), "ts", pushup_pose().alias("landmarks")
+        "session_id", seq.alias("seq"), "ts", pose.alias("landmarks")
     )
     return frames, controls

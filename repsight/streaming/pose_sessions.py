@@ -121,12 +121,15 @@ def advance_pose_session(pdf: pd.DataFrame, st: tuple, tags: dict[str, str]) ->
         down = np.zeros(len(fa), dtype=bool)
         inc = np.zeros(len(fa), dtype=bool)
         for e in pd.unique(fa["epoch"]):
-            m = (fa["epoch"] == e).to_numpy() & hp
+            here = (fa["epoch"] == e).to_numpy()
+            m = here & hp
+            d0, u0, f0 = latch.get((a, e), (False, False, False))
             if not m.any():
+                down[here] = d0
                 continue
-            d0, u0, f0 = latch.get((a, e), (False, False, False))
             d, rc = advance_latch(angle[m], fu[m], bool(u0), bool(d0), 0, form_down=fd[m], prev_form_down0=bool(f0))
-            down[m] = d
+            # a frame without a pose shows the latch as the pose frame before it left it
+            down[here] = np.concatenate([[d0], d])[np.cumsum(m)[here]]
             inc[m] = np.diff(np.concatenate([[0], rc])) > 0
             latch[(a, e)] = (bool(d[-1]), bool(fu[m][-1]), bool(fd[m][-1]))
         reps = reps_by_att.get(a, 0) + np.cumsum(inc)

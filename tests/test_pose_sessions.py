@@ -2,11 +2,13 @@
 
 Left and right arms carry different elbow angles, and visibility flips
 between frames, so wrong side resolution changes counts and set boundaries.
+Each test runs with a pose in every frame, and with a third of them missing.
 """
 
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from repsight.operators import pose_sessions as PS
@@ -43,18 +45,21 @@ def _model(msgs):
         elif typ == "start":
             active, reps = True, 0
         elif typ == "frame" and active:
-            th_l, th_r, left_vis = payload
-            if frame_count == 0:
-                left = left_vis
-            a = th_l if left else th_r
-            if form:
-                if a <= 90:
-                    down = True
-                elif a >= 150 and down:
-                    down, reps = False, reps + 1
-            form = True  # poses are built with good push-up form
-            out.append(dict(seq=seq, series_number=set_no + 1, frame=frame_count, reps=reps, down=down, left_side=left))
-            frame_count += 1
+            if payload is None:  # no pose: the latch, the count and the frame number stay
+                out.append(dict(seq=seq, series_number=set_no + 1, frame=None, reps=reps, down=down, form_issues=None))
+            else:
+                th_l, th_r, left_vis = payload
+                if frame_count == 0:
+                    left = left_vis
+                a = th_l if left else th_r
+                if form:
+                    if a <= 90:
+                        down = True
+                    elif a >= 150 and down:
+                        down, reps = False, reps + 1
+                form = True  # poses are built with good push-up form
+                out.append(dict(seq=seq, series_number=set_no + 1, frame=frame_count, reps=reps, down=down, left_side=left))
+                frame_count += 1
             if goal > 0 and reps >= goal:
                 out[-1]["done"] = True
                 active, frame_count, set_no = False, 0, set_no + 1
@@ -63,8 +68,8 @@ def _model(msgs):
     return out
 
 
-def _fixture(seed=5):
-    rnd = random.Random(seed)
+def _fixture(gaps, seed=5):
+    rnd, lost = random.Random(seed), random.Random(seed)
     frames, controls, sessions = [], [], {}
     for sid in range(12):
         msgs = []
@@ -79,10 +84,13 @@ def _fixture(seed=5):
                 msgs.append((seq, "reps", str(rnd.randint(1, 3)), None))
             else:
                 payload = (rnd.choice([60.0, 170.0]), rnd.choice([60.0, 170.0]), rnd.random() < 0.5)
-                msgs.append((seq, "frame", None, payload))
+                msgs.append((seq, "frame", None, None if gaps and lost.random() < 0.33 else payload))
         sessions[sid] = msgs
         for seq, typ, value, payload in msgs:
             if typ == "frame":
+                if payload is None:
+                    frames.append((sid, seq, None if seq % 4 else []))
+                    continue
                 th_l, th_r, lv = payload
                 frames.append((sid, seq, _pose(th_l, th_r, 0.9 if lv else 0.1, 0.5)))
             else:
@@ -95,31 +103,33 @@ def _compare(got, sessions):
     for sid, msgs in sessions.items():
         for row in _model(msgs):
             g = got.pop((sid, row["seq"]))
-            for k in ("series_number", "frame", "reps", "down", "done", "left_side"):
+            for k in row:
                 assert g[k] == row[k], (sid, row["seq"], k, g[k], row[k])
             n += 1
     assert not got and n > 100
 
 
-def test_side_resolution_matches_model(spark):
-    frames, controls, sessions = _fixture()
+@pytest.mark.parametrize("gaps", [False, True])
+def test_side_resolution_matches_model(spark, gaps):
+    frames, controls, sessions = _fixture(gaps)
     fdf = spark.createDataFrame(frames, f"session_id long, seq long, landmarks {POSE.simpleString()}").withColumn(
         "ts", F.lit(None).cast("timestamp_ntz"))
     cdf = spark.createDataFrame(controls, "session_id long, seq long, type string, value string")
     seg = PS.pose_segments(PS.native_messages(fdf, cdf, chunk_shift=3))
     got = {(r["session_id"], r["seq"]): r.asDict() for r in seg.select(
-        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side").collect()}
+        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side", "form_issues").collect()}
     _compare(got, sessions)
 
 
-def test_streaming_side_resolution_matches_model(spark, tmp_path):
+@pytest.mark.parametrize("gaps", [False, True])
+def test_streaming_side_resolution_matches_model(spark, tmp_path, gaps):
     """The same fixture through the streaming processor in two micro-batches."""
     import time
 
     from repsight.streaming.frames import run_to_table
     from repsight.streaming.pose_sessions import pose_session_stream
 
-    frames, controls, sessions = _fixture()
+    frames, controls, sessions = _fixture(gaps)
     rows = [(sid, seq, "frame", None, lm) for sid, seq, lm in frames] + [
         (sid, seq, typ, value, None) for sid, seq, typ, value in controls]
     df = spark.createDataFrame(rows, f"session_id long, seq long, type string, value string, landmarks {POSE.simpleString()}")
@@ -128,7 +138,7 @@ def test_streaming_side_resolution_matches_model(spark, tmp_path):
         df.where(cond).repartition(2, "session_id").write.mode("append").parquet(path)
         time.sleep(1.1)
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    out = run_to_table(spark, pose_session_stream(src), "test-pose")
+    out = run_to_table(spark, pose_session_stream(src), f"test-pose-{gaps}")
     got = {(r["session_id"], r["seq"]): r.asDict() for r in out.select(
-        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side").collect()}
+        "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side", "form_issues").collect()}
     _compare(got, sessions)
