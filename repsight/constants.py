@@ -94,6 +94,16 @@ RESPONSE_FIELDS = (
     "Rolling_Summary",
 )
 
+# What each field is asked to hold, in the prompt.
+RESPONSE_NOTES = {
+    "encouragement": "one short sentence that greets the effort made",
+    "positive_point": "one sentence on something that went well",
+    "main_feedback": "the form problem that matters most: what it is, why it matters, how to mend it",
+    "secondary_feedback": "further form problems, or the pace and its evenness",
+    "summary": "a closing line with the one thing to watch next time",
+    "Rolling_Summary": "all sets of the session so far: repetitions, times, form problems and how they change",
+}
+
 # Landmark dimension: index, side (None for the nose), name.
 LANDMARK_DIMENSION = [
     (0, None, "nose"),

@@ -31,34 +31,35 @@ def skeleton_segments(poses: DataFrame, width: float, height: float, keys: tuple
     )
 
 
-def angle_overlay(angles: DataFrame, width: float, height: float, keys: tuple[str, ...]) -> DataFrame:
-    """Arc and label of each displayed angle (``angles_data`` + ``landmarks``).
+def angle_arcs(landmarks: Column, angles: Column, width: float, height: float) -> Column:
+    """Arcs and labels of the displayed angles, as an array that replaces the pose.
 
     Bearings of both limbs from the joint, ``atan2(dy, dx)`` in canvas
     coordinates, and the label ``name: N°`` with ``toFixed(0)`` rounding.
     Angles whose three points are not all present are skipped.
     """
-    a = angles.select(*keys, "landmarks", F.inline("angles_data"))
-    idx = F.col("joint_indices")
-    p1 = F.get(F.col("landmarks"), F.get(idx, 0))
-    p2 = F.get(F.col("landmarks"), F.get(idx, 1))
-    p3 = F.get(F.col("landmarks"), F.get(idx, 2))
-
-    def sx(p: Column) -> Column:
-        return p["x"] * width
-
-    def sy(p: Column) -> Column:
-        return p["y"] * height
-
-    return a.where(p1.isNotNull() & p2.isNotNull() & p3.isNotNull()).select(
-        *keys,
-        "name",
-        sx(p2).alias("cx"),
-        sy(p2).alias("cy"),
-        F.atan2(sy(p1) - sy(p2), sx(p1) - sx(p2)).alias("start_rad"),
-        F.atan2(sy(p3) - sy(p2), sx(p3) - sx(p2)).alias("end_rad"),
-        F.concat(F.col("name"), F.lit(": "), js_to_fixed0(F.col("value")).cast("string"), F.lit("°")).alias("label"),
-    )
+
+    def points(a: Column) -> list[Column]:
+        return [F.get(landmarks, F.get(a["joint_indices"], i)) for i in range(3)]
+
+    def present(a: Column) -> Column:
+        p1, p2, p3 = points(a)
+        return p1.isNotNull() & p2.isNotNull() & p3.isNotNull()
+
+    def arc(a: Column) -> Column:
+        (x1, y1), (x2, y2), (x3, y3) = [(p["x"] * width, p["y"] * height) for p in points(a)]
+        return F.struct(
+            a["name"].alias("name"), x2.alias("cx"), y2.alias("cy"),
+            F.atan2(y1 - y2, x1 - x2).alias("start_rad"), F.atan2(y3 - y2, x3 - x2).alias("end_rad"),
+            F.concat(a["name"], F.lit(": "), js_to_fixed0(a["value"]).cast("string"), F.lit("°")).alias("label"),
+        )
+
+    return F.transform(F.filter(angles, present), arc)
+
+
+def angle_overlay(angles: DataFrame, width: float, height: float, keys: tuple[str, ...]) -> DataFrame:
+    """One row per arc of each frame (``angles_data`` + ``landmarks``), see ``angle_arcs``."""
+    return angles.select(*keys, F.inline(angle_arcs(F.col("landmarks"), F.col("angles_data"), width, height)))
 
 
 def letterbox(df: DataFrame, width: str, height: str, target: int = K.LETTERBOX_TARGET) -> DataFrame:

@@ -73,6 +73,15 @@ for _specs in DISPLAY_ANGLES.values():
         if _n not in ANGLE_NAMES:
             ANGLE_NAMES.append(_n)
 
+TRIMMED = f"""sf AS (
+  SELECT workout_id, CAST(min(frame) - {K.SETUP_BACKTRACK_FRAMES} AS BIGINT) AS frame_start
+  FROM wa WHERE substring(form_issues, 1, 4) = '{K.GOOD_PREFIX}' GROUP BY workout_id),
+tr AS (
+  SELECT wa.*, sf.frame_start, wk.rep_goal
+  FROM wa JOIN sf USING (workout_id) JOIN wk ON wk.id = wa.workout_id
+  WHERE wa.frame >= sf.frame_start)
+"""
+
 SET_CTES = f"""
 WITH sb AS ({SETS_BASE}),
 {pose_state_ctes(pushup_features_sql("SELECT * FROM sb WHERE exercise = 'push-ups'", "p_", "dev"), PUSHUP_MESSAGE, "p_")},
@@ -88,14 +97,7 @@ wa AS (
   SELECT workout_id, frame, ts AS timestamp, rep_count, down, form_issues, exercise, left_side,
          {", ".join(f"{_angle_value_case(n)} AS {n}_value" for n in ANGLE_NAMES)}
   FROM st),
-sf AS (
-  SELECT workout_id, CAST(min(frame) - {K.SETUP_BACKTRACK_FRAMES} AS BIGINT) AS frame_start
-  FROM wa WHERE substring(form_issues, 1, 4) = '{K.GOOD_PREFIX}' GROUP BY workout_id),
-tr AS (
-  SELECT wa.*, sf.frame_start, wk.rep_goal
-  FROM wa JOIN sf USING (workout_id) JOIN wk ON wk.id = wa.workout_id
-  WHERE wa.frame >= sf.frame_start)
-"""
+{TRIMMED}"""
 
 ISSUE = f"NOT (form_issues LIKE '{K.GOOD_LABEL_EXACT}')"
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .. import constants as K
-from ..operators.text import PROMPT_SYSTEM, PROMPT_USER
+from ..operators.text import FORMAT_INSTRUCTIONS, PROMPT_SYSTEM, PROMPT_USER
 from .oracle import ORACLE, r6, sql
+from .oracle_native import NATIVE, SETS
 from .oracle_sessions import COMPLETED, SEG
-from .oracle_sets import ISSUE, REP_SPANS, SET_CTES, _ANGLE_LONG, _stats
+from .oracle_sets import ANGLE_NAMES, DEV_CASE, ISSUE, REP_SPANS, SET_CTES, TRIMMED, _ANGLE_LONG, _angle_value_case, _stats
 
 ISSUE_TXT = f"""
 SELECT workout_id, string_agg(form_issues || ' (' || CAST(count AS VARCHAR) || ' times)', ', '
@@ -89,6 +90,7 @@ _vals = {
     "strictness_crit": "coalesce(strictness_crit, 'N/A')",
     "strictness_definition": "coalesce(printf('%.1f', strictness_definition), 'N/A')",
     "rolling_summary": f"'{K.FIRST_ROLLING_SUMMARY}'",
+    "format_instructions": "'" + FORMAT_INSTRUCTIONS.replace("'", "''") + "'",
     "total_repetitions": "coalesce(CAST(total_repetitions AS VARCHAR), '0')",
     "duration": "coalesce(printf('%.2f', duration), '0')",
     "average_time_repetitions": "coalesce(printf('%.2f', average_time_repetitions), '0')",
@@ -102,8 +104,7 @@ SELECT s.workout_id, {_fill(PROMPT_SYSTEM, _vals)} AS system_prompt, {_fill(PROM
 FROM ({SUMMARY}) s LEFT JOIN ({STATS_TXT}) st ON st.workout_id = s.workout_id
 """)
 
-RESP = f"""
-, cs AS ({COMPLETED}),
+RESP_CTES = f"""
 pr AS (
   SELECT session_id, series_number,
          CASE WHEN reps % 4 = 3 THEN 'rejected' ELSE 'parsed' END AS status,
@@ -120,13 +121,39 @@ pp AS (
   FROM pr)
 """
 
+RESP = f", cs AS ({COMPLETED}), {RESP_CTES}"
+
 sql("parsed_responses", SEG + RESP + "SELECT * FROM pp")
 
-sql("rolling_summary", SEG + RESP + f"""
+ROLLING = f"""
 SELECT session_id, series_number,
        coalesce(last_value(Rolling_Summary IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY series_number
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '{K.FIRST_ROLLING_SUMMARY}') AS previous_rolling_summary
 FROM pp
+"""
+sql("rolling_summary", SEG + RESP + ROLLING)
+
+_rolled = {**_vals, "rolling_summary": "previous_rolling_summary"}
+sql("session_prompts", NATIVE + SETS + f"""
+, own AS (SELECT * FROM seg JOIN done_sets USING (session_id, series_number)),
+wk AS (
+  SELECT s.set_id AS id, s.exercise AS workout_name, st.timestamp_start, s.goal AS rep_goal, s.series_number,
+         s.strictness AS strictness_crit, s.dev_set AS strictness_definition
+  FROM (SELECT *, {DEV_CASE} AS dev_set FROM first_rows) s JOIN starts st USING (session_id)),
+wa AS (
+  SELECT set_id AS workout_id, frame, ts AS timestamp, reps AS rep_count, form_issues, exercise, left_side,
+         {", ".join(f"{_angle_value_case(n)} AS {n}_value" for n in ANGLE_NAMES)}
+  FROM own),
+{TRIMMED},
+cs AS (
+  SELECT session_id, series_number, arg_max(reps, seq) AS reps, arg_max(exercise, seq) AS exercise_at_end,
+         count(*) AS frames, arg_min(goal, seq) AS rep_goal, arg_min(exercise, seq) AS workout_name
+  FROM own GROUP BY session_id, series_number),
+{RESP_CTES}
+SELECT s.workout_id, {_fill(PROMPT_SYSTEM, _rolled)} AS system_prompt, {_fill(PROMPT_USER, _rolled)} AS user_prompt
+FROM ({SUMMARY}) s LEFT JOIN ({STATS_TXT}) st ON st.workout_id = s.workout_id
+JOIN (SELECT set_id, previous_rolling_summary FROM done_sets JOIN ({ROLLING}) USING (session_id, series_number)) r
+  ON r.set_id = s.workout_id
 """)
 
 _d0, _d1 = K.FEEDBACK_DISCLAIMER.split("{}")

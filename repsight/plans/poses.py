@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -28,22 +28,26 @@ JOINT_ANGLE_SPECS = [
 ]
 
 
-def embedding_frames(spark: SparkSession, base: str, keep_pose: bool = True) -> DataFrame:
+def embedding_frames(spark: SparkSession, base: str, *derived: Column) -> DataFrame:
+    """Numbered frames of embedding poses; ``derived`` columns are computed map side and replace the
+    pose before the exchange of the numbering."""
     poses = A.embedding_poses(spark, base)
+    if derived:
+        poses = poses.select("workout_id", "chunk", *A.EMBEDDING_ORDER, *derived)
     return number_frames(poses, ["workout_id"], A.EMBEDDING_ORDER, "chunk")
 
 
 @query("joint_angles")
 def joint_angles(spark: SparkSession, base: str) -> DataFrame:
     """Six joint angles per frame (both sides) from embedding poses."""
-    f = embedding_frames(spark, base)
     pose = F.col("landmarks")
-    cols = []
+    cols = {}
     for side, label in (("L", "left"), ("R", "right")):
         for name, joints in JOINT_ANGLE_SPECS:
             ix = [X.part_index(p, side) for p in joints]
-            cols.append(round6(X.point_angle(pose, *ix)).alias(f"{label}_{name}"))
-    return f.select("workout_id", "frame", *cols)
+            cols[f"{label}_{name}"] = X.point_angle(pose, *ix)
+    f = embedding_frames(spark, base, *[c.alias(n) for n, c in cols.items()])
+    return f.select("workout_id", "frame", *[round6(n).alias(n) for n in cols])
 
 
 @query("side_detection")
@@ -124,7 +128,9 @@ def landmark_dimension(spark: SparkSession, base: str) -> DataFrame:
 
 @query("skeleton_segments")
 def skeleton_segments(spark: SparkSession, base: str) -> DataFrame:
-    f = embedding_frames(spark, base)
+    """Drawable edges per frame (J8).  33 points of x and y cross the exchange: the 35 edges take twice that."""
+    points = F.transform("landmarks", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    f = embedding_frames(spark, base, points.alias("landmarks"))
     s = G.skeleton_segments(f, CANVAS_W, CANVAS_H, ("workout_id", "frame"))
     return s.select(
         "workout_id", "frame", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"),
@@ -134,8 +140,7 @@ def skeleton_segments(spark: SparkSession, base: str) -> DataFrame:
 
 @query("overlay_angles")
 def overlay_angles(spark: SparkSession, base: str) -> DataFrame:
-    """Arc bearings and labels of the push-up display angles on embedding poses."""
-    f = embedding_frames(spark, base)
+    """Arc bearings and labels of the push-up display angles on embedding poses."""
     pose = F.col("landmarks")
     left = X.side_flag(pose)
     feats = {}
@@ -143,9 +148,9 @@ def overlay_angles(spark: SparkSession, base: str) -> DataFrame:
         l_ix = [X.part_index(p, "L") for p in X.COMPUTE_TRIPLES["push-ups"][feat]]
         r_ix = [X.part_index(p, "R") for p in X.COMPUTE_TRIPLES["push-ups"][feat]]
         feats[feat] = F.when(left, X.point_angle(pose, *l_ix)).otherwise(X.point_angle(pose, *r_ix))
-    a = f.withColumn("angles_data", X.angles_data(F.lit("push-ups"), feats["rep"], feats["aux"], left))
-    o = G.angle_overlay(a, CANVAS_W, CANVAS_H, ("workout_id", "frame"))
-    return o.select(
+    angles = X.angles_data(F.lit("push-ups"), feats["rep"], feats["aux"], left)
+    f = embedding_frames(spark, base, G.angle_arcs(pose, angles, CANVAS_W, CANVAS_H).alias("arcs"))
+    return f.select("workout_id", "frame", F.inline("arcs")).select(
         "workout_id", "frame", "name", *[round6(c).alias(c) for c in ("cx", "cy", "start_rad", "end_rad")], "label"
     )
 

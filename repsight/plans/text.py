@@ -104,22 +104,47 @@ def stored_set_summary(spark: SparkSession, base: str) -> DataFrame:
 
 @query("prompt_rows")
 def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
-    w, an = set_tables(spark, base)
-    s = summarize_sets(w, an)
+    return TX.prompt_rows(_prompt_values(*set_tables(spark, base)))
+
+
+def _prompt_values(w: DataFrame, an: DataFrame) -> DataFrame:
+    """The set summaries with their angle statistics as text."""
     stats = AN.angle_stats(AN.trimmed(an, AN.set_params(w, an)))
     stats = stats.select("workout_id", "column", "count", *[round6(c).alias(c) for c in
                                                              ("mean", "std", "min", "p25", "p50", "p75", "max")])
-    s = s.join(TX.stats_text(stats), "workout_id", "left")
-    return TX.prompt_rows(s)
+    return summarize_sets(w, an).join(TX.stats_text(stats), "workout_id", "left")
+
+
+@query("session_prompts")
+def session_prompts(spark: SparkSession, base: str) -> DataFrame:
+    """Prompts of the sets of pose sessions, each with the rolling summary that the
+    responses to the session's earlier sets left (X3, X4, W9)."""
+    from ..operators import pose_sessions as PS
+    from ..operators.scan import checkpoint
+    from ..operators.store import number_rows
+    from .native import native_segments
+
+    seg = checkpoint(native_segments(spark, base)[0])
+    key = ["session_id", "series_number"]
+    sets = S.completed_sets(seg)
+    rolling = TX.rolling_summaries(TX.parse_responses(response_texts(sets)))
+    rolling = number_rows(sets.select(key), key, "workout_id").join(rolling, key)
+    w, an, _raw = PS.set_tables(seg)
+    values = _prompt_values(w, an).join(rolling.select("workout_id", "previous_rolling_summary"), "workout_id")
+    return TX.prompt_rows(values, F.col("previous_rolling_summary"))
 
 
 def responses(spark: SparkSession, base: str) -> DataFrame:
-    """Stored coaching responses, one per completed set of the sessions (adapter E).
+    """Stored coaching responses, one per completed set of the sessions (adapter E)."""
+    return response_texts(S.completed_sets(S.segment(A.session_messages(spark, base))))
+
+
+def response_texts(sets: DataFrame) -> DataFrame:
+    """One response per completed set.
 
     Built with ``to_json``: every third set wraps the JSON in a fenced block;
     sets whose repetition count is 3 mod 4 lack the ``summary`` field.
     """
-    sets = S.completed_sets(S.segment(A.session_messages(spark, base)))
     ser, reps = F.col("series_number").cast("string"), F.col("reps").cast("string")
     body = F.to_json(
         F.struct(

@@ -135,3 +135,23 @@ def test_frame_message_without_pose(spark):
                                            F.col("down"), F.col("has_pose")).alias("j")).first()["j"])
     assert m == {"landmarks": [], "rep_count": 3, "form_ok": True, "form_message": "Initializing...",
                  "display_angles": [], "is_down_phase": False}
+
+
+def test_prompt_says_the_format_and_the_earlier_sets(spark):
+    """The system prompt asks for the fields that the parser needs; each set is told what came before it."""
+    cols = ("workout_id long, rep_goal int, workout_name string, series_number int, strictness_crit string, "
+            "strictness_definition double, duration double, total_repetitions long, average_time_repetitions double, "
+            "issue_summary string, worst_reps_summary string, angle_stats_text string, rolling string")
+    rows = [(1, 3, "squats", 2, "strict", 10.0, 12.5, 3, 4.17, "Bend (2 times)", "Rep 1 (2 issues)", "stats", "Set 1 went {well}."),
+            (2, None, None, None, None, None, None, None, None, None, None, None, "")]
+    out = TX.prompt_rows(spark.createDataFrame(rows, cols), F.col("rolling")).orderBy("workout_id").collect()
+    lines = out[0].system_prompt.split("\n")
+    assert lines[0] == ("You are a data-driven fitness coach. The user's goal was 3 squats. This is set number 2 of the session. "
+                        "Form strictness: 'strict' (allowed deviation 10.0 degrees).")
+    assert [x.split('"')[1] for x in lines[2:]] == ["encouragement", "positive_point", "main_feedback", "secondary_feedback",
+                                                    "summary", "Rolling_Summary"]
+    assert out[0].user_prompt == (
+        "What happened before this set:\nSet 1 went {well}.\n\nSet 2 took 12.50 s; 3 repetitions were counted, one every 4.17 s "
+        "on average.\nFrames by form message: Bend (2 times)\nWhere form failed most often: Rep 1 (2 issues)\n\n"
+        "Joint angles over the set:\nstats")
+    assert "goal was N/A N/A" in out[1].system_prompt and "took 0 s; 0 repetitions" in out[1].user_prompt
