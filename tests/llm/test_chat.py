@@ -61,6 +61,18 @@ ROWS = [
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def nodes_in(by_start, intervals):
+    """The nodes that fill the intervals, which must begin and end with a node."""
+    found = []
+    for a in intervals:
+        at = a.start
+        while at < a.end:
+            found.append(by_start[at])
+            at = found[-1].end
+        assert at == a.end
+    return found
+
+
 def test_tree(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).withColumn("key", F.lit(1)).withColumn("ends", F.lit("x"))
     tree, ends = chat.format_chats(df)
@@ -74,9 +86,9 @@ def test_tree(spark):
         assert r.start == at and r.end == at + len(r.segment)  # one sequence without gaps
         at = r.end
         by_start[r.start] = r
-        own = [by_start[a.start] for a in r.ancestors]  # ancestors come before: depth first
-        assert [len(o.key) // chat.WIDTH for o in own] == list(range(1, len(own) + 1))
-        assert all(r.key.startswith(o.key) for o in own) and len(r.key) // chat.WIDTH == len(own) + 1
+        own = nodes_in(by_start, r.ancestors)  # ancestors come before: depth first
+        assert [o.depth for o in own] == list(range(1, r.depth))
+        assert all(nodes_in(by_start, o.ancestors) == own[: o.depth - 1] for o in own)  # and theirs are the first of them
         assert r.position == sum(a.end - a.start for a in r.ancestors)
     last = {e.conv_id: e.key for e in ends.collect()}
     by_key = {r.key: r for r in rows}
@@ -89,6 +101,46 @@ def test_tree(spark):
     assert Counter(r.ends for r in rows if r.ends)[2] >= 1
 
 
+# one long conversation, many that leave it at different turns, a copy, and one without conv_id that spans ranges too
+HOT = (
+    [(0, t, ("user", "assistant")[t % 2], f"step {t}") for t in range(3000)]
+    + [(c, t, ("user", "assistant")[t % 2], f"step {t}" if t < 40 * c else f"left {c} {t}") for c in range(1, 26) for t in range(40 * c + 3)]
+    + [(30, t, ("user", "assistant")[t % 2], f"step {t}") for t in range(3000)]
+    + [(None, None, "user", f"step {t:05}") for t in range(5000)]
+)
+
+
+def test_hot_conversations(spark):
+    """Histories that span many ranges and buckets: read back whole, in few intervals, under keys of one length."""
+    df = spark.createDataFrame(HOT, SCHEMA)
+    rows = chat.turns(df)
+    assert rows.select("node").where(F.length("node") != 32).isEmpty()
+    assert rows.join(rows.select(F.col("node").alias("parent"), F.col("depth").alias("d")).distinct(), "parent").where("depth <> d + 1").isEmpty()
+    tree, ends = chat.format_chats(df)
+    own = tree.where("not copy")
+    want = conversations(df.collect())
+    assert own.count() == len({tuple(t[: i + 1]) for c, t in want.items() if c is not None and c < 30 for i in range(40 * c + 3 if c else 3000)}) + 5000
+    assert own.agg(F.max(F.size("ancestors"))).first()[0] <= 5  # log2 of the conversations, not their turns
+    assert tree.where("copy").count() <= len(HOT)
+    read = {r.key: tuple(r)[1:] for r in chat.read_back(tree).collect()}
+    assert {e.conv_id: read[e.key] for e in ends.collect()} == {c: digest(t) for c, t in want.items()}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), min_size=1, max_size=9), min_size=1, max_size=25))
+def test_random_trees(spark, talks):
+    df = spark.createDataFrame([(c, t, "assistant", x) for c, talk in enumerate(talks) for t, x in enumerate(talk)], SCHEMA)
+    tree, ends = chat.format_chats(df)
+    rows = sorted((r for r in tree.collect() if not r.copy), key=lambda r: r.start)
+    by_start, sequence = {r.start: r for r in rows}, "".join(r.segment for r in rows)
+    assert len(rows) == len({tuple(t[: i + 1]) for t in talks for i in range(len(t))})
+    read, by_key = {r.key: tuple(r)[1:] for r in chat.read_back(tree).collect()}, {r.key: r for r in rows}
+    for e in ends.collect():
+        turns, r = [("assistant", x) for x in talks[e.conv_id]], by_key[e.key]
+        assert "".join(sequence[a.start : a.end] for a in r.ancestors) + r.segment == "".join(chat.format_turn(*t) for t in turns)
+        assert len(nodes_in(by_start, r.ancestors)) == len(turns) - 1 and read[e.key] == digest(turns)
+
+
 def test_empty(spark):
     tree, ends = chat.format_chats(spark.createDataFrame([], SCHEMA))
     assert tree.count() == ends.count() == chat.read_back(tree).count() == 0
