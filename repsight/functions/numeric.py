@@ -87,6 +87,11 @@ def round6(x) -> Column:
 
 
 def invert_map(m) -> Column:
-    """Swap keys and values of a map column (F13); duplicate values keep the last key."""
-    m = _c(m)
-    return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))
+    """Swap keys and values of a map column (F13); duplicate values keep the last key, null values go (no map has a null key)."""
+    entries = F.map_entries(_c(m))
+
+    def stays(e: Column, i: Column) -> Column:
+        later = F.slice(entries, i + 2, F.size(entries))
+        return e["value"].isNotNull() & ~F.coalesce(F.exists(later, lambda x: x["value"] == e["value"]), F.lit(False))
+
+    return F.map_from_entries(F.transform(F.filter(entries, stays), lambda e: F.struct(e["value"], e["key"])))

@@ -113,6 +113,11 @@ FROM wk LEFT JOIN (SELECT workout_id, max(timestamp) AS end_time FROM wa GROUP B
   ON e.workout_id = wk.id
 """)
 
+sql("landmark_index_by_part", SET_CTES + """
+SELECT id, split_part(entry, ':', 2) AS body_part, CAST(split_part(entry, ':', 1) AS BIGINT) AS landmark
+FROM (SELECT id, unnest(string_split(ldmrks_of_interest, ',')) AS entry FROM wk)
+""")
+
 sql("total_reps", SET_CTES + """
 SELECT workout_id, CAST(max(rep_count) AS BIGINT) AS total_repetitions FROM tr GROUP BY workout_id
 """)

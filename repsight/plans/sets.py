@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round6
+from ..functions.numeric import invert_map, round6
 from ..operators import analytics as AN
 from ..operators.reps import pose_frame_state
 from ..operators.scan import checkpoint, number_frames
@@ -75,6 +75,15 @@ def set_metadata(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query("landmark_index_by_part")
+def landmark_index_by_part(spark: SparkSession, base: str) -> DataFrame:
+    """The landmark index of each body part of interest, per set: its stored map the other way round."""
+    w, _an = set_tables(spark, base)
+    return w.select("id", F.explode(invert_map("ldmrks_of_interest")).alias("body_part", "landmark")).select(
+        "id", "body_part", F.col("landmark").cast("bigint").alias("landmark")
+    )
+
+
 def _trim(spark: SparkSession, base: str) -> DataFrame:
     w, an = set_tables(spark, base)
     return AN.trimmed(an, AN.set_params(w, an))

@@ -16,11 +16,11 @@ after the previous one).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -156,19 +156,40 @@ def _frame_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield p
 
 
-def frame_state_stream(signal: DataFrame) -> DataFrame:
+def with_state(grouped: GroupedData, fn: Callable, output: T.StructType, state: T.StructType, idle: float | None) -> DataFrame:
+    """``fn`` over each key's rows and state; a key without rows for ``idle`` seconds is forgotten (never, if None).
+
+    Idle time is processing time, counted from the key's last micro-batch, so
+    no watermark is needed and no row is dropped: a key that comes back after
+    it starts anew, as one never seen.  Spark then runs batches without rows
+    as time goes by; a run that is to end with its input (``availableNow``)
+    needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
+    if idle is None:
+        return grouped.applyInPandasWithState(fn, output, state, "append", GroupStateTimeout.NoTimeout)
+
+    def forgetting(key, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        yield from fn(key, pdfs, held)
+        if held.exists:
+            held.setTimeoutDuration(int(idle * 1000))
+
+    return grouped.applyInPandasWithState(forgetting, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def frame_state_stream(signal: DataFrame, idle: float | None = None) -> DataFrame:
     """Streaming per-frame state of an angle signal (``workout_id, ts, event_id, angle, form``).
 
     Every input row comes out once: in order with its state, or with ``late``
     set.  Late are rows at or before the key's last processed (ts, event_id),
     which covers a repeated row (T6) however late it comes, and repeats within
     a micro-batch; they leave the state as it is.  Nothing is dropped, so no
-    watermark is needed.
+    watermark is needed.  ``idle``: see ``with_state``.
     """
     cols = signal.select("workout_id", "ts", "event_id", "angle", "form")
-    return cols.groupBy("workout_id").applyInPandasWithState(
-        _frame_state_fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    return with_state(cols.groupBy("workout_id"), _frame_state_fn, OUTPUT_SCHEMA, STATE_SCHEMA, idle)
 
 
 def run_to_folder(spark: SparkSession, stream: DataFrame, name: str) -> str:

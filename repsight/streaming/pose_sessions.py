@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from .. import constants as K
 from ..operators import exercises as X
 from ..sources.landmarks import pose_is_complete
-from .frames import advance_latch, as_bool
+from .frames import advance_latch, as_bool, with_state
 from .sessions import _as_int, _ffill, until_unknown
 
 FLAGS = ("fu", "fd", "iu", "idn")
@@ -186,8 +186,9 @@ def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState, tags: dict[str, st
         yield out
 
 
-def pose_session_stream(messages: DataFrame) -> DataFrame:
-    """Streaming pose sessions from ``session_id, seq, type, value, landmarks`` messages, with ``ts`` where they have one."""
+def pose_session_stream(messages: DataFrame, idle: float | None = None) -> DataFrame:
+    """Streaming pose sessions from ``session_id, seq, type, value, landmarks`` messages, with ``ts`` where they have one;
+    ``idle``: see ``with_state``."""
     ts = (F.col("ts") if "ts" in messages.columns else F.lit(None)).cast("timestamp_ntz").alias("ts")
     feats = feature_columns(messages.select("session_id", "seq", ts, "type", "value", "landmarks"))
     tags = dict(X.TAGS)  # as registered where the query is made, also for the workers
@@ -195,9 +196,7 @@ def pose_session_stream(messages: DataFrame) -> DataFrame:
     def fn(key, pdfs, state):
         return _fn(key, pdfs, state, tags)
 
-    processed = feats.groupBy("session_id").applyInPandasWithState(
-        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    processed = with_state(feats.groupBy("session_id"), fn, OUTPUT_SCHEMA, STATE_SCHEMA, idle)
     bits, down = F.col("bits"), F.col("down")
     return processed.withColumns(
         {

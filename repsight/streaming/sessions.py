@@ -16,11 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from .. import constants as K
 from ..operators.exercises import REGISTRY
-from .frames import advance_latch, as_bool
+from .frames import advance_latch, as_bool, with_state
 
 STATE_FIELDS = [
     ("attempt", T.LongType()), ("epoch", T.LongType()), ("exercise", T.StringType()), ("goal", T.LongType()),
@@ -159,14 +159,12 @@ def _session_fn(
         yield out
 
 
-def session_stream(messages: DataFrame) -> DataFrame:
-    """Streaming set segmentation of ``session_id, seq, type, value, angle, form`` messages."""
+def session_stream(messages: DataFrame, idle: float | None = None) -> DataFrame:
+    """Streaming set segmentation of ``session_id, seq, type, value, angle, form`` messages; ``idle``: see ``with_state``."""
     cols = messages.select("session_id", "seq", "type", "value", "angle", "form")
     known = tuple(REGISTRY)  # as registered where the query is made, also for the workers
 
     def fn(key, pdfs, state):
         return _session_fn(key, pdfs, state, known)
 
-    return cols.groupBy("session_id").applyInPandasWithState(
-        fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    return with_state(cols.groupBy("session_id"), fn, OUTPUT_SCHEMA, STATE_SCHEMA, idle)

@@ -67,3 +67,5 @@ def test_invert_map(spark):
     df = spark.createDataFrame([({11: "shoulder", 13: "elbow"},)], "m map<int,string>")
     got = df.select(invert_map("m").alias("r")).first()["r"]
     assert got == {"shoulder": 11, "elbow": 13}
+    odd = spark.createDataFrame([({1: "a", 2: "b", 3: "a", 4: None},), ({},), (None,)], "m map<int,string>")
+    assert [r["r"] for r in odd.select(invert_map("m").alias("r")).collect()] == [{"b": 2, "a": 3}, {}, None]

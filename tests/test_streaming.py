@@ -110,3 +110,37 @@ def test_unknown_exercise_and_texts_that_are_no_goals_mean_the_same_in_batch_and
         assert {r for r in out if r[0] == 1} == set()
         done = {s for s, _, _, g in out if g in (1, 2)}
         assert done == {4, 6} and {(s, g) for s, _, _, g in out} == {(s, g) for s, _, _, g in batch}
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """Ten batches of new workouts: the state holds those of the last ones, and one that comes back starts anew."""
+    import time
+
+    from repsight.streaming.frames import frame_state_stream
+
+    schema = "workout_id long, ts timestamp_ntz, event_id long, angle double, form boolean"
+    rows, path = [], str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(path)
+    held = []
+    own = spark.newSession()  # a run that ends with its input gives no batches without rows, which idle time would ask for for ever
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    source = own.readStream.schema(schema).parquet(path)
+    for i in range(10):
+        for w in (range(10 * i, 10 * i + 5) if i < 9 else [0]):
+            rows += [(w, 1000 * i + n) for n in range(3)]
+        batch = spark.createDataFrame(rows[-15 if i < 9 else -3:], "workout_id long, event_id long").selectExpr(
+            "workout_id", "timestamp_seconds(event_id)::timestamp_ntz AS ts", "event_id", "90.0D AS angle", "true AS form"
+        )
+        batch.coalesce(1).write.mode("append").parquet(path)
+        q = (
+            frame_state_stream(source, idle=0.1).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        held.append(q.recentProgress[-1].stateOperators[0].numRowsTotal)
+        time.sleep(0.2)
+    assert max(held) <= 5 and held[-1] == 1
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == len(rows) and not out.where("late").count()
+    assert [r.frame for r in out.where("workout_id = 0").orderBy("event_id").collect()] == [0, 1, 2, 0, 1, 2]
