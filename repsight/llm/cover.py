@@ -15,8 +15,8 @@ vectors is split by the net of a bounded sample of it, all of its vectors go to
 the nearest child, and to each later child whose radius they reach as visitors,
 a node of radius 0 in the traversal.  A node with no two vectors farther apart
 than t is left whole, however large.  Below, tasks join blocks of at most
-``LEAF`` residents with blocks of visitors, building both trees and pairing
-them.  What leaves a task are the number of links of each vector and one edge
+``LEAF`` residents with blocks of visitors, and with the other blocks of a node
+that no net splits, building both trees and pairing them.  What leaves a task are the number of links of each vector and one edge
 to its group in the task, never the pairs.
 
 Equal vectors are one class with a count from the start.
@@ -127,7 +127,7 @@ def linked(a: Block, i: slice, b: Block, j: slice, threshold: float) -> np.ndarr
     """
     rough = a.short[i] @ b.short[j].T
     found = rough >= threshold
-    close = np.abs(rough - threshold) < 1e-5
+    close = np.abs(rough - threshold) < max(1e-5, (a.short.shape[1] + 8) * 2.0**-23)
     if close.any():
         x, y = np.nonzero(close)
         dots = (a.given[i][x] * b.given[j][y]).sum(axis=1)
@@ -227,7 +227,9 @@ def _split(kind: str) -> Callable:
         rows = rows.sort_values("far", kind="stable")  # nested: the vector nearest to the node's centre comes first
         unit, _ = units(list(rows["v"]), kind)
         most = int(min(FAN, math.ceil(2 * rows["residents"].iloc[0] / LEAF)))
-        chosen, _, _ = net(unit, 0, most, float(rows["radius"].iloc[0]) / 2)
+        chosen, _, near = net(unit, 0, most, float(rows["radius"].iloc[0]) / 2)
+        if len(chosen) == 1:  # few vectors lie far out and none of them is in the sample: split by what it holds
+            chosen, _, _ = net(unit, 0, max(most, 2), float(near.max()) / 2)
         return pd.DataFrame({"node": [key[0]], "centres": [unit[chosen].tobytes()]})
 
     return run
@@ -345,7 +347,15 @@ def link_classes(classes: DataFrame, kind: str, threshold: float) -> tuple[DataF
     block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     needed = "not (clique and visitors = 0)"
-    residents = rows.where(f"own and {needed}").withColumn("r", block("rb")).withColumn("w", each("vb"))
+    own = rows.where(f"own and {needed}").withColumn("b", block("rb"))
+    residents = own.withColumn("r", F.col("b")).withColumn("w", each("vb"))
+    # a node that could not be split has several blocks of residents: each pair of them is joined once, as w >= vb
+    several = own.where("rb > 1 and not clique")
+    first = several.where("b < rb - 1").withColumn("r", F.col("b")).withColumn("w", F.explode(F.expr("sequence(vb + b + 1, vb + rb - 1)")))
+    second = several.where("b > 0").withColumn("w", F.col("vb") + F.col("b")).withColumn("r", F.explode(F.expr("sequence(0, b - 1)")))
+    residents = residents.select(*rows.columns, "r", "w").unionByName(first.select(*rows.columns, "r", "w")).unionByName(
+        second.withColumn("own", F.lit(False)).select(*rows.columns, "r", "w")
+    )
     visitors = rows.where("not own and not all").withColumn("w", block("vb")).withColumn("r", each("rb"))
     names = ["node", "r", "w", "cls", "n", "v", "own", "clique"]
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,33 @@ def test_links_equal_brute_force(spark, monkeypatch, leaf, threshold):
     assert Counter(tuple(r) for r in got) == brute_links(rows, threshold)
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.999])
+def test_blocks_of_a_node_that_no_split_reduces_are_joined(spark, monkeypatch, threshold):
+    monkeypatch.setattr(cover, "LEAF", 40)
+    rng = np.random.default_rng(8)
+    # all within half of the root's radius: the root's net is one child with all of them
+    rows = [(i, (np.eye(6)[0] + 0.15 * rng.normal(size=6)).tolist()) for i in range(150)]
+    got = cover.near_duplicates(table(spark, [(*r, "") for r in rows]), threshold).collect()
+    assert Counter(tuple(r) for r in got) == brute_links(rows, threshold)
+
+
+def test_blocks_of_an_unsplit_node_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(cover, "LEAF", 40)
+    whole = [F.lit("d6").alias("node"), F.lit(2.0).alias("radius"), F.lit(2.0).alias("far"), F.lit(True).alias("own")]
+    monkeypatch.setattr(cover, "grow", lambda classes, kind, reach: classes.select("cls", "n", "v", *whole))
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.eye(6)[i % 3] + 0.2 * rng.normal(size=6)).tolist()) for i in range(150)]
+    got = cover.near_duplicates(table(spark, [(*r, "") for r in rows]), 0.9).collect()
+    assert Counter(tuple(r) for r in got) == brute_links(rows, 0.9)
+
+
+def test_net_splits_what_the_sample_holds():
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"v": [(np.eye(6)[0] + 0.05 * rng.normal(size=6)).tobytes() for _ in range(50)]})
+    rows = rows.assign(residents=10 * cover.LEAF, radius=2.0, far=0.0)
+    assert len(cover._split("f8")(("d6",), rows)["centres"].iloc[0]) // 48 > 1
+
+
 def test_links_of_no_rows_and_odd_rows(spark):
     given = table(spark, odd(9)[1])
     assert cover.near_duplicates(given.limit(0)).count() == 0
