@@ -1,5 +1,7 @@
 """Streams equal their batch counterparts."""
 
+from pyspark.sql import functions as F
+
 from repsight.plans import QUERIES
 
 BASE = "/root/testdata/sf0.001"
@@ -144,3 +146,35 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == len(rows) and not out.where("late").count()
     assert [r.frame for r in out.where("workout_id = 0").orderBy("event_id").collect()] == [0, 1, 2, 0, 1, 2]
+
+
+def test_state_functions_get_few_columns_and_cost_little(spark):
+    """Each column and each vectorised call costs time for every session of a micro-batch."""
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    from repsight.operators import exercises as X
+    from repsight.schemas import POSE
+    from repsight.streaming import pose_sessions as P
+    from repsight.streaming import sessions as S
+
+    given = spark.createDataFrame([], "session_id long, seq long, ts timestamp_ntz, type string, value string").withColumn(
+        "landmarks", F.lit(None).cast(POSE)
+    )
+    tags = dict(X.TAGS)
+    assert len(P.packed_rules(P.feature_columns(given), tags).columns) <= 9
+
+    n = 24
+    kinds = ["start", "workout", *["frame"] * 10] * 2
+    msgs = pd.DataFrame({"session_id": 1, "seq": np.arange(n), "type": kinds, "value": None, "angle": 80.0, "form": True})
+    poses = msgs.assign(ts=pd.Timestamp("2024-01-01"), has_pose=True, left_first=True,
+                        angles=[np.full(6, 80.0)] * n, rules=[np.full(12, 3)] * n)
+    for run in (lambda: S.advance_session(msgs, S.INITIAL_STATE), lambda: P.advance_pose_session(poses, P.INITIAL, tags)):
+        out, _ = run()
+        assert len(out) == 20
+        begin = time.process_time()
+        for _ in range(100):
+            run()
+        assert time.process_time() - begin < 0.8
