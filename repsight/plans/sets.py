@@ -32,8 +32,10 @@ def set_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 
 def raw_table(spark: SparkSession, base: str) -> DataFrame:
-    poses = A.set_poses(spark, base).select("workout_id", "ts", "event_id", "chunk", "landmarks")
-    return raw_landmark_rows(number_frames(poses, ["workout_id"], A.EVENT_ORDER, "chunk"))
+    """The stored landmarks; frames are numbered before their poses are built, so 33 points cross no exchange."""
+    numbered = number_frames(A.set_events(spark, base), ["workout_id"], A.EVENT_ORDER, "chunk")
+    poses = numbered.select("workout_id", "ts", "event_id", "chunk", "frame", A.set_pose().alias("landmarks"))
+    return raw_landmark_rows(poses)
 
 
 def map_text(m: Column) -> Column:
