@@ -142,3 +142,15 @@ def test_streaming_side_resolution_matches_model(spark, tmp_path, gaps):
     got = {(r["session_id"], r["seq"]): r.asDict() for r in out.select(
         "session_id", "seq", "series_number", "frame", "reps", "down", "done", "left_side", "form_issues").collect()}
     _compare(got, sessions)
+
+
+def test_settings_scan_carries_packed_variants(spark, monkeypatch):
+    """The rule variants cross the settings' exchanges and checkpoints as two arrays, not as 50 columns and more."""
+    from repsight.operators import pose_sessions as PS
+    from repsight.plans.native import native_segments
+
+    seen = []
+    scan = PS.settings_asof
+    monkeypatch.setattr(PS, "settings_asof", lambda df, chunk: seen.append(df.columns) or scan(df, chunk))
+    assert native_segments(spark, "/root/testdata/sf0.001")[0].columns
+    assert {"angles", "rules"} < set(seen[0]) and len(seen[0]) <= 12

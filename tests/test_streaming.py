@@ -164,13 +164,15 @@ def test_state_functions_get_few_columns_and_cost_little(spark):
         "landmarks", F.lit(None).cast(POSE)
     )
     tags = dict(X.TAGS)
-    assert len(P.packed_rules(P.feature_columns(given), tags).columns) <= 9
+    assert len(P.packed_rules(P.feature_columns(given)).columns) <= 9
 
     n = 24
     kinds = ["start", "workout", *["frame"] * 10] * 2
     msgs = pd.DataFrame({"session_id": 1, "seq": np.arange(n), "type": kinds, "value": None, "angle": 80.0, "form": True})
     poses = msgs.assign(ts=pd.Timestamp("2024-01-01"), has_pose=True, left_first=True,
                         angles=[np.full(6, 80.0)] * n, rules=[np.full(12, 3)] * n)
+    odd = poses.assign(session_id=np.nan, left_first=None, ts=pd.NaT)
+    assert len(P.advance_pose_session(odd, P.INITIAL, tags)[0]) == 20
     for run in (lambda: S.advance_session(msgs, S.INITIAL_STATE), lambda: P.advance_pose_session(poses, P.INITIAL, tags)):
         out, _ = run()
         assert len(out) == 20
