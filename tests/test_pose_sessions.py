@@ -154,3 +154,12 @@ def test_settings_scan_carries_packed_variants(spark, monkeypatch):
     monkeypatch.setattr(PS, "settings_asof", lambda df, chunk: seen.append(df.columns) or scan(df, chunk))
     assert native_segments(spark, "/root/testdata/sf0.001")[0].columns
     assert {"angles", "rules"} < set(seen[0]) and len(seen[0]) <= 12
+
+
+def test_raw_table_numbers_frames_before_poses(spark, monkeypatch):
+    from repsight.plans import sets
+
+    seen, number = [], sets.number_frames
+    monkeypatch.setattr(sets, "number_frames", lambda df, *more: seen.append(df.columns) or number(df, *more))
+    assert "landmark_0_x" in sets.raw_table(spark, "/root/testdata/sf0.001").columns
+    assert "landmarks" not in seen[0]
