@@ -34,7 +34,7 @@ def set_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 def raw_table(spark: SparkSession, base: str) -> DataFrame:
     """The stored landmarks; frames are numbered before their poses are built, so 33 points cross no exchange."""
     numbered = number_frames(A.set_events(spark, base), ["workout_id"], A.EVENT_ORDER, "chunk")
-    poses = numbered.select("workout_id", "ts", "event_id", "chunk", "frame", A.set_pose().alias("landmarks"))
+    poses = A.with_set_pose(numbered).select("workout_id", "ts", "event_id", "chunk", "frame", "landmarks")
     return raw_landmark_rows(poses)
 
 
