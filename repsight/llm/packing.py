@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -39,8 +40,26 @@ _BYTE_CHARS = [chr(b) if b in _PRINTABLE else chr(256 + _REST.index(b)) for b in
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*|]*)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Known(dict):
+    """Ids by string; those of a new one are found by ``learn`` when it is looked up."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.learn(key)
+        return found
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with a bounded cache of words.
+    """Ids of texts as little-endian 32-bit bytes, with bounded caches of words and of their runs.
+
+    The runs have a cache of their own: words are learnt anew when theirs is
+    full, which costs little while the runs are known.
 
     The tokenizer must be like ``word_bpe_49k.json``: it drops white space,
     lower-cases, and treats words, runs of letters and runs of marks apart, so
@@ -52,46 +71,32 @@ class Encoder:
     def __init__(self, path: str, words: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.words = Tokenizer.from_file(path), {}, words
+        self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.model = self.tokenizer.model
+        self.cache, self.pieces = _Known(self._word), _Known(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a lower-case run of letters or of marks."""
-        found = self.cache.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
-            found = self.cache[piece] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        return found
-
-    def _learn(self, words: list[str]) -> None:
-        others = []
-        for w in words:
-            plain = _PLAIN.fullmatch(w)
-            low = plain[1].lower() if plain else ""
-            if plain and low.isalpha() and is_normalized("NFC", w):
-                ids = self._piece(low)
-                self.cache[w] = ids + self._piece(plain[2]) if plain[2] else ids
-            else:
-                others.append(w)
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        mapped = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
+        return _packed([t.id for t in self.model.tokenize(mapped)])
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            letters, marks = plain.groups()
+            low = letters.lower()
+            if low.isalpha() and (word.isascii() or is_normalized("NFC", word)):
+                return self.pieces[low] + self.pieces[marks] if marks else self.pieces[low]
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         words = _SPACES.split(text) if _NOT_SPACE_FOR_ALL.search(text) else text.split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > self.words:
-            cache.clear()
         out = []
         for at in range(0, len(words), 100_000):
-            some = words[at : at + 100_000]
-            self._learn(list({w for w in some if w not in cache}))
-            out += [cache[w] for w in some]
-            if len(cache) > self.words:
-                cache.clear()
+            for known in (self.cache, self.pieces):
+                if len(known) > self.words:
+                    known.clear()
+            out.append(b"".join(map(self.cache.__getitem__, words[at : at + 100_000])))
         return b"".join(out)
 
 

@@ -70,6 +70,23 @@ def test_encoder_equals_tokenizer():
         assert encode(t) == ids_of(t)[:-1].tobytes(), t
 
 
+def test_runs_are_tokenized_once():
+    """A run of letters is known behind other marks, and when the cache of words was emptied."""
+    encode = packing.Encoder(PATH, words=10)
+    model, seen = encode.model, []
+
+    class Counted:
+        def tokenize(self, piece):
+            seen.append(piece)
+            return model.tokenize(piece)
+
+    encode.model = Counted()
+    texts = ["alpha, beta; gamma.", "Alpha. BETA! gamma?", "alpha: Beta, Gamma!", "ALPHA beta gamma;", "alpha, Beta; Gamma."]
+    for t in texts:
+        assert encode(t) == ids_of(t)[:-1].tobytes(), t
+    assert sorted(seen) == sorted(set(seen))
+
+
 def test_differencing():
     rng = random.Random(1)
     for n, k in ((0, 3), (1, 1), (2, 5), (7, 3), (200, 20), (300, 7), (64, 64)):
