@@ -42,7 +42,7 @@ def typed_controls(spark: SparkSession, base: str) -> DataFrame:
 @query("typed_messages")
 def typed_messages(spark: SparkSession, base: str) -> DataFrame:
     """All outgoing messages of the sessions as JSON envelopes, read back by type (S10): data, feedback, error, history."""
-    settings = S.settings_asof(A.session_messages(spark, base))
+    settings = S.settings_asof(A.session_messages(spark, base), forms=("form", "form"))
     segments = S.segment_settings(settings)
     sets = checkpoint(S.completed_sets(segments))
     at = sets.select("session_id", "series_number", F.col("last_seq").cast("bigint").alias("seq"))

@@ -138,3 +138,51 @@ def test_hot_key_is_split_and_exact(spark):
         d, r, _f = latch_sequence(list(g["angle"]), list(g["fu"]), list(g["fd"]))
         mine = got[got["key"] == key]
         assert list(mine["down"]) == d and list(mine["rep_count"]) == r
+
+
+def test_scan_within_equals_scan_of_all_keys(spark):
+    """Counters inside a key give what they give as keys, also where they rise inside a chunk."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(6):
+        a = e = 0
+        for i in range(rnd.randint(1, 70)):
+            a, e = a + (rnd.random() < 0.1), e + (rnd.random() < 0.1)
+            rows.append((k, i, a, e, rnd.choice([None, rnd.randint(-5, 5)]), rnd.choice([60.0, 120.0, 170.0, float("nan")]),
+                         rnd.random() < 0.7, rnd.random() < 0.6))
+    df = spark.createDataFrame(rows, "key long, seq long, a long, e long, v long, angle double, fu boolean, fd boolean")
+    df = df.withColumn("chunk", F.shiftright("seq", 2))
+
+    def scans(keys, within):
+        out = prefix_scan(df, keys, ["seq"], "chunk", [
+            Scan("s", F.coalesce(F.col("v"), F.lit(0)), "sum"), Scan("sx", F.col("v"), "sum", inclusive=False),
+            Scan("l", F.col("v"), "last", default=-99), Scan("lx", F.col("v"), "last", inclusive=False),
+            Scan("c", None, "count"), Scan("h", F.col("fu"), "held", default=-7, of="l"),
+        ], keep_partitioning=True, within=within)
+        out = hysteresis_latch(out, keys, ["seq"], "chunk", "angle", "fu", "fd", 90.0, 150.0, within)
+        return out.orderBy("key", "seq")
+
+    names = ["key", "seq", "s", "sx", "l", "lx", "c", "h", "down", "rep_inc", "rep_count"]
+    want = scans(["key", "a", "e"], []).select(names).collect()
+    got = scans(["key"], ["a", "e"])
+    assert got.select(names).collect() == want
+    assert any(r["down"] for r in want) and any(r["rep_count"] for r in want)
+    assert not [c for c in got.columns if c.startswith("__")]
+
+
+@pytest.mark.parametrize("shift", [0, 2, 30])
+def test_held_value_is_the_scan_of_a_scan(spark, shift):
+    """``held`` in one pass: the as-of value at the last marked row, also where that value comes from earlier chunks."""
+    rnd = random.Random(shift)
+    rows = [(k, i, rnd.choice([None, None, None, rnd.randint(0, 9)]), rnd.random() < 0.15) for k in range(8) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, seq long, v long, mark boolean").withColumn("chunk", F.shiftright("seq", shift))
+    out = prefix_scan(df, ["key"], ["seq"], "chunk", [
+        Scan("l", F.col("v"), "last", default=-1), Scan("h", F.col("mark"), "held", default=-2, of="l"),
+    ])
+    got = {(r["key"], r["seq"]): (r["l"], r["h"]) for r in out.collect()}
+    for k in range(8):
+        last, held = -1, -2
+        for key, seq, v, mark in (r for r in rows if r[0] == k):
+            last = last if v is None else v
+            held = last if mark else held
+            assert got[key, seq] == (last, held)
