@@ -1,8 +1,13 @@
 """The ordered stream's state by buckets of sessions, and the replay's batches on many files."""
 
+import datetime as dt
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from repsight.plans import streams
 from repsight.streaming.ordered import ordered_sessions, state_session
 
 SCHEMA = "session_id long, seq long, ts_us long, type string, value string, angle double, form boolean"
@@ -75,3 +80,52 @@ def test_missing_keys_are_kept_apart(spark, tmp_path):
     assert Counter(r.session_id for r in got if r.kind == "message") == {None: 6, 1: 6}
     assert [(r.session_id, r.seq, r.ts_us, r.note) for r in got if r.kind == "reject"] == [(1, 90, None, "late")]
     assert sorted(str(r.session_id) for r in got if r.kind == "history") == ["1", "None"]
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """Events of 40 users over 20 days, and messages in eight partitions."""
+    rng = random.Random(3)
+    kinds = ["view", "click", "error", "signup", "purchase"]
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, start + dt.timedelta(minutes=rng.randrange(20 * 24 * 60)), rng.randrange(40), rng.choice(kinds), 1.0,
+         f'{{"k": {rng.randrange(100)}}}')
+        for i in range(3000)
+    ]
+    spark.createDataFrame(
+        rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield str(tmp_path)
+    spark.conf.set(name, before)
+
+
+def test_a_trigger_reads_one_step_of_the_replay(spark, many_files):
+    """Messages a step late were behind the watermark where a trigger read parts of two steps."""
+    got = Counter(r.outcome for r in streams.stream_message_ledger(spark, many_files).collect())
+    messages = streams.A.session_messages(spark, many_files)
+    twice = messages.where((F.col("session_id") + F.col("seq")) % 7 == 0).count()
+    assert got == {"applied": messages.count(), "duplicate": twice}
+
+
+def test_a_part_without_rows_keeps_the_steps_apart(spark, tmp_path):
+    """All messages of a step in one partition: the step still has as many files as the others."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i), i // 50, "view", 1.0, '{"k": 1}') for i in range(400)]
+    spark.createDataFrame(
+        rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        path, _ = streams.stage_disordered(spark, str(tmp_path))
+    finally:
+        spark.conf.set(name, before)
+    files = spark.read.parquet(path).inputFiles()
+    assert (len(files) - 1) % (streams.DISORDER_STEPS + 1) == 0
+    writes = Counter(f.rsplit("/", 1)[1].split("-", 2)[2] for f in files)  # a write's files share its id
+    assert len(writes) > streams.DISORDER_STEPS + 2  # some parts were empty
