@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repsight.plans import streams
+from repsight.plans.sessions import set_segments
 from repsight.streaming.ordered import ordered_sessions, state_session
 
 SCHEMA = "session_id long, seq long, ts_us long, type string, value string, angle double, form boolean"
@@ -111,6 +112,12 @@ def test_a_trigger_reads_one_step_of_the_replay(spark, many_files):
     assert got == {"applied": messages.count(), "duplicate": twice}
 
 
+def test_ordered_sets_of_many_files_are_the_batch_sets(spark, many_files):
+    names = ["session_id", "seq", "attempt", "epoch", "series_number", "frame", "down", "reps", "done", "form_ok", "exercise", "goal"]
+    got, want = (Counter(q(spark, many_files).select(names).collect()) for q in (streams.stream_ordered_sets, set_segments))
+    assert got == want and len(got) > 100
+
+
 def test_a_part_without_rows_keeps_the_steps_apart(spark, tmp_path):
     """All messages of a step in one partition: the step still has as many files as the others."""
     start = dt.datetime(2024, 1, 1)
